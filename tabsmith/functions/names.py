@@ -1,8 +1,6 @@
 """Column-name expressions: word split, human alias, identifier heuristic."""
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +28,12 @@ def name_words(name: Column) -> Column:
 
 def looks_like_identifier(name: Column) -> Column:
     words = F.transform(name_words(name), F.lower)
-    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in IDENTIFIER_WORDS]))
+    return F.arrays_overlap(words, F.lit(list(IDENTIFIER_WORDS)))
 
 
 def alias_of(name: Column) -> Column:
     """``cust_dob`` to ``Customer Date of Birth``; an all-capitals word of up to five letters stays."""
-    spelt_out = F.create_map(*[F.lit(x) for x in chain.from_iterable(ABBREVIATIONS.items())])
+    spelt_out = F.map_from_arrays(F.lit(list(ABBREVIATIONS)), F.lit(list(ABBREVIATIONS.values())))
 
     def label(word: Column) -> Column:
         acronym = (word == F.upper(word)) & (word != F.lower(word)) & (F.length(word) <= 5)

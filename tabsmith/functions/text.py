@@ -25,7 +25,7 @@ def literal_split(col: Column, separator: str) -> Column:
 
 def non_blank_tokens(col: Column, separator: str) -> Column:
     """The trimmed, non-empty pieces of a cell."""
-    return F.filter(F.transform(literal_split(col, separator), F.trim), lambda t: t != "")
+    return F.filter(F.transform(literal_split(col, separator), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def regex_replace_all(col: Column, pattern: str, replacement: str) -> Column:

@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
-from functools import reduce
 from itertools import chain
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +52,32 @@ PROFILE_COLUMNS = (
 LONG_TEXT = 256
 
 
-def base_type(type_name: Column) -> Column:
-    return F.upper(F.trim(F.split_part(type_name, F.lit("("), F.lit(1))))
+def _in(values: Iterable[str]) -> str:
+    return "IN (" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+# Each rule: condition, category, confidence before rounding. The first that holds decides.
+_NUMBER_SCORE = f"60.0D + least(abs(distinct_count - {NUMERIC_CATEGORIES}) / {NUMERIC_CATEGORIES}.0D, 1.0D) * 39.0D"
+CLASSIFICATION = (
+    (f"_kind {_in(DATETIME_TYPES)}", "datetime", "99.0D"),
+    ("_kind = 'BOOLEAN'", "categorical", "99.0D"),
+    (f"_kind {_in(NUMERIC_TYPES)} AND distinct_count <= {NUMERIC_CATEGORIES}", "categorical", _NUMBER_SCORE),
+    (f"_kind {_in(NUMERIC_TYPES)} AND _identifier", "categorical", "65.0D"),
+    (f"_kind {_in(NUMERIC_TYPES)}", "continuous_numerical", _NUMBER_SCORE),
+    ("row_count = 0", "categorical", "50.0D"),
+    (
+        f"distinct_count <= greatest({TEXT_CATEGORIES}, row_count * {TEXT_RATIO}D) AND _ratio <= {TEXT_RATIO}D",
+        "categorical",
+        f"60.0D + least(({TEXT_RATIO}D - _ratio) / {TEXT_RATIO}D, 1.0D) * 39.0D",
+    ),
+    (f"avg_length > {FREE_TEXT_LENGTH}", "free_text", "85.0D"),
+    (
+        f"_ratio > {FREE_TEXT_RATIO}D",
+        "free_text",
+        f"60.0D + least((_ratio - {FREE_TEXT_RATIO}D) / {FREE_TEXT_RATIO}D, 1.0D) * 39.0D",
+    ),
+    ("true", "categorical", "55.0D"),
+)
 
 
 def classify(stats: DataFrame) -> DataFrame:
@@ -63,42 +85,25 @@ def classify(stats: DataFrame) -> DataFrame:
 
     Needs name, type, row_count, null_count, distinct_count and avg_length.
     """
-    kind = base_type(F.col("type"))
-    rows, distinct = F.col("row_count"), F.col("distinct_count")
-    ratio = distinct / F.nullif(rows, F.lit(0))
-
-    def score(distance: Column) -> Column:
-        return round_tenths(F.lit(60.0) + F.least(distance, F.lit(1.0)) * 39.0)
-
-    numeric_score = score(F.abs(distinct - NUMERIC_CATEGORIES) / F.lit(float(NUMERIC_CATEGORIES)))
-    few_texts = (distinct <= F.greatest(F.lit(float(TEXT_CATEGORIES)), rows * TEXT_RATIO)) & (ratio <= TEXT_RATIO)
-    # Each rule: condition, category, confidence. The first that holds decides.
-    rules = [
-        (kind.isin(*DATETIME_TYPES), "datetime", F.lit(99.0)),
-        (kind == "BOOLEAN", "categorical", F.lit(99.0)),
-        (kind.isin(*NUMERIC_TYPES) & (distinct <= NUMERIC_CATEGORIES), "categorical", numeric_score),
-        (kind.isin(*NUMERIC_TYPES) & looks_like_identifier(F.col("name")), "categorical", F.lit(65.0)),
-        (kind.isin(*NUMERIC_TYPES), "continuous_numerical", numeric_score),
-        (rows == 0, "categorical", F.lit(50.0)),
-        (few_texts, "categorical", score((F.lit(TEXT_RATIO) - ratio) / TEXT_RATIO)),
-        (F.col("avg_length") > FREE_TEXT_LENGTH, "free_text", F.lit(85.0)),
-        (ratio > FREE_TEXT_RATIO, "free_text", score((ratio - FREE_TEXT_RATIO) / FREE_TEXT_RATIO)),
-        (F.lit(True), "categorical", F.lit(55.0)),
-    ]
-    verdict = F.coalesce(*[
-        F.when(condition, F.struct(F.lit(category).alias("category"), confidence.alias("confidence")))
-        for condition, category, confidence in rules
-    ])
-    decided = stats.withColumn("_verdict", verdict)
-    return decided.withColumns({
-        "alias": alias_of(F.col("name")),
-        "category": F.col("_verdict.category"),
+    name = F.col("name")
+    inputs = stats.withColumns({
+        "_kind": F.expr("upper(trim(split_part(type, '(', 1)))"),
+        "_identifier": looks_like_identifier(name),
+        "_ratio": F.expr("CAST(distinct_count AS DOUBLE) / nullif(row_count, 0)"),
+    })
+    category = " ".join(f"WHEN {condition} THEN '{chosen}'" for condition, chosen, _ in CLASSIFICATION)
+    score = " ".join(f"WHEN {condition} THEN {value}" for condition, _, value in CLASSIFICATION)
+    scored = inputs.withColumns({"category": F.expr(f"CASE {category} END"), "_score": F.expr(f"CASE {score} END")})
+    confidence = round_tenths(F.col("_score"))
+    absent = F.expr("null_count / nullif(row_count, 0)")
+    return scored.withColumns({
+        "alias": alias_of(name),
         "category_source": F.lit("rule"),
-        "confidence": F.col("_verdict.confidence"),
-        "needs_review": F.col("_verdict.confidence") < REVIEW_BELOW,
-        "null_percentage": F.coalesce(round_tenths(F.col("null_count") / F.nullif(rows, F.lit(0)) * 100), F.lit(0.0)),
-        "health_score": column_health(rows, F.col("null_count")),
-    }).drop("_verdict")
+        "confidence": confidence,
+        "needs_review": confidence < REVIEW_BELOW,
+        "null_percentage": F.coalesce(round_tenths(absent * 100), F.lit(0.0)),
+        "health_score": column_health(F.col("row_count"), F.col("null_count")),
+    }).drop("_kind", "_identifier", "_ratio", "_score")
 
 
 def column_health(row_count: Column, null_count: Column) -> Column:
@@ -130,14 +135,18 @@ def _two_tokens(separator: str) -> str:
     return rf"^[\s{s}]*[^\s{s}][^{s}]*{s}[\s{s}]*[^\s{s}]"
 
 
-def _text_facts(text: Column) -> Column:
-    """Length, separators that split it (one flag each), range shape and unit of one text."""
-    return F.struct(
-        F.length(text).alias("length"),
-        *[text.rlike(_two_tokens(s)).alias(f"splits_{i}") for i, s in enumerate(MULTI_VALUE_SEPARATORS)],
-        text.rlike(RANGE_TEXT).alias("is_range"),
-        F.nullif(F.regexp_extract(text, RANGE_TEXT, 3), F.lit("")).alias("unit"),
+def _text_facts(text: str) -> str:
+    """Length, separators that split it (one flag each), range shape and unit of a text, as SQL.
+
+    The plain search comes first: it spares most texts the regular expression.
+    """
+    is_range = f"(contains({text}, '-') AND {text} RLIKE r'{RANGE_TEXT}')"
+    splits = "".join(
+        f"'splits_{i}', contains({text}, '{s}') AND {text} RLIKE r'{_two_tokens(s)}', "
+        for i, s in enumerate(MULTI_VALUE_SEPARATORS)
     )
+    unit = f"CASE WHEN {is_range} THEN nullif(regexp_extract({text}, r'{RANGE_TEXT}', 3), '') END"
+    return f"named_struct('length', length({text}), {splits}'is_range', {is_range}, 'unit', {unit})"
 
 
 FACTS = (
@@ -148,76 +157,78 @@ FACTS = (
 SLOTS = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
 
 
-def _typed_value(name: str, data_type: T.DataType) -> tuple[str, Column]:
-    """The slot a value is compared in. No number or date is turned into text for it."""
-    c = column(name)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _typed_value(name: str, data_type: T.DataType) -> tuple[str, str]:
+    """The slot a value is compared in, and its SQL. No number or date is turned into text for it."""
+    c = quoted(name)
     if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return "whole", c.cast("bigint")
+        return "whole", f"CAST({c} AS BIGINT)"
     if isinstance(data_type, T.BooleanType):
-        return "whole", c.cast("int").cast("bigint")
+        return "whole", f"CAST(CAST({c} AS INT) AS BIGINT)"
     if isinstance(data_type, T.DateType):
-        return "whole", F.unix_date(c).cast("bigint")
+        return "whole", f"CAST(unix_date({c}) AS BIGINT)"
     if isinstance(data_type, T.TimestampType):
-        return "whole", F.unix_micros(c)
+        return "whole", f"unix_micros({c})"
     if isinstance(data_type, T.TimestampNTZType):
         return "moment", c
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return "real", c.cast("double")
-    text = F.base64(c) if isinstance(data_type, T.BinaryType) else as_text(c, data_type)
-    return "text", F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+        return "real", f"CAST({c} AS DOUBLE)"
+    if isinstance(data_type, T.BinaryType):
+        text = f"base64({c})"
+    elif isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
+        text = f"to_json({c})"
+    else:
+        text = f"CAST({c} AS STRING)"
+    return "text", f"CASE WHEN length({text}) > {LONG_TEXT} THEN sha2({text}, 256) ELSE {text} END"
 
 
-def _cell(position: int, field: T.StructField, any_text: bool) -> Column:
-    """A value as (position, one typed slot, facts of a long text)."""
+def _cell(position: int, field: T.StructField) -> str:
+    """A value as (position, one typed slot, facts of a long text), as SQL."""
     slot, value = _typed_value(field.name, field.dataType)
-    empty = {s: F.expr(f"CAST(NULL AS {t}) AS {s}") for s, t in SLOTS.items() if s != slot}
-    parts = [F.expr(f"{position} AS position"), *[empty.get(s, value.alias(s)) for s in SLOTS]]
-    if any_text and _is_text(field.dataType):
-        c = column(field.name)
-        parts.append(F.when(F.length(c) > LONG_TEXT, _text_facts(c)).alias("facts"))
-    elif any_text:
-        parts.append(F.expr(f"CAST(NULL AS {FACTS}) AS facts"))
-    return F.struct(*parts)
+    slots = ", ".join(f"'{s}', {value if s == slot else f'CAST(NULL AS {t})'}" for s, t in SLOTS.items())
+    facts = f"CAST(NULL AS {FACTS})"
+    if _is_text(field.dataType):
+        c = quoted(field.name)
+        facts = f"CASE WHEN length({c}) > {LONG_TEXT} THEN {_text_facts(c)} END"
+    return f"named_struct('position', {position}, {slots}, 'facts', {facts})"
 
 
 def _distinct_values(df: DataFrame, fields: list[T.StructField], by: str | None) -> DataFrame:
     """One row per dataset, column and distinct value, with its count ``n``."""
-    any_text = any(_is_text(f.dataType) for f in fields)
-    cells = F.array(*[_cell(i, f, any_text) for i, f in enumerate(fields)])
-    key = [column(by).cast("string").alias("dataset")] if by else []
-    long = df.select(*key, F.inline(cells))
+    cells = ", ".join(_cell(i, f) for i, f in enumerate(fields))
+    key = [f"CAST({quoted(by)} AS STRING) AS dataset"] if by else []
+    long = df.selectExpr(*key, f"inline(array({cells}))")
+    long = long if any(_is_text(f.dataType) for f in fields) else long.drop("facts")
     return long.groupBy(*long.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _exact_counts(df: DataFrame, fields: list[T.StructField], by: str | None) -> DataFrame:
     texts = [i for i, f in enumerate(fields) if _is_text(f.dataType)]
-    values = _distinct_values(df, fields, by)
     key = ["dataset", "position"] if by else ["position"]
-    n = F.col("n")
-    measures = {
-        "row_count": n,
-        "null_count": F.when(~F.col("present"), n),
-        "distinct_count": F.when(F.col("present"), F.lit(1)),
-    }
-    values = values.withColumn("present", reduce(or_, [F.col(s).isNotNull() for s in SLOTS]))
+    present = " OR ".join(f"{s} IS NOT NULL" for s in SLOTS)
+    own = f"CAST(NULL AS {FACTS})"
     if texts:
-        is_text = F.col("position").isin(texts) & F.col("present")
-        own = F.when(is_text, F.coalesce("facts", _text_facts(F.col("text"))))
-        values = values.withColumn("of", own)
-        measures["total_length"] = F.col("of.length") * n
-        for i, _ in enumerate(MULTI_VALUE_SEPARATORS):
-            measures[f"splits_{i}"] = F.when(F.col(f"of.splits_{i}"), n)
-        measures["ranges"] = F.when(F.col("of.is_range"), n)
-        values = values.withColumn("unit", F.col("of.unit"))
-    else:
-        values = values.withColumn("unit", F.lit(None).cast("string"))
+        is_text = f"position IN ({', '.join(map(str, texts))}) AND text IS NOT NULL"
+        own = f"CASE WHEN {is_text} THEN coalesce(facts, {_text_facts('text')}) END"
+    values = _distinct_values(df, fields, by).selectExpr(*key, "n", f"{present} AS present", f"{own} AS of")
+    sums = {
+        "row_count": "n",
+        "null_count": "CASE WHEN NOT present THEN n END",
+        "distinct_count": "CASE WHEN present THEN 1 END",
+        "total_length": "of.length * n",
+        **{f"splits_{i}": f"CASE WHEN of.splits_{i} THEN n END" for i in range(len(MULTI_VALUE_SEPARATORS))},
+        "ranges": "CASE WHEN of.is_range THEN n END",
+    }
     # Units first, then columns: the second grouping only sees one row per column and unit.
-    by_unit = values.groupBy(*key, "unit").agg(*[F.sum(m).alias(name) for name, m in measures.items()])
-    sums = [F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in measures]
+    by_unit = values.groupBy(*key, F.col("of.unit").alias("unit")).agg(
+        *[F.expr(f"sum({x}) AS {name}") for name, x in sums.items()]
+    )
     # The most frequent unit; ties go to the first in order.
-    order = F.struct(-F.col("ranges") if texts else F.lit(0), F.col("unit"))
-    unit = F.min_by("unit", F.when(F.col("unit").isNotNull(), order))
-    return by_unit.groupBy(*key).agg(*sums, unit.alias("unit"))
+    unit = "min_by(unit, CASE WHEN unit IS NOT NULL THEN struct(-ranges, unit) END) AS unit"
+    return by_unit.groupBy(*key).agg(*[F.expr(f"coalesce(sum({x}), 0L) AS {x}") for x in sums], F.expr(unit))
 
 
 def _described(spark, fields: list[T.StructField]) -> DataFrame:
@@ -235,24 +246,20 @@ def column_counts(
     skip = {by, *exclude}
     fields = [f for f in df.schema if f.name not in skip]
     counts = _exact_counts(df, fields, by)
+    # As many rows as the table has columns.
     described = F.broadcast(_described(df.sparkSession, fields))
     if by:
         joined = counts.join(described, "position")
     else:
         # From the schema outwards, so that an empty table still has a row per column.
         joined = described.join(counts, "position", "left").withColumn("dataset", F.lit(dataset))
-    filled = joined.fillna(0, [c for c in counts.columns if c not in ("dataset", "position", "unit")])
-    values = F.col("row_count") - F.col("null_count")
-    texts = "total_length" in counts.columns
-    return filled.select(
-        "dataset", "name", "type", "is_text", "position", "row_count", "null_count", "distinct_count",
-        (F.when(F.col("is_text"), F.col("total_length") / F.nullif(values, F.lit(0))) if texts
-         else F.lit(None).cast("double")).alias("avg_length"),
-        *[
-            (F.col(f"splits_{i}") / F.nullif(values, F.lit(0)) if texts else F.lit(None).cast("double")).alias(f"splits_{i}")
-            for i, _ in enumerate(MULTI_VALUE_SEPARATORS)
-        ],
-        (F.col("ranges") / F.nullif(values, F.lit(0)) if texts else F.lit(None).cast("double")).alias("ranges"),
+    values = "CASE WHEN is_text THEN nullif(row_count - null_count, 0) END"
+    shares = [*[f"splits_{i}" for i in range(len(MULTI_VALUE_SEPARATORS))], "ranges"]
+    return joined.selectExpr(
+        "dataset", "name", "type", "is_text", "position",
+        *[f"coalesce({c}, 0L) AS {c}" for c in ("row_count", "null_count", "distinct_count")],
+        f"total_length / {values} AS avg_length",
+        *[f"{c} / {values} AS {c}" for c in shares],
         "unit",
     )
 
@@ -336,10 +343,10 @@ def estimated_counts(df: DataFrame, dataset: str = "data") -> DataFrame:
         _, value = _typed_value(f.name, f.dataType)
         aggregates += [
             F.count(c).alias(f"{i}_values"),
-            F.approx_count_distinct(value, ESTIMATE_ERROR).alias(f"{i}_distinct"),
+            F.approx_count_distinct(F.expr(value), ESTIMATE_ERROR).alias(f"{i}_distinct"),
         ]
         if _is_text(f.dataType):
-            facts = _text_facts(c)
+            facts = F.expr(_text_facts(quoted(f.name)))
             aggregates.append(F.avg(facts["length"]).alias(f"{i}_length"))
             aggregates += [F.count_if(facts[f"splits_{k}"]).alias(f"{i}_splits_{k}") for k in separators]
             aggregates.append(F.count_if(facts["is_range"]).alias(f"{i}_ranges"))
