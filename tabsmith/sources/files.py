@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +43,13 @@ def dedup_rows(df: DataFrame, content: str, order_by: Sequence[str], within: Seq
     Only hashes and ordering columns are grouped, so a content repeated any number of times costs one
     row per task; the rows themselves are then kept by a semi join on their own identity.
     """
-    hashed = df.withColumn("_hash", F.md5(F.col(content).cast("binary")))
+    # A missing content is a content too.
+    hashed = df.withColumn("_hash", F.coalesce(F.md5(F.col(content).cast("binary")), F.lit("")))
     first = hashed.groupBy(*within, "_hash").agg(F.min(F.struct(*order_by)).alias("_first"))
-    keys = [*order_by]
-    kept = first.select(*within, "_hash", "_first.*")
-    return hashed.join(kept, [*within, "_hash", *keys], "left_semi").select(*df.columns)
+    keys = [*within, "_hash", *order_by]
+    kept = first.select(*within, "_hash", "_first.*").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return hashed.join(kept, same, "left_semi").select(*df.columns)
 
 
 def storage_refcount(registry: DataFrame) -> DataFrame:
