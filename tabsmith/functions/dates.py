@@ -31,7 +31,15 @@ def parse_date(col: Column, day_first: bool = False) -> Column:
     if day_first:
         formats.sort(key=lambda f: not f[0].startswith(("yyyy", "d")))
     text = F.trim(col)
-    attempts = [F.when(text.rlike(shape), F.try_to_date(text, pattern)) for pattern, shape in formats]
-    # No format is shorter than 8 or longer than 19 characters, nor without a digit at either end.
-    plausible = F.length(text).between(8, 19) & text.rlike(r"^[\dA-Za-z].*\d$")
-    return F.when(plausible, F.coalesce(*attempts))
+
+    def first_of(*starts: str) -> Column:
+        tried = [(pattern, shape) for pattern, shape in formats if pattern.startswith(starts)]
+        return F.coalesce(*[F.when(text.rlike(shape), F.try_to_date(text, pattern)) for pattern, shape in tried])
+
+    # Comparing one or two characters first spares most texts all of the regular expressions.
+    by_kind = (
+        F.when(F.substring(text, 5, 1).isin("-", "/"), F.coalesce(first_of("yyyy"), first_of("M/", "d/", "M-", "d-")))
+        .when(F.substring(text, 1, 1).between("0", "9"), first_of("M/", "d/", "M-", "d-"))
+        .otherwise(first_of("MMM"))
+    )
+    return F.when(F.length(text).between(8, 19) & F.substring(text, -1, 1).between("0", "9"), by_kind)

@@ -1,7 +1,7 @@
 """Cleaning: null sentinels, type inference, date and money normalisation, conversion losses.
 
 Every decision about a table comes from one aggregate over its text columns (`text_facts`), whatever
-the number of columns; the driver only ever holds that single row.
+the number of columns; the driver only ever holds one row per column.
 """
 from __future__ import annotations
 
@@ -46,19 +46,27 @@ def nullify_sentinels(df: DataFrame, columns: Iterable[str] | None = None) -> Da
 def value_type(text: Column) -> Column:
     """The narrowest type whose shape and cast a single text value passes, NULL for plain text."""
     t = F.trim(text)
-    return (
+    first, size = F.substring(t, 1, 1), F.length(t)
+    digit = first.between("0", "9")
+    number = (
         F.when(
             t.rlike(INTEGER),
             F.when(t.try_cast("bigint").isNotNull(), "bigint")
             .when(t.try_cast("decimal(38,0)").isNotNull(), "decimal(38,0)")
             .otherwise("double"),
-        )
-        .when(t.rlike(DECIMAL), "double")
-        .when(t.rlike(BOOLEAN), "boolean")
-        .when(t.rlike(DATE), F.when(t.try_cast("date").isNotNull(), "date"))
+        ).when(t.rlike(DECIMAL), "double")
+    )
+    moment = (
+        F.when((size <= 10) & t.rlike(DATE), F.when(t.try_cast("date").isNotNull(), "date"))
         .when(t.rlike(TIMESTAMP), F.when(t.try_cast("timestamp_ntz").isNotNull(), "timestamp_ntz"))
         .when(t.rlike(ZONED), F.when(t.try_cast("timestamp").isNotNull(), "timestamp"))
     )
+    # The first character and the length spare most texts the regular expressions.
+    return (
+        F.when(digit & (F.substring(t, 5, 1) == "-") & (size >= 8), moment)
+        .when(digit | first.isin("-", "."), number)
+        .when((size <= 5) & t.rlike(BOOLEAN), "boolean")
+    )
 
 
 @dataclass(frozen=True)
@@ -102,53 +110,45 @@ TYPE_LADDER = {
 _VALUE_TYPES = ("bigint", "decimal(38,0)", "double", "boolean", "date", "timestamp_ntz", "timestamp")
 
 
-def text_fact_inputs(columns: Iterable[str], day_first: bool = False) -> list[Column]:
-    """Per column its value type, parsed date and parsed number, worked out once before the counting."""
-    out = []
-    for i, name in enumerate(columns):
-        c = column(name)
-        out += [
-            c.isNotNull().alias(f"{i}_present"),
-            value_type(c).alias(f"{i}_type"),
-            parse_date(c, day_first).isNotNull().alias(f"{i}_date"),
-            looks_like_money(c).alias(f"{i}_money"),
-            parse_numeric_string(c).isNotNull().alias(f"{i}_number"),
-        ]
-    return out
-
-
-def text_fact_counts(columns: Iterable[str]) -> list[Column]:
-    """The counts over `text_fact_inputs`; a caller may add its own to the same pass."""
-    out = []
-    for i, _ in enumerate(columns):
-        out.append(F.count_if(F.col(f"{i}_present")).alias(f"{i}_values"))
-        out += [F.count_if(F.col(f"{i}_type") == t).alias(f"{i}_{t}") for t in _VALUE_TYPES]
-        out.append(F.count_if(F.col(f"{i}_date")).alias(f"{i}_dates"))
-        out.append(F.count_if(F.col(f"{i}_money")).alias(f"{i}_money_shaped"))
-        out.append(F.count_if(F.col(f"{i}_number")).alias(f"{i}_money_parsed"))
-    return out
-
-
-def read_text_facts(row: Mapping, columns: Iterable[str]) -> dict[str, TextFacts]:
-    return {
-        name: TextFacts(
-            values=row[f"{i}_values"],
-            types={t: row[f"{i}_{t}"] for t in _VALUE_TYPES},
-            dates=row[f"{i}_dates"],
-            money_shaped=row[f"{i}_money_shaped"],
-            money_parsed=row[f"{i}_money_parsed"],
-        )
-        for i, name in enumerate(columns)
-    }
-
+def text_facts(
+    df: DataFrame, columns: Iterable[str] | None = None, day_first: bool = False, extra: Column | None = None
+) -> dict[str | None, TextFacts]:
+    """One pass over the text columns; the result has one row per column.
 
-def text_facts(df: DataFrame, columns: Iterable[str] | None = None, day_first: bool = False) -> dict[str, TextFacts]:
-    """One pass over the text columns; the result is one row, so its size depends on the schema only."""
+    The values are taken as (column, text) rows, so the plan and its generated code stay the same
+    size however wide the table is, and small enough for the JVM to compile. ``extra`` is one more
+    text whose facts come under None.
+    """
     names = list(columns) if columns is not None else text_columns(df)
-    if not names:
+    cells = [column(c) for c in names] + ([] if extra is None else [extra])
+    if not cells:
         return {}
-    row = df.select(*text_fact_inputs(names, day_first)).agg(*text_fact_counts(names)).first()
-    return read_text_facts(row.asDict(), names)
+    long = df.select(F.posexplode(F.array(*cells)).alias("position", "value")).filter("value IS NOT NULL")
+    value = F.col("value")
+    tested = long.select(
+        "position",
+        value_type(value).alias("type"),
+        parse_date(value, day_first).isNotNull().alias("date"),
+        looks_like_money(value).alias("money"),
+        parse_numeric_string(value).isNotNull().alias("number"),
+    )
+    counts = tested.groupBy("position").agg(
+        F.count(F.lit(1)).alias("values"),
+        *[F.count_if(F.col("type") == t).alias(t) for t in _VALUE_TYPES],
+        F.count_if("date").alias("dates"),
+        F.count_if("money").alias("money_shaped"),
+        F.count_if("number").alias("money_parsed"),
+    )
+    found = {r["position"]: r.asDict() for r in counts.collect()}
+    nothing = dict.fromkeys(["values", *_VALUE_TYPES, "dates", "money_shaped", "money_parsed"], 0)
+    facts = {}
+    for position, name in enumerate([*names, None][: len(cells)]):
+        row = found.get(position, nothing)
+        facts[name] = TextFacts(
+            values=row["values"], types={t: row[t] for t in _VALUE_TYPES}, dates=row["dates"],
+            money_shaped=row["money_shaped"], money_parsed=row["money_parsed"],
+        )
+    return facts
 
 
 def infer_types(df: DataFrame, facts: Mapping[str, TextFacts] | None = None) -> DataFrame:

@@ -1,13 +1,15 @@
 """Column profiles: counts, classification, hints. One table, or a whole catalog of datasets, per call.
 
-Exact mode turns the table into (dataset, column, value) and groups it once. Everything else is read
-off the distinct values and their counts, so patterns are tested once per distinct value, a value
-that fills a column costs one row after the map-side combine, and there is no per-column query.
+Exact mode turns the table into (dataset, column, value) rows, by type of value, and groups them. All
+else is read off the distinct values and their counts, so patterns are tested once per distinct
+value, a value that fills a column costs one row after the map-side combine, and there is no
+per-column query.
 """
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -149,110 +151,114 @@ def _text_facts(text: str) -> str:
     return f"named_struct('length', length({text}), {splits}'is_range', {is_range}, 'unit', {unit})"
 
 
-FACTS = (
-    "struct<length: int, "
-    + "".join(f"splits_{i}: boolean, " for i in range(len(MULTI_VALUE_SEPARATORS)))
-    + "is_range: boolean, unit: string>"
-)
-SLOTS = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
-
-
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
 def _typed_value(name: str, data_type: T.DataType) -> tuple[str, str]:
-    """The slot a value is compared in, and its SQL. No number or date is turned into text for it."""
+    """The type a value is compared in, and its SQL. No number or date is turned into text for it."""
     c = quoted(name)
     if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return "whole", f"CAST({c} AS BIGINT)"
+        return "bigint", f"CAST({c} AS BIGINT)"
     if isinstance(data_type, T.BooleanType):
-        return "whole", f"CAST(CAST({c} AS INT) AS BIGINT)"
+        return "bigint", f"CAST(CAST({c} AS INT) AS BIGINT)"
     if isinstance(data_type, T.DateType):
-        return "whole", f"CAST(unix_date({c}) AS BIGINT)"
+        return "bigint", f"CAST(unix_date({c}) AS BIGINT)"
     if isinstance(data_type, T.TimestampType):
-        return "whole", f"unix_micros({c})"
+        return "bigint", f"unix_micros({c})"
     if isinstance(data_type, T.TimestampNTZType):
-        return "moment", c
+        return "timestamp_ntz", c
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return "real", f"CAST({c} AS DOUBLE)"
+        return "double", f"CAST({c} AS DOUBLE)"
     if isinstance(data_type, T.BinaryType):
-        text = f"base64({c})"
-    elif isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
-        text = f"to_json({c})"
-    else:
-        text = f"CAST({c} AS STRING)"
-    return "text", f"CASE WHEN length({text}) > {LONG_TEXT} THEN sha2({text}, 256) ELSE {text} END"
+        return "other", f"base64({c})"
+    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
+        return "other", f"to_json({c})"
+    return "text" if _is_text(data_type) else "other", f"CAST({c} AS STRING)"
 
 
-def _cell(position: int, field: T.StructField) -> str:
-    """A value as (position, one typed slot, facts of a long text), as SQL."""
-    slot, value = _typed_value(field.name, field.dataType)
-    slots = ", ".join(f"'{s}', {value if s == slot else f'CAST(NULL AS {t})'}" for s, t in SLOTS.items())
-    facts = f"CAST(NULL AS {FACTS})"
-    if _is_text(field.dataType):
-        c = quoted(field.name)
-        facts = f"CASE WHEN length({c}) > {LONG_TEXT} THEN {_text_facts(c)} END"
-    return f"named_struct('position', {position}, {slots}, 'facts', {facts})"
+def digest(text: str) -> str:
+    return f"CASE WHEN length({text}) > {LONG_TEXT} THEN sha2({text}, 256) ELSE {text} END"
 
 
-def _distinct_values(df: DataFrame, fields: list[T.StructField], by: str | None) -> DataFrame:
-    """One row per dataset, column and distinct value, with its count ``n``."""
-    cells = ", ".join(_cell(i, f) for i, f in enumerate(fields))
-    key = [f"CAST({quoted(by)} AS STRING) AS dataset"] if by else []
-    long = df.selectExpr(*key, f"inline(array({cells}))")
-    long = long if any(_is_text(f.dataType) for f in fields) else long.drop("facts")
-    return long.groupBy(*long.columns).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _exact_counts(df: DataFrame, fields: list[T.StructField], by: str | None) -> DataFrame:
-    texts = [i for i, f in enumerate(fields) if _is_text(f.dataType)]
-    key = ["dataset", "position"] if by else ["position"]
-    present = " OR ".join(f"{s} IS NOT NULL" for s in SLOTS)
-    own = f"CAST(NULL AS {FACTS})"
-    if texts:
-        is_text = f"position IN ({', '.join(map(str, texts))}) AND text IS NOT NULL"
-        own = f"CASE WHEN {is_text} THEN coalesce(facts, {_text_facts('text')}) END"
-    values = _distinct_values(df, fields, by).selectExpr(*key, "n", f"{present} AS present", f"{own} AS of")
-    sums = {
-        "row_count": "n",
-        "null_count": "CASE WHEN NOT present THEN n END",
-        "distinct_count": "CASE WHEN present THEN 1 END",
-        "total_length": "of.length * n",
-        **{f"splits_{i}": f"CASE WHEN of.splits_{i} THEN n END" for i in range(len(MULTI_VALUE_SEPARATORS))},
-        "ranges": "CASE WHEN of.is_range THEN n END",
-    }
-    # Units first, then columns: the second grouping only sees one row per column and unit.
-    by_unit = values.groupBy(*key, F.col("of.unit").alias("unit")).agg(
-        *[F.expr(f"sum({x}) AS {name}") for name, x in sums.items()]
-    )
-    # The most frequent unit; ties go to the first in order.
-    unit = "min_by(unit, CASE WHEN unit IS NOT NULL THEN struct(-ranges, unit) END) AS unit"
-    return by_unit.groupBy(*key).agg(*[F.expr(f"coalesce(sum({x}), 0L) AS {x}") for x in sums], F.expr(unit))
+_COUNTS = {
+    "row_count": "n",
+    "null_count": "CASE WHEN NOT present THEN n END",
+    "distinct_count": "CASE WHEN present THEN 1L END",
+}
+_TEXT_COUNTS = {
+    "total_length": "of.length * n",
+    **{f"splits_{i}": f"CASE WHEN of.splits_{i} THEN n END" for i in range(len(MULTI_VALUE_SEPARATORS))},
+    "ranges": "CASE WHEN of.is_range THEN n END",
+}
 
 
-def _described(spark, fields: list[T.StructField]) -> DataFrame:
-    rows = [(i, f.name, f.dataType.simpleString(), _is_text(f.dataType)) for i, f in enumerate(fields)]
-    return spark.createDataFrame(rows, "position int, name string, type string, is_text boolean")
+def _group_counts(df: DataFrame, kind: str, values: list[str], key: list[str]) -> DataFrame:
+    """Counts of the columns compared in one type: dataset, kind, at (place among them), unit, sums.
+
+    The values become (at, value) rows of that very type. They are grouped to distinct values, and
+    those to columns; a text is taken apart once per distinct value, a long one before it is digested.
+    """
+    long = df.selectExpr(*key, f"posexplode(array({', '.join(values)})) AS (at, value)")
+    names = ["dataset"] if key else []
+    facts, unit, text_counts = "NULL", "CAST(NULL AS STRING)", {c: "CAST(NULL AS BIGINT)" for c in _TEXT_COUNTS}
+    if kind in ("text", "other"):
+        is_long = f"length(value) > {LONG_TEXT}"
+        facts = f"CASE WHEN {is_long} THEN {_text_facts('value')} END" if kind == "text" else "NULL"
+        long = long.selectExpr(*names, "at", f"{digest('value')} AS value", f"{facts} AS facts")
+        long = long if kind == "text" else long.drop("facts")
+    distinct = long.groupBy(*long.columns).agg(F.count(F.lit(1)).alias("n"))
+    if kind == "text":
+        distinct = distinct.selectExpr(*names, "at", "n", "value IS NOT NULL AS present",
+                                       f"coalesce(facts, {_text_facts('value')}) AS of")
+        unit, text_counts = "of.unit", _TEXT_COUNTS
+    else:
+        distinct = distinct.selectExpr(*names, "at", "n", "value IS NOT NULL AS present")
+    sums = [F.expr(f"sum({x}) AS {name}") for name, x in {**_COUNTS, **text_counts}.items()]
+    by_unit = distinct.groupBy(*names, F.lit(kind).alias("kind"), "at", F.expr(unit).alias("unit"))
+    return by_unit.agg(*sums)
+
+
+def _exact_counts(df: DataFrame, fields: list[T.StructField], by: str | None) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """The counts per (kind, at), and where each column is found."""
+    places, groups = [], {}
+    for f in fields:
+        kind, value = _typed_value(f.name, f.dataType)
+        members = groups.setdefault(kind, [])
+        places.append((kind, len(members)))
+        members.append(value)
+    key = [f"CAST({quoted(by)} AS STRING) AS dataset"] if by else []
+    # Each group reads its own columns only, so together they scan the table once.
+    parts = [_group_counts(df, kind, values, key) for kind, values in groups.items()]
+    both = reduce(DataFrame.unionByName, parts)
+    # One row per column and unit is left. The most frequent unit is taken, of equals the first in order.
+    unit = "min_by(unit, CASE WHEN unit IS NOT NULL THEN struct(-ranges, unit) END) AS unit"
+    sums = [F.expr(f"coalesce(sum({c}), 0L) AS {c}") for c in (*_COUNTS, *_TEXT_COUNTS)]
+    names = ["dataset"] if by else []
+    return both.groupBy(*names, "kind", "at").agg(*sums, F.expr(unit)), places
 
 
 def column_counts(
     df: DataFrame, dataset: str = "data", by: str | None = None, exclude: Iterable[str] = ()
 ) -> DataFrame:
-    """The exact counts behind a profile: one scan and one shuffle of distinct values.
+    """The exact counts behind a profile: every column is read once and shuffled as distinct values.
 
     ``by`` names a column whose values are dataset names: each gets a profile of its own.
     """
     skip = {by, *exclude}
     fields = [f for f in df.schema if f.name not in skip]
-    counts = _exact_counts(df, fields, by)
+    counts, places = _exact_counts(df, fields, by)
     # As many rows as the table has columns.
-    described = F.broadcast(_described(df.sparkSession, fields))
+    described = F.broadcast(df.sparkSession.createDataFrame(
+        [(*place, i, f.name, f.dataType.simpleString(), _is_text(f.dataType))
+         for i, (f, place) in enumerate(zip(fields, places))],
+        "kind string, at int, position int, name string, type string, is_text boolean",
+    ))
     if by:
-        joined = counts.join(described, "position")
+        joined = counts.join(described, ["kind", "at"])
     else:
         # From the schema outwards, so that an empty table still has a row per column.
-        joined = described.join(counts, "position", "left").withColumn("dataset", F.lit(dataset))
+        joined = described.join(counts, ["kind", "at"], "left").withColumn("dataset", F.lit(dataset))
     values = "CASE WHEN is_text THEN nullif(row_count - null_count, 0) END"
     shares = [*[f"splits_{i}" for i in range(len(MULTI_VALUE_SEPARATORS))], "ranges"]
     return joined.selectExpr(
@@ -340,7 +346,8 @@ def estimated_counts(df: DataFrame, dataset: str = "data") -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         c = column(f.name)
-        _, value = _typed_value(f.name, f.dataType)
+        kind, value = _typed_value(f.name, f.dataType)
+        value = digest(value) if kind in ("text", "other") else value
         aggregates += [
             F.count(c).alias(f"{i}_values"),
             F.approx_count_distinct(F.expr(value), ESTIMATE_ERROR).alias(f"{i}_distinct"),

@@ -16,9 +16,7 @@ from tabsmith.operators.cleaning import (
     TextFacts,
     column,
     nullify_sentinels,
-    read_text_facts,
-    text_fact_counts,
-    text_fact_inputs,
+    text_facts,
 )
 
 CORRUPT = "_corrupt_record"
@@ -132,12 +130,10 @@ def plan_cleaning(df: DataFrame, day_first: bool = False) -> CleaningPlan:
     """One pass over an all-text table (as `read_csv_text` gives it) that also counts its ragged rows."""
     assert_csv_clean(df, corrupt_rows=0)
     names = [c for c in df.columns if c != CORRUPT]
-    folded = nullify_sentinels(df, names)
-    corrupt = F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None)
-    inputs = folded.select(corrupt.isNotNull().alias("ragged"), *text_fact_inputs(names, day_first))
-    row = inputs.agg(F.count_if("ragged").alias("ragged"), *text_fact_counts(names)).first().asDict()
-    assert_csv_clean(df, corrupt_rows=row["ragged"])
-    return plan_from_facts(read_text_facts(row, names), day_first)
+    corrupt = F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None).cast("string")
+    facts = text_facts(nullify_sentinels(df, names), names, day_first, extra=corrupt)
+    assert_csv_clean(df, corrupt_rows=facts.pop(None).values)
+    return plan_from_facts(facts, day_first)
 
 
 def read_csv_clean(
