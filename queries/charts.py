@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from queries.common import r6, table
 from tabsmith.operators import charts, facts
 from tabsmith.operators.charts import ChartFilter
+from tabsmith.operators.edits import EditRules, Merge
 from tabsmith.operators.ranges import RangeConfig
 from tabsmith.operators.tags import TagConfig
 from tabsmith.plans.charts import ChartSpec, run_chart
@@ -170,6 +171,19 @@ QUERIES["filter_own_column"] = filter_own_column
 ORACLES["filter_own_column"] = f"SELECT bucket, count FROM ({_hist_sql('l_quantity', 'lineitem', 5)})"
 
 
+def filter_merged_value(spark, sf):
+    """A filter on a merged value, turned into a list of stored ones."""
+    rules = EditRules().with_merge("o_orderpriority", Merge("SOON", ["1-URGENT", "2-HIGH"]))
+    spec = ChartSpec("o_orderstatus", "categorical", "pie")
+    return run_chart(table(spark, sf, "orders"), spec, ChartFilter("o_orderpriority", equals="SOON"), edits=rules)
+
+
+QUERIES["filter_merged_value"] = filter_merged_value
+ORACLES["filter_merged_value"] = """
+SELECT o_orderstatus AS category, count(*) AS count FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY ALL
+"""
+
+
 def filter_measure_chart(spark, sf):
     """A filter keeps a measure chart a measure chart."""
     spec = ChartSpec("o_orderstatus", "categorical", "pie", measure="o_totalprice", agg="avg")

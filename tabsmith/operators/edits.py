@@ -95,6 +95,14 @@ def apply_edits(df: DataFrame, rules: EditRules) -> DataFrame:
     return df
 
 
+def raw_values(rules: EditRules, name: str, value: str) -> list[str] | None:
+    """The stored texts that read as ``value`` under a column's merges; None if replacements forbid a list."""
+    if rules.replacements.get(name):
+        return None
+    targets = _target_by_source(rules.merges.get(name, ()))
+    return [*(s for s, t in targets.items() if t == value), *([value] if value not in targets else [])]
+
+
 def _merged(text: Column, targets: Mapping[str, str]) -> Column:
     # One IN list per target; a source has one target only, so their order is free.
     by_target: dict[str, list[str]] = {}

@@ -5,9 +5,12 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsmith.operators import charts, ranges, tags
 from tabsmith.operators.charts import DEFAULT_BINS, ChartFilter
+from tabsmith.operators.cleaning import column
+from tabsmith.operators.edits import EditRules, apply_edits, raw_values
 
 # Partition types in priority order, and chart types.
 PARTITION_TYPES = ("datetime", "numerical_bins", "categorical")
@@ -53,9 +56,29 @@ class ChartSpec:
         return charts.bell_curve(result, self.bins) if self.chart_type == "bell_curve" else result
 
 
-def run_chart(df: DataFrame, spec: ChartSpec, filter_: ChartFilter | None = None, bins: int | None = None) -> DataFrame:
-    """The chart under a cross-filter and a chosen bin count; a filter on its own column is left out."""
-    if filter_ is not None and filter_.column != spec.column:
+def run_chart(
+    df: DataFrame,
+    spec: ChartSpec,
+    filter_: ChartFilter | None = None,
+    bins: int | None = None,
+    edits: EditRules | None = None,
+) -> DataFrame:
+    """The chart under a cross-filter and a chosen bin count; a filter on its own column is left out.
+
+    With ``edits``, ``df`` is the stored data. An equality filter on a merged text column then becomes
+    a list of stored values, which the Parquet scan can use; on the edited text it could not.
+    """
+    if filter_ is not None and filter_.column == spec.column:
+        filter_ = None
+    if edits:
+        raw = None
+        if filter_ is not None and filter_.lo is None and filter_.hi is None:
+            if isinstance(df.schema[filter_.column].dataType, T.StringType):
+                raw = raw_values(edits, filter_.column, str(filter_.equals))
+        if raw is not None:
+            df, filter_ = df.filter(column(filter_.column).isin(raw)), None
+        df = apply_edits(df, edits)
+    if filter_ is not None:
         df = filter_.apply(df)
     return (spec if bins is None else replace(spec, bins=bins)).apply(df)
 

@@ -25,7 +25,7 @@ def ingest_csv(
     csv_path: str,
     dataset_path: str,
     dataset: str = "data",
-    delimiter: str = ",",
+    delimiter: str | None = None,
     multi_line: bool | None = None,
     day_first: bool = False,
     exact: bool = True,

@@ -47,6 +47,17 @@ def _largest_file(spark: SparkSession, path: str) -> int:
     return files.agg(F.max("length")).first()[0] or 0
 
 
+# The delimiters looked for, the first winning a tie.
+DELIMITERS = (",", ";", "\t", "|")
+
+
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    """The candidate that splits the header line into the most columns."""
+    line = spark.read.text(path).first()
+    bare = re.sub(r'"[^"]*"', "", line[0]) if line else ""
+    return max(DELIMITERS, key=bare.count)
+
+
 def header_names(spark: SparkSession, path: str, delimiter: str = ",") -> list[str]:
     """Column names from the first record; a repeated name gets a suffix (a, a_1), a blank one its position."""
     first = spark.read.options(header=False, **_options(delimiter, True)).csv(path).first()
@@ -64,13 +75,14 @@ def header_names(spark: SparkSession, path: str, delimiter: str = ",") -> list[s
 
 
 def read_csv_text(
-    spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool | None = None
+    spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """Every column as text, plus the raw record in ``_corrupt_record`` where the field count is off.
 
-    ``multi_line=None`` looks at the data: files that fit one split are read as multi-line, larger
+    ``delimiter=None`` goes by the header line. ``multi_line=None`` looks at the data: files that fit one split are read as multi-line, larger
     ones only if a quoted line break was found.
     """
+    delimiter = sniff_delimiter(spark, path) if delimiter is None else delimiter
     if multi_line is None:
         multi_line = _largest_file(spark, path) <= ONE_TASK_BYTES or has_quoted_newlines(spark, path)
     names = header_names(spark, path, delimiter)
@@ -139,7 +151,7 @@ def plan_cleaning(df: DataFrame, day_first: bool = False) -> CleaningPlan:
 def read_csv_clean(
     spark: SparkSession,
     path: str,
-    delimiter: str = ",",
+    delimiter: str | None = None,
     multi_line: bool | None = None,
     day_first: bool = False,
 ) -> DataFrame:

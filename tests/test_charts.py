@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.operators import charts, facts
 from tabsmith.operators.charts import ChartFilter
+from tabsmith.operators.edits import EditRules, Merge, Replacement
 from tabsmith.operators.median import grouped_median
 from tabsmith.operators.profile import profile
 from tabsmith.operators.tags import TagConfig
@@ -71,6 +72,22 @@ def test_equality_filter_reaches_the_scan(spark, mixed, tmp_path):
     assert ChartFilter("age", equals="abc").apply(stored).count() == 0
 
 
+def test_filter_on_a_merged_value_reaches_the_scan(spark, mixed, tmp_path):
+    path = str(tmp_path / "m")
+    mixed.write.parquet(path)
+    stored, spec = spark.read.parquet(path), ChartSpec("signup_date", "datetime", "line", grain="year")
+    merged = EditRules().with_merge("plan", Merge("paid", ["pro", "enterprise"]), Merge("basic", ["free"]))
+    counts = {}
+    for value in ("paid", "basic", "pro"):
+        chart = run_chart(stored, spec, ChartFilter("plan", equals=value), edits=merged)
+        counts[value] = sum(r["count"] for r in chart.collect())
+    assert counts == {"paid": 33, "basic": 17, "pro": 0}
+    chart = run_chart(stored, spec, ChartFilter("plan", equals="paid"), edits=merged)
+    assert "In(plan, [enterprise,paid,pro])" in chart._jdf.queryExecution().toString()
+    replaced = merged.with_replacement("plan", Replacement("basic", "pro"))
+    assert sum(r["count"] for r in run_chart(stored, spec, ChartFilter("plan", equals="paid"), edits=replaced).collect()) == 50
+
+
 def test_measures(spark):
     rows = [(["Austin", "Denver", "Seattle"][i % 3], 40000 + 1000 * i) for i in range(30)]
     df = spark.createDataFrame(rows, "city string, annual_income bigint")

@@ -88,6 +88,8 @@ def test_quoted_newline_and_split_reading(spark, csv, monkeypatch):
 
 def test_repeated_header_and_delimiter(spark, csv):
     assert read_csv_clean(spark, csv("a;a;b", "1;2;3"), delimiter=";").columns == ["a", "a_1", "b"]
+    assert read_csv_clean(spark, csv('a|"b,c,d"', "1|2")).columns == ["a", "b,c,d"]
+    assert read_csv_clean(spark, csv("a\tb\tc", "1\t2\t3")).columns == ["a", "b", "c"]
 
 
 # Values of one column, its type by inference alone, and after the date and money passes.
