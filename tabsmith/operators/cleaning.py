@@ -132,21 +132,18 @@ def text_facts(
         looks_like_money(value).alias("money"),
         parse_numeric_string(value).isNotNull().alias("number"),
     )
-    counts = tested.groupBy("position").agg(
-        F.count(F.lit(1)).alias("values"),
-        *[F.count_if(F.col("type") == t).alias(t) for t in _VALUE_TYPES],
-        F.count_if("date").alias("dates"),
-        F.count_if("money").alias("money_shaped"),
-        F.count_if("number").alias("money_parsed"),
-    )
-    found = {r["position"]: r.asDict() for r in counts.collect()}
-    nothing = dict.fromkeys(["values", *_VALUE_TYPES, "dates", "money_shaped", "money_parsed"], 0)
+    # At most a few dozen combinations per column come back.
+    outcomes = tested.groupBy(*tested.columns).agg(F.count(F.lit(1)).alias("n")).collect()
     facts = {}
     for position, name in enumerate([*names, None][: len(cells)]):
-        row = found.get(position, nothing)
+        mine = [r for r in outcomes if r["position"] == position]
+        total = lambda holds: sum(r["n"] for r in mine if holds(r))
         facts[name] = TextFacts(
-            values=row["values"], types={t: row[t] for t in _VALUE_TYPES}, dates=row["dates"],
-            money_shaped=row["money_shaped"], money_parsed=row["money_parsed"],
+            values=total(lambda r: True),
+            types={t: total(lambda r: r["type"] == t) for t in _VALUE_TYPES},
+            dates=total(lambda r: r["date"]),
+            money_shaped=total(lambda r: r["money"]),
+            money_parsed=total(lambda r: r["number"]),
         )
     return facts
 

@@ -296,16 +296,16 @@ def _finished(counts: DataFrame, warnings: Mapping[str, str] | None, samples: Da
 
 
 def sample_values(df: DataFrame, rows: int = SAMPLE_ROWS, values: int = SAMPLE_VALUES) -> DataFrame:
-    """Up to five distinct values of every column out of the first few rows: name, samples."""
-    texts = df.limit(rows).select(*[as_text(column(f.name), f.dataType).alias(str(i)) for i, f in enumerate(df.schema)])
-    picked = [
-        F.struct(
-            F.lit(f.name).alias("name"),
-            F.slice(F.array_distinct(F.collect_list(str(i))), 1, values).alias("samples"),
-        )
-        for i, f in enumerate(df.schema)
-    ]
-    return texts.agg(F.array(*picked).alias("rows")).select(F.inline("rows"))
+    """Up to five distinct values of every column out of the first few rows: name, samples.
+
+    ``head`` stops after the first partitions; a ``limit`` below an aggregate would visit them all.
+    """
+    fields = list(df.schema)
+    first = df.select(*[as_text(column(f.name), f.dataType).alias(str(i)) for i, f in enumerate(fields)]).head(rows)
+    picked = [list(dict.fromkeys(r[i] for r in first if r[i] is not None))[:values] for i, _ in enumerate(fields)]
+    return df.sparkSession.createDataFrame(
+        [(f.name, p) for f, p in zip(fields, picked)], "name string, samples array<string>"
+    )
 
 
 def profile(
