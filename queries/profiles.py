@@ -335,13 +335,13 @@ SELECT dataset, name, category, confidence FROM ({_OVERRIDDEN_SQL}) WHERE needs_
 
 
 def overlay_configs(spark, sf):
-    k, key = F.col("c_custkey"), F.col("c_custkey").cast("string").alias("dataset")
-    customers = table(spark, sf, "customer")
-    tags = customers.filter(k % 2 == 0).select(
-        key, F.lit("o_orderpriority").alias("name"), F.when(k % 4 == 0, "-").alias("tag_separator"))
-    spans = customers.filter(k % 3 == 0).select(
-        key, F.lit("o_orderpriority").alias("name"), F.when(k % 9 == 0, "").otherwise("~").alias("separator"),
-        F.when(k % 6 == 0, "kg").alias("unit"))
+    """Customers in credit saved a tag config, those outside building a range config."""
+    key, name = F.col("c_custkey").cast("string").alias("dataset"), F.lit("o_orderpriority").alias("name")
+    customers, segment = table(spark, sf, "customer"), F.col("c_mktsegment")
+    tags = customers.filter("c_acctbal >= 0").select(key, name, F.when(segment == "MACHINERY", "-").alias("tag_separator"))
+    spans = customers.filter(segment != "BUILDING").select(
+        key, name, F.when(segment == "FURNITURE", "").otherwise("~").alias("separator"),
+        F.when(segment != "HOUSEHOLD", "kg").alias("unit"))
     laid = overrides.overlay_configs(_catalog(spark, sf), tags, spans)
     return laid.select("dataset", "name", "multi_value_separator", "range_separator", "range_unit")
 
@@ -351,10 +351,10 @@ ORACLES["overlay_configs"] = """
 WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders),
 n AS (SELECT unnest(['o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name)
 SELECT CAST(k AS VARCHAR) AS dataset, name,
-       CASE WHEN name = 'o_orderpriority' AND k % 2 = 0 THEN CASE WHEN k % 4 = 0 THEN '-' ELSE ',' END END AS multi_value_separator,
-       CASE WHEN name = 'o_orderpriority' AND k % 3 = 0 THEN CASE WHEN k % 9 = 0 THEN '-' ELSE '~' END END AS range_separator,
-       CASE WHEN name = 'o_orderpriority' AND k % 6 = 0 THEN 'kg' END AS range_unit
-FROM o, n
+       CASE WHEN c_acctbal >= 0 THEN CASE c_mktsegment WHEN 'MACHINERY' THEN '-' ELSE ',' END END AS multi_value_separator,
+       CASE WHEN c_mktsegment <> 'BUILDING' THEN CASE c_mktsegment WHEN 'FURNITURE' THEN '-' ELSE '~' END END AS range_separator,
+       CASE WHEN c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD') THEN 'kg' END AS range_unit
+FROM o CROSS JOIN n LEFT JOIN customer ON c_custkey = k AND name = 'o_orderpriority'
 """
 
 

@@ -37,7 +37,11 @@ def query(df: DataFrame, text: str) -> DataFrame:
     view = f"data_{uuid4().hex}"
     df.createOrReplaceTempView(view)
     wrapped = f"WITH data AS (SELECT * FROM {view})\nSELECT * FROM (\n{text.strip().removesuffix(';')}\n)"
-    conf = {"spark.sql.runSQLOnFiles": "false", "spark.sql.ansi.doubleQuotedIdentifiers": "true"}
+    conf = {
+        "spark.sql.runSQLOnFiles": "false",
+        "spark.sql.ansi.enabled": "true",
+        "spark.sql.ansi.doubleQuotedIdentifiers": "true",
+    }
     try:
         with _settings(spark, **conf):
             return spark.sql(wrapped)
