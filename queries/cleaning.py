@@ -49,13 +49,14 @@ _TYPES = {
 def infer_types(spark, sf):
     typed = cleaning.infer_types(table(spark, sf, "part").selectExpr(*[f"{e} AS {n}" for n, e in _TEXTS.items()]))
     rows = [F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
-                     F.count(f.name).alias("values"), F.count_distinct(f.name).alias("distinct_values")) for f in typed.schema]
+                     F.count(f.name).alias("values"), F.min(f.name).cast("string").alias("least"),
+                     F.max(f.name).cast("string").alias("most")) for f in typed.schema]
     return typed.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 QUERIES["infer_types"] = infer_types
 ORACLES["infer_types"] = " UNION ALL ".join(
-    f"SELECT '{n}' AS name, '{t}' AS type, count(x) AS values, count(DISTINCT x) AS distinct_values FROM "
+    f"SELECT '{n}' AS name, '{t}' AS type, count(x) AS values, CAST(min(x) AS STRING) AS least, CAST(max(x) AS STRING) AS most FROM "
     f"(SELECT {'CAST(' + e + ' AS ' + {'bigint': 'BIGINT', 'double': 'DOUBLE', 'boolean': 'BOOLEAN', 'date': 'DATE', 'timestamp_ntz': 'TIMESTAMP'}[t] + ')' if t in ('bigint', 'double', 'boolean', 'date', 'timestamp_ntz') else e} AS x FROM part)"
     for (n, e), t in zip(_TEXTS.items(), _TYPES.values())
 ).replace("STRING", "VARCHAR")
