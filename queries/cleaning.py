@@ -9,9 +9,9 @@ from tabsmith.functions.text import NULL_TOKENS
 from tabsmith.operators import cleaning
 from tabsmith.operators.edits import EditRules, Merge, apply_edits
 from tabsmith.plans.ingest import ingest_csv
-from tabsmith.plans.query import query
+from tabsmith.plans.query import query, run_query
 from tabsmith.sources import files
-from tabsmith.sources.csv import read_csv_clean
+from tabsmith.sources.csv import MalformedCsvError, assert_csv_clean, read_csv_clean, read_csv_text
 from tabsmith.sources.dataset import open_dataset, preview, write_dataset
 
 QUERIES, ORACLES = {}, {}
@@ -193,7 +193,8 @@ SELECT c_custkey, c_name, CASE WHEN c_nationkey IN (1, 2, 3) THEN 'north' ELSE C
 FROM customer
 """
 
-QUERIES["preview"] = lambda spark, sf: preview(table(spark, sf, "orders"))
+QUERIES["preview"] = lambda spark, sf: preview(table(spark, sf, "orders"), order_by=["o_orderkey"])
+ORACLES["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20"
 
 
 def adhoc_sql(spark, sf):
@@ -265,14 +266,67 @@ ORACLES["list_datasets"] = f"SELECT path AS dataset, created_at FROM ({_REGISTRY
 
 
 def dedup_files(spark, sf):
-    """Every page file is written twice; each copy points to the older one. File names differ from run
-    to run, so only the counts are given."""
-    pages, base = table(spark, sf, "pages").select("html"), scratch(spark)
+    """The customers of each nation are a file, written twice; of both, one stays."""
+    text = F.concat_ws("|", "c_custkey", "c_name").alias("value")
+    rows, base = table(spark, sf, "customer").select("c_nationkey", text), scratch(spark)
     for copy in ("first", "second"):
-        # Files of at most 1,000 pages stay far below the 2 GB that a file may have here.
-        pages.write.option("maxRecordsPerFile", 1000).text(f"{base}/{copy}")
+        rows.repartition(1, "c_nationkey").sortWithinPartitions("value").write.partitionBy("c_nationkey").text(f"{base}/{copy}")
     found = files.dedup_files(spark, base, "me").filter(F.col("path").endswith(".txt"))
-    return found.groupBy("is_copy").agg(F.count(F.lit(1)).alias("files"))
+    nation = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("nation")
+    return found.groupBy(nation).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if("is_copy").alias("copies"), F.count_distinct("stored_path").alias("stored"))
 
 
 QUERIES["dedup_files"] = dedup_files
+ORACLES["dedup_files"] = "SELECT DISTINCT c_nationkey AS nation, 2 AS files, 1 AS copies, 1 AS stored FROM customer"
+
+
+def csv_ragged_rows(spark, sf):
+    """Orders as CSV lines, every seventh with a field too many: what the reader finds off, and that it rejects the file."""
+    k, path = F.col("o_orderkey"), scratch(spark)
+    line = F.concat_ws(",", k, "o_orderstatus", F.when(k % 7 == 0, "more")).alias("value")
+    header = spark.range(1).select(F.lit("o_orderkey,o_orderstatus").alias("value"))
+    lines = header.select("value", F.lit(-1).alias("at")).unionByName(table(spark, sf, "orders").select(line, k.alias("at")))
+    lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    df = read_csv_text(spark, path)
+    try:
+        assert_csv_clean(df)
+        rejected = False
+    except MalformedCsvError:
+        rejected = True
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), F.count("_corrupt_record").alias("ragged"), F.count("o_orderkey").alias("keys"))
+    return counts.withColumn("rejected", F.lit(rejected))
+
+
+QUERIES["csv_ragged_rows"] = csv_ragged_rows
+ORACLES["csv_ragged_rows"] = """
+SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 7 = 0) AS ragged, count(*) AS keys, count(*) FILTER (o_orderkey % 7 = 0) > 0 AS rejected
+FROM orders
+"""
+
+
+def csv_duplicate_names(spark, sf):
+    """A header that names columns twice, in another case too."""
+    path = scratch(spark)
+    part = table(spark, sf, "part").select(F.concat_ws(",", "p_partkey", "p_size", "p_size", "p_partkey").alias("value"), F.col("p_partkey").alias("at"))
+    header = spark.range(1).select(F.lit("key,size,Size,KEY").alias("value"), F.lit(-1).alias("at"))
+    header.unionByName(part).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return read_csv_clean(spark, path)
+
+
+QUERIES["csv_duplicate_names"] = csv_duplicate_names
+ORACLES["csv_duplicate_names"] = 'SELECT p_partkey AS key, p_size::BIGINT AS size, p_size::BIGINT AS "Size_1", p_partkey AS "KEY_1" FROM part'
+
+
+def adhoc_truncated(spark, sf):
+    """Whether a query over the orders had more rows than it may hand back."""
+    rows = [(n, len(found), more) for n in (10, 1_000_000) for _, found, more in (
+        run_query(table(spark, sf, "orders"), "SELECT o_orderstatus, o_orderpriority, count(*) FROM data GROUP BY ALL", n),)]
+    return spark.createDataFrame(rows, "most bigint, rows bigint, truncated boolean")
+
+
+QUERIES["adhoc_truncated"] = adhoc_truncated
+ORACLES["adhoc_truncated"] = """
+WITH g AS (SELECT count(*) AS n FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders))
+SELECT most, least(n, most) AS rows, n > most AS truncated FROM g, (SELECT unnest([10, 1000000]) AS most)
+"""

@@ -38,6 +38,23 @@ SELECT c_custkey, regexp_replace(c_name, '^([A-Z])[a-z]+#0*(\d)', '\1-$\2', 'g')
 """
 
 
+def replace_regex_classes(spark, sf):
+    """Forms whose meaning differs between regular expression dialects."""
+    text = F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, "\n12").otherwise(" 12\n")).alias("c_name")
+    rules = EditRules()
+    for find, put in (("[[:alpha:]]+#", "C-"), ("12$", "end"), ("(?U)0+", "o"), (r"\(?(?P<d>[1-4])\)?", r"<\1>")):
+        rules = rules.with_replacement("c_name", Replacement(find, put, is_regex=True))
+    return edits.apply_edits(table(spark, sf, "customer").select("c_custkey", text), rules)
+
+
+QUERIES["replace_regex_classes"] = replace_regex_classes
+ORACLES["replace_regex_classes"] = r"""
+WITH t AS (SELECT c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '12' ELSE ' 12' || chr(10) END AS c_name FROM customer)
+SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(c_name, '[[:alpha:]]+#', 'C-', 'g'), '12$', 'end', 'g'),
+       '(?U)0+', 'o', 'g'), '\(?(?P<d>[1-4])\)?', '<\1>', 'g') AS c_name FROM t
+"""
+
+
 def edit_number_as_text(spark, sf):
     """A number with a rule reads as text, in positional notation."""
     rule = EditRules().with_replacement("o_totalprice", Replacement(".", ","))
@@ -83,18 +100,25 @@ MANY = [f"Supplier#{i:09d}" for i in range(0, 600, 2)]
 
 def merge_many_values(spark, sf):
     rule = EditRules().with_merge("s_name", Merge("even supplier", MANY))
-    return edits.apply_edits(table(spark, sf, "supplier"), rule).select("s_suppkey", "s_name")
+    named = table(spark, sf, "supplier").withColumns({"_source": F.lit("own"), "_target": F.col("s_suppkey")})
+    return edits.apply_edits(named, rule).select("s_suppkey", "s_name", "_source", "_target")
 
 
 QUERIES["merge_many_values"] = merge_many_values
 ORACLES["merge_many_values"] = f"""
-SELECT s_suppkey, CASE WHEN s_name IN ({sql_list(MANY)}) THEN 'even supplier' ELSE s_name END AS s_name FROM supplier
+SELECT s_suppkey, CASE WHEN s_name IN ({sql_list(MANY)}) THEN 'even supplier' ELSE s_name END AS s_name,
+       'own' AS _source, s_suppkey AS _target FROM supplier
 """
 
 QUERIES["value_counts"] = lambda spark, sf: edits.value_counts(table(spark, sf, "part"), "p_name", 20)
 ORACLES["value_counts"] = (
     "SELECT p_name AS value, count(*) AS count FROM part GROUP BY ALL ORDER BY count DESC, value LIMIT 20"
 )
+# More values than any screen shows: the limit asked for holds.
+QUERIES["value_counts_many"] = lambda spark, sf: edits.value_counts(table(spark, sf, "orders"), "o_totalprice", 6000)
+ORACLES["value_counts_many"] = """
+SELECT CAST(o_totalprice AS VARCHAR) AS value, count(*) AS count FROM orders GROUP BY ALL ORDER BY count DESC, value LIMIT 6000
+"""
 QUERIES["distinct_count"] = lambda spark, sf: edits.distinct_count(table(spark, sf, "part"), "p_name")
 ORACLES["distinct_count"] = "SELECT count(DISTINCT p_name) AS distinct_count FROM part"
 
@@ -129,6 +153,14 @@ def preview_edit(spark, sf):
     return edits.preview_edit(orders, "o_orderpriority", trial)
 
 
+QUERIES["preview_distinct"] = lambda spark, sf: edits.distinct_counts(preview_edit(spark, sf))
+ORACLES["preview_distinct"] = """
+SELECT count(DISTINCT o_orderpriority) AS distinct_before,
+       count(DISTINCT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'URGENT' ELSE o_orderpriority END) AS distinct_after
+FROM orders
+"""
+
+
 QUERIES["preview_edit"] = preview_edit
 ORACLES["preview_edit"] = """
 WITH b AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL),

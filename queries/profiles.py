@@ -7,6 +7,8 @@ from queries.common import choose, sql_choose, table
 from tabsmith.functions.names import alias_of, looks_like_identifier
 from tabsmith.operators import overrides
 from tabsmith.operators import profile as profiles
+from tabsmith.operators.ranges import RangeConfig
+from tabsmith.operators.tags import TagConfig
 from tabsmith.plans import charts as chart_plans
 from tabsmith.plans import report
 
@@ -89,7 +91,7 @@ LINEITEM = {
     "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
 }
 DOCUMENTS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
-ORDERS = {"o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+ORDERS = {"o_orderkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
 
 
 def _core_sql(columns, counts):
@@ -151,7 +153,7 @@ ORACLES["profile_estimated"] = (
 
 # A catalog: the orders of every customer are a dataset of their own.
 def _catalog(spark, sf):
-    return profiles.profile(table(spark, sf, "orders").drop("o_orderkey"), by="o_custkey")
+    return profiles.profile(table(spark, sf, "orders"), by="o_custkey")
 
 
 _CATALOG_SQL = profile_sql(counts_sql(ORDERS, "orders", "o_custkey"), _aliases(ORDERS))
@@ -165,10 +167,10 @@ SELECT dataset, count(*) AS columns, max(row_count) AS row_count, {tenths('avg(h
 FROM ({_CATALOG_SQL}) GROUP BY dataset
 """
 QUERIES["dataset_health"] = lambda spark, sf: profiles.dataset_health(profiles.profile(
-    table(spark, sf, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 3 > 0 THEN c_name END AS c_name"))
+    table(spark, sf, "customer").withColumn("c_name", F.expr("CASE WHEN c_custkey % 3 > 0 THEN c_name END"))
 ))
 ORACLES["dataset_health"] = f"""
-WITH h AS (SELECT 100.0 AS s UNION ALL
+WITH h AS (SELECT unnest([100.0, 100.0, 100.0, 100.0]) AS s UNION ALL
            SELECT {tenths('count(CASE WHEN c_custkey % 3 > 0 THEN c_name END) / count(*) * 100')} FROM customer)
 SELECT {tenths('avg(s)')} AS health_score FROM h
 """
@@ -276,9 +278,18 @@ SELECT name, CASE WHEN yes THEN '-' END AS range_separator, CASE WHEN yes THEN u
 FROM r LEFT JOIN (SELECT * FROM t WHERE i = 1) USING (name)
 """
 
-QUERIES["sample_values"] = lambda spark, sf: profiles.sample_values(table(spark, sf, "orders")).select(
-    "name", F.array_join("samples", "|").alias("samples")
-)
+QUERIES["sample_values"] = lambda spark, sf: profiles.sample_values(
+    table(spark, sf, "orders").drop("o_totalprice"), order_by=["o_orderkey"]
+).select("name", F.array_join("samples", "|").alias("samples"))
+ORACLES["sample_values"] = """
+WITH f AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders ORDER BY o_orderkey LIMIT %d),
+u AS (""" % profiles.SAMPLE_ROWS + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS v, i FROM f"
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+) + """), d AS (SELECT name, v, min(i) AS i FROM u WHERE v IS NOT NULL GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM d)
+SELECT name, string_agg(v, '|' ORDER BY k) AS samples FROM n WHERE k <= %d GROUP BY name
+""" % profiles.SAMPLE_VALUES
 
 
 # Overrides and configs of the catalog, one decision per customer.
@@ -295,7 +306,11 @@ def _overrides(spark, sf):
 
 
 def apply_overrides(spark, sf):
-    changed = overrides.apply_overrides(_catalog(spark, sf), _overrides(spark, sf))
+    """Columns with a user's choice have a suggestion too, which loses."""
+    chosen = _overrides(spark, sf)
+    beaten = chosen.filter("source = 'user' AND (category IS NULL OR category <> 'nonsense')").withColumns(
+        {"source": F.lit("ai"), "category": F.lit("free_text"), "confidence": F.lit(99.0), "rationale": F.lit("late")})
+    changed = overrides.apply_overrides(_catalog(spark, sf), chosen.unionByName(beaten))
     return changed.select("dataset", "name", "alias", "category", "category_source", "confidence", "needs_review", "rationale")
 
 
@@ -349,7 +364,7 @@ def overlay_configs(spark, sf):
 QUERIES["overlay_configs"] = overlay_configs
 ORACLES["overlay_configs"] = """
 WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders),
-n AS (SELECT unnest(['o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name)
+n AS (SELECT unnest(['o_orderkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name)
 SELECT CAST(k AS VARCHAR) AS dataset, name,
        CASE WHEN c_acctbal >= 0 THEN CASE c_mktsegment WHEN 'MACHINERY' THEN '-' ELSE ',' END END AS multi_value_separator,
        CASE WHEN c_mktsegment <> 'BUILDING' THEN CASE c_mktsegment WHEN 'FURNITURE' THEN '-' ELSE '~' END END AS range_separator,
@@ -368,7 +383,10 @@ _SHAPE_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS name, (avg(pow({c}, 3)) - 3 * avg({c}) * avg(pow({c}, 2)) + 2 * pow(avg({c}), 3)) / pow(stddev_pop({c}), 3) "
     f"AS skew, min({c}) AS lo, max({c}) AS hi FROM lineitem"
     for c, t in LINEITEM.items() if t in ("int", "bigint", "double")
-)
+) + """ UNION ALL SELECT 'l_shipdate', NULL, date_diff('day', DATE '1970-01-01', CAST(min(l_shipdate) AS DATE)),
+    date_diff('day', DATE '1970-01-01', CAST(max(l_shipdate) AS DATE)) FROM lineitem"""
+_CHARTABLE = """category <> 'free_text' AND null_count < row_count
+  AND NOT (category = 'categorical' AND distinct_count > 6 AND distinct_count > (row_count - null_count) * 0.5)"""
 QUERIES["recommend_charts"] = recommend_charts
 ORACLES["recommend_charts"] = f"""
 SELECT p.name AS "column",
@@ -378,9 +396,33 @@ SELECT p.name AS "column",
             WHEN category = 'continuous_numerical' THEN
                  CASE WHEN abs(skew) < 1 AND NOT (lo >= 0 AND lo <= hi * 0.05) THEN 'bell_curve' ELSE 'histogram' END
             WHEN distinct_count <= 6 THEN 'pie' ELSE 'bar' END AS chart_type,
-       alias || CASE WHEN category = 'datetime' THEN ' over time' ELSE ' distribution' END AS title
+       alias || CASE WHEN category = 'datetime' THEN ' over time' ELSE ' distribution' END AS title,
+       CASE WHEN category = 'datetime' THEN CASE WHEN hi - lo <= 62 THEN 'day' WHEN hi - lo <= 366 THEN 'week'
+            WHEN hi - lo <= 3660 THEN 'month' ELSE 'year' END END AS grain
 FROM ({profile_sql(counts_sql(LINEITEM, 'lineitem'), _aliases(LINEITEM))}) p LEFT JOIN ({_SHAPE_SQL}) s ON s.name = p.name
-WHERE category <> 'free_text' AND null_count < row_count
+WHERE {_CHARTABLE}
+"""
+
+
+def recommend_grain(spark, sf):
+    """The grain of every date column that the range of its dates asks for: of the events, and of the first of them."""
+    events = table(spark, sf, "events")
+    first = events.filter(F.col("ts") < events.agg(F.min("ts") + F.expr("INTERVAL 3 DAYS")).scalar())
+    found = []
+    for name, df in (("all", events), ("first", first), ("orders", table(spark, sf, "orders"))):
+        charts = report.recommend_charts(profiles.profile(df, name), report.numeric_shape(df, name))
+        found.append(charts.filter("partition_type = 'datetime'").select("dataset", "column", "grain"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+QUERIES["recommend_grain"] = recommend_grain
+ORACLES["recommend_grain"] = """
+WITH t AS (SELECT 'all' AS dataset, 'ts' AS "column", ts FROM events
+  UNION ALL SELECT 'first', 'ts', ts FROM events WHERE ts < (SELECT min(ts) + INTERVAL 3 DAYS FROM events)
+  UNION ALL SELECT 'orders', 'o_orderdate', o_orderdate FROM orders),
+d AS (SELECT dataset, "column", date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS n FROM t GROUP BY ALL)
+SELECT dataset, "column", CASE WHEN n <= 62 THEN 'day' WHEN n <= 366 THEN 'week' WHEN n <= 3660 THEN 'month' ELSE 'year' END AS grain
+FROM d
 """
 
 
@@ -399,7 +441,7 @@ SELECT dataset, name AS "column",
        CASE WHEN category = 'datetime' THEN 'line' WHEN category = 'continuous_numerical' THEN 'histogram'
             WHEN distinct_count <= 6 THEN 'pie' ELSE 'bar' END AS chart_type,
        CAST(CASE category WHEN 'datetime' THEN 0 WHEN 'continuous_numerical' THEN 1 ELSE 2 END AS INTEGER) AS priority
-FROM ({_CATALOG_SQL}) WHERE category <> 'free_text' AND null_count < row_count
+FROM ({_CATALOG_SQL}) WHERE {_CHARTABLE}
 """
 
 
@@ -436,6 +478,36 @@ def auto_report(spark, sf):
     return report.report_counts(orders, specs)
 
 
+def auto_report_mixed(spark, sf):
+    """A count, a measure, tags, a range and a chart that fails over the data: rows per chart, and whether it failed."""
+    part = table(spark, sf, "part").withColumn("span", F.concat("p_size", F.lit("-"), F.col("p_size") + 10))
+    specs = [
+        chart_plans.ChartSpec("p_brand", "categorical", "bar", id="counts"),
+        chart_plans.ChartSpec("p_brand", "categorical", "bar", id="measure", measure="p_retailprice", agg="avg"),
+        chart_plans.ChartSpec("p_name", "categorical", "bar", id="tags", tags=TagConfig(tag_separator=" ")),
+        chart_plans.ChartSpec("span", "numerical_bins", "histogram", id="range", range=RangeConfig()),
+        chart_plans.ChartSpec("p_brand", "categorical", "bar", id="failing", measure="p_name", agg="avg"),
+    ]
+    made = report.auto_report(part, specs)
+    failed = [(k, 0, True) for k, v in made.items() if isinstance(v, Exception)]
+    out = spark.createDataFrame(failed, "chart string, rows bigint, failed boolean")
+    for chart, df in made.items():
+        if not isinstance(df, Exception):
+            out = out.unionByName(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(chart).alias("chart"), "rows", F.lit(False).alias("failed")))
+    return out
+
+
+QUERIES["auto_report_mixed"] = auto_report_mixed
+ORACLES["auto_report_mixed"] = """
+WITH s AS (SELECT p_size + 5.0 AS v FROM part), b AS (SELECT min(v) AS lo, max(v) AS hi FROM s)
+SELECT 'counts' AS chart, count(DISTINCT p_brand) AS rows, false AS failed FROM part
+UNION ALL SELECT 'measure', count(DISTINCT p_brand), false FROM part
+UNION ALL SELECT 'tags', count(DISTINCT t), false FROM (SELECT trim(unnest(string_split(p_name, ' '))) AS t FROM part) WHERE t <> ''
+UNION ALL SELECT 'range', count(DISTINCT least(floor((v - lo) / (hi - lo) * 10), 9)), false FROM s, b
+UNION ALL SELECT 'failing', 0, true
+"""
+
+
 QUERIES["auto_report"] = auto_report
 ORACLES["auto_report"] = " UNION ALL ".join(
     f"""SELECT 'numerical_bins:{c}' AS chart_id,

@@ -111,7 +111,10 @@ def range_parse(spark, sf):
 QUERIES["range_parse"] = range_parse
 ORACLES["range_parse"] = f"SELECT p_partkey, lo AS min, hi AS max, (lo + hi) / 2 AS midpoint FROM ({_ENDS_SQL})"
 
-QUERIES["range_preview"] = lambda spark, sf: ranges.range_preview(_spans(spark, sf), "span", RangeConfig(unit="yrs"))
+QUERIES["range_preview"] = lambda spark, sf: ranges.range_preview(_spans(spark, sf), "span", RangeConfig(unit="yrs"), order_by=["p_partkey"])
+ORACLES["range_preview"] = f"""
+SELECT span AS raw, (lo + hi) / 2 AS parsed FROM ({_ENDS_SQL}) WHERE span IS NOT NULL ORDER BY p_partkey LIMIT 20
+"""
 QUERIES["range_preview_counts"] = lambda spark, sf: ranges.range_parse_counts(_spans(spark, sf), "span", RangeConfig(unit="yrs"))
 ORACLES["range_preview_counts"] = f"SELECT count(lo + hi) AS parsed, count(span) AS total FROM ({_ENDS_SQL})"
 

@@ -20,10 +20,14 @@ ABBREVIATIONS = {
 }
 
 
+# Where a column header is cut into words.
+SEPARATORS, CASE_CHANGE = r"[_\-.]+", r"(?<=[a-z0-9])(?=[A-Z])"
+
+
 def name_words(name: Column) -> Column:
     """Words of a column header: split at ``_``, ``-``, ``.``, blanks and lower-to-upper changes."""
-    spaced = F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), r"[_\-.]+", " ")
-    return F.filter(F.split(F.regexp_replace(spaced, r"(?<=[a-z0-9])(?=[A-Z])", " "), " "), lambda w: w != "")
+    spaced = F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), SEPARATORS, " ")
+    return F.filter(F.split(F.regexp_replace(spaced, CASE_CHANGE, " "), " "), lambda w: w != "")
 
 
 def looks_like_identifier(name: Column) -> Column:

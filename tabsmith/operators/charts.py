@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +23,7 @@ MEASURES = ("avg", "sum", "median", "count")
 @dataclass(frozen=True)
 class ChartFilter:
     """``equals`` a value, or a ``range`` from lo to hi. A range is half open, but ``closed`` takes in
-    its upper end: the last bin of a histogram holds the maximum."""
+    its upper end: the last bin of a histogram holds the maximum. An end left out is open."""
 
     column: str
     equals: Any = None
@@ -34,8 +36,10 @@ class ChartFilter:
         if self.lo is None and self.hi is None:
             # The literal is cast, not the column, so that the filter reaches the Parquet scan.
             return c == F.lit(self.equals).try_cast(data_type)
-        upper = c <= F.lit(self.hi) if self.closed else c < F.lit(self.hi)
-        return (c >= F.lit(self.lo)) & upper
+        ends = [] if self.lo is None else [c >= F.lit(self.lo)]
+        if self.hi is not None:
+            ends.append(c <= F.lit(self.hi) if self.closed else c < F.lit(self.hi))
+        return reduce(and_, ends)
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.filter(self.condition(df))
@@ -73,8 +77,9 @@ def with_share(counts: DataFrame, value: str = "count") -> DataFrame:
     """Percent of the total, one decimal. The total is a scalar subquery: a window over everything
     would bring all categories into one task."""
     total = counts.agg(F.sum(value)).scalar()
-    percent = F.col(value) / F.nullif(total, F.lit(0)) * 100
-    return counts.withColumn("share", round_tenths(percent, ties="up"))
+    percent = F.col(value) / F.nullif(F.col("_total"), F.lit(0)) * 100
+    # The total is a column first: rounding names its argument many times, and each would be a subquery.
+    return counts.withColumn("_total", total).withColumn("share", round_tenths(percent, ties="up")).drop("_total")
 
 
 def bucket_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:

@@ -14,15 +14,15 @@ from pyspark.sql import types as T
 
 from tabsmith.functions.text import as_text, regex_replace_all
 from tabsmith.operators.cleaning import column
-from tabsmith.operators.lookup import spread_lookup
+from tabsmith.operators.lookup import free_names, spread_lookup
 
 # Above this number of merged values an edit becomes a join with the rules, since an expression
 # with thousands of literals is slow to compile.
 INLINE_SOURCES = 200
 # A rule list of up to this many text bytes is sent to every task; a longer one is joined by shuffle.
 BROADCAST_BYTES = 8 * 1024 * 1024
-# Size of a value list.
-VALUES_LIMIT, VALUES_MAX = 200, 5000
+# Fixed value: size of a value list where none is asked for.
+VALUES_LIMIT = 200
 
 
 @dataclass(frozen=True)
@@ -112,14 +112,15 @@ def _merged(text: Column, targets: Mapping[str, str]) -> Column:
 
 
 def _merge_by_join(df: DataFrame, name: str, targets: Mapping[str, str]) -> DataFrame:
-    rules = df.sparkSession.createDataFrame(list(targets.items()), "_source string, _target string")
-    keyed = df.withColumn("_source", column(name))
+    source, target = free_names(["_source", "_target"], df)
+    rules = df.sparkSession.createDataFrame(list(targets.items()), f"{source} string, {target} string")
+    keyed = df.withColumn(source, column(name))
     if sum(len(s) + len(t) for s, t in targets.items()) * 2 <= BROADCAST_BYTES:
-        merged = keyed.join(F.broadcast(rules), "_source", "left")
+        merged = keyed.join(F.broadcast(rules), source, "left")
     else:
         spread = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
-        merged = spread_lookup(keyed, rules, ["_source"], spread)
-    return merged.withColumn(name, F.coalesce("_target", column(name))).select(*[column(c) for c in df.columns])
+        merged = spread_lookup(keyed, rules, [source], spread)
+    return merged.withColumn(name, F.coalesce(target, column(name))).select(*[column(c) for c in df.columns])
 
 
 def _text_of(df: DataFrame, name: str) -> Column:
@@ -132,7 +133,7 @@ def value_counts(df: DataFrame, name: str, limit: int | None = VALUES_LIMIT) ->
     counts = df.select(text).filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("count"))
     if limit is None:
         return counts
-    return counts.orderBy(F.desc("count"), "value").limit(min(limit, VALUES_MAX))
+    return counts.orderBy(F.desc("count"), "value").limit(limit)
 
 
 def distinct_count(df: DataFrame, name: str, approximate: bool = False) -> DataFrame:
@@ -163,9 +164,19 @@ def merge_effect(df: DataFrame, name: str, merges: Sequence[Merge]) -> DataFrame
 
 
 def preview_edit(df: DataFrame, name: str, edited: DataFrame) -> DataFrame:
-    """Values before and after a trial edit of ``df``, with both counts (0 where a value is absent)."""
+    """Values before and after a trial edit of ``df``, with both counts (0 where a value is absent).
+
+    `distinct_counts` has the number of values on both sides.
+    """
     before = value_counts(df, name, limit=None).withColumnRenamed("count", "before")
     after = value_counts(edited, name, limit=None).withColumnRenamed("count", "after")
     return before.join(after, "value", "full").select(
         "value", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after")
     )
+
+
+def distinct_counts(preview: DataFrame) -> DataFrame:
+    """How many values there are before and after, from an edit preview."""
+    return preview.agg(
+        F.count_if(F.col("before") > 0).alias("distinct_before"), F.count_if(F.col("after") > 0).alias("distinct_after")
+    )

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
@@ -19,11 +19,25 @@ HEAVY_SHARE = 1000
 HEAVY_ROWS = 100_000
 
 
+def free_names(names: Sequence[str], *tables: DataFrame) -> list[str]:
+    """``names`` with as many underscores in front as it takes for none of them to be a column."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    prefix = ""
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
+def _column(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
     """The keys that hold more than a thousandth of all rows: always fewer than a thousand rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    [rows] = free_names(["_rows"], df)
+    counts = df.groupBy(*map(_column, keys)).agg(F.count(F.lit(1)).alias(rows))
     total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.filter((F.col("_rows") > min_rows) & (F.col("_rows") * HEAVY_SHARE > total)).select(*keys)
+    return counts.filter((F.col(rows) > min_rows) & (F.col(rows) * HEAVY_SHARE > total)).select(*map(_column, keys))
 
 
 def spread_lookup(
@@ -40,14 +54,13 @@ def spread_lookup(
     between such rows), against one copy of its lookup row per salt; all other keys join as they are.
     A hash, not a random number, so that a task run again after a lost executor deals the same way.
     """
-    heavy = F.broadcast(heavy_keys(df, keys, min_rows).withColumn("_heavy", F.lit(True)))
-    missing = reduce(or_, [F.col(k).isNull() for k in keys])
-    dealt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
+    flag, salt = free_names(["_heavy", "_salt"], df, lookup)
+    heavy = F.broadcast(heavy_keys(df, keys, min_rows).withColumn(flag, F.lit(True)))
+    missing = reduce(or_, [_column(k).isNull() for k in keys])
+    dealt = F.pmod(F.xxhash64(*map(_column, spread_by)), F.lit(SALTS)).cast("int")
     all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salted = df.join(heavy, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_heavy") | missing, dealt).otherwise(0)
-    )
+    salted = df.join(heavy, list(keys), "left").withColumn(salt, F.when(F.col(flag) | missing, dealt).otherwise(0))
     copies = lookup.join(heavy, list(keys), "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_heavy"), all_salts).otherwise(F.array(F.lit(0))))
+        salt, F.explode(F.when(F.col(flag), all_salts).otherwise(F.array(F.lit(0))))
     )
-    return salted.drop("_heavy").join(copies.drop("_heavy"), [*keys, "_salt"], how).drop("_salt")
+    return salted.drop(flag).join(copies.drop(flag), [*keys, salt], how).drop(salt)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.operators.profile import CATEGORIES, REVIEW_BELOW
@@ -15,10 +15,11 @@ def overlay_configs(profile_df: DataFrame, tags: DataFrame, ranges: DataFrame) -
     """A saved config wins over the detected hint.
 
     ``tags``: dataset, name, tag_separator. ``ranges``: dataset, name, separator, unit. A blank
-    separator stands for the default; a saved range's unit applies even if it is NULL.
+    separator stands for the default; a saved range's unit applies even if it is NULL. Of several rows for a
+    column, the last by ``seq`` counts where there is such a column, else the greatest.
     """
-    tag = tags.select(*KEY, F.struct("tag_separator").alias("_tag"))
-    span = ranges.select(*KEY, F.struct("separator", "unit").alias("_range"))
+    tag = _latest(tags, F.struct("tag_separator")).withColumnRenamed("_chosen", "_tag")
+    span = _latest(ranges, F.struct("separator", "unit")).withColumnRenamed("_chosen", "_range")
     joined = profile_df.join(tag, KEY, "left").join(span, KEY, "left")
     saved = F.col("_range").isNotNull()
     default = lambda c, value: F.coalesce(F.nullif(c, F.lit("")), F.lit(value))
@@ -30,6 +31,12 @@ def overlay_configs(profile_df: DataFrame, tags: DataFrame, ranges: DataFrame) -
     }).select(*profile_df.columns)
 
 
+def _latest(rows: DataFrame, fields: Column, *first: Column) -> DataFrame:
+    """One row per column of a dataset: by ``first``, then by ``seq`` if it is there, then by the fields themselves."""
+    order = [*first, *([F.col("seq")] if "seq" in rows.columns else []), fields]
+    return rows.groupBy(*KEY).agg(F.max_by(fields, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("_chosen"))
+
+
 def review_queue(profile_df: DataFrame, names: Iterable[str] | DataFrame | None = None) -> DataFrame:
     """Columns waiting for a review, or exactly those asked for: names, or a (dataset, name) table."""
     if names is None:
@@ -43,7 +50,7 @@ def apply_overrides(profile_df: DataFrame, overrides: DataFrame) -> DataFrame:
     """Suggested or chosen categories and aliases.
 
     ``overrides``: dataset, name, source ("ai" or "user"), category, confidence, rationale, alias;
-    at most one row per column. A suggestion needs a known category and a confidence, else it is
+    of several rows for a column a user's wins, then the last (as in `overlay_configs`). A suggestion needs a known category and a confidence, else it is
     passed over. A user's category is certain and clears the review; an alias changes nothing else.
     """
     known = F.col("category").isin(*CATEGORIES)
@@ -51,8 +58,9 @@ def apply_overrides(profile_df: DataFrame, overrides: DataFrame) -> DataFrame:
         ((F.col("source") == "user") & (F.col("category").isNull() | known))
         | ((F.col("source") == "ai") & known & F.col("confidence").isNotNull())
     )
-    fields = F.struct("source", "category", "confidence", "rationale", "alias").alias("_o")
-    joined = profile_df.join(overrides.filter(usable).select(*KEY, fields), KEY, "left")
+    fields = F.struct("source", "category", "confidence", "rationale", "alias")
+    chosen_rows = _latest(overrides.filter(usable), fields, F.col("source") == "user").withColumnRenamed("_chosen", "_o")
+    joined = profile_df.join(chosen_rows, KEY, "left")
     user, ai = F.col("_o.source") == "user", F.col("_o.source") == "ai"
     chosen = user & F.col("_o.category").isNotNull()
 

@@ -8,7 +8,7 @@ per-column query.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from itertools import chain
 
@@ -295,13 +295,16 @@ def _finished(counts: DataFrame, warnings: Mapping[str, str] | None, samples: Da
     return full.select(*PROFILE_COLUMNS, "position")
 
 
-def sample_values(df: DataFrame, rows: int = SAMPLE_ROWS, values: int = SAMPLE_VALUES) -> DataFrame:
-    """Up to five distinct values of every column out of the first few rows: name, samples.
+def sample_values(
+    df: DataFrame, rows: int = SAMPLE_ROWS, values: int = SAMPLE_VALUES, order_by: Sequence[str] = ()
+) -> DataFrame:
+    """Up to five distinct values of every column out of the first few rows (by ``order_by`` if given): name, samples.
 
     ``head`` stops after the first partitions; a ``limit`` below an aggregate would visit them all.
     """
     fields = list(df.schema)
-    first = df.select(*[as_text(column(f.name), f.dataType).alias(str(i)) for i, f in enumerate(fields)]).head(rows)
+    ordered = df.orderBy(*order_by) if order_by else df
+    first = ordered.select(*[as_text(column(f.name), f.dataType).alias(str(i)) for i, f in enumerate(fields)]).head(rows)
     picked = [list(dict.fromkeys(r[i] for r in first if r[i] is not None))[:values] for i, _ in enumerate(fields)]
     return df.sparkSession.createDataFrame(
         [(f.name, p) for f, p in zip(fields, picked)], "name string, samples array<string>"

@@ -1,6 +1,7 @@
 """Ranges: text such as "4-10 yrs" read as a number."""
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,8 +43,10 @@ def _parsed(df: DataFrame, name: str, config: RangeConfig) -> DataFrame:
     return text.select("raw", parse_range(F.col("raw"), config).alias("parsed"))
 
 
-def range_preview(df: DataFrame, name: str, config: RangeConfig = RangeConfig(), n: int = 20) -> DataFrame:
-    return _parsed(df, name, config).limit(n)
+def range_preview(df: DataFrame, name: str, config: RangeConfig = RangeConfig(), n: int = 20, order_by: Sequence[str] = ()) -> DataFrame:
+    """The first non-null cells and what they parse to: as they come, or by ``order_by``."""
+    present = df.filter(column(name).isNotNull())
+    return _parsed((present.orderBy(*order_by) if order_by else present).limit(n), name, config)
 
 
 def range_parse_counts(df: DataFrame, name: str, config: RangeConfig = RangeConfig()) -> DataFrame:

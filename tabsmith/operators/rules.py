@@ -24,10 +24,9 @@ def validate_groups(groups: DataFrame, values: DataFrame) -> DataFrame:
     leave no row.
     """
     proposed = groups.filter(F.trim("target") != "").withColumn("target", F.trim("target"))
-    # Both sides hold each value once here, so no key is heavy; only the survivors meet the groups again.
+    # Each value stands once on this side, and a source in as many groups as were proposed with it.
     occurring = values.select("dataset", "column", F.col("value").alias("source")).distinct()
-    known = proposed.select(*SOURCE_KEY).distinct().join(occurring, SOURCE_KEY, "left_semi")
-    return spread_lookup(proposed, known, SOURCE_KEY, groups.columns, "inner").select(*groups.columns)
+    return proposed.join(occurring, SOURCE_KEY, "left_semi").select(*groups.columns)
 
 
 def add_merges(rules: DataFrame, new: DataFrame) -> DataFrame:
@@ -37,12 +36,8 @@ def add_merges(rules: DataFrame, new: DataFrame) -> DataFrame:
     A group whose target has a rule joins it (its place kept, sources united, rows added up); else
     it becomes a new rule.
     """
-    claimed = new.select(*SOURCE_KEY).distinct().withColumn("_claimed", F.lit(True))
-    kept = (
-        spread_lookup(rules, claimed, SOURCE_KEY, rules.columns)
-        .filter("_claimed IS NULL")
-        .drop("_claimed")
-    )
+    # Rules have one row per source, so no key is heavy here.
+    kept = rules.join(new.select(*SOURCE_KEY).distinct(), SOURCE_KEY, "left_anti").select(*rules.columns)
     # Rule level: rows per (dataset, column, target), each group of the batch counted once.
     old_heads = kept.groupBy(*RULE_KEY).agg(F.min("seq").alias("seq"), F.max("rows_affected").alias("rows"))
     new_heads = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.text import as_text, non_blank_tokens
 from tabsmith.operators.cleaning import column
-from tabsmith.operators.edits import VALUES_LIMIT, VALUES_MAX
+from tabsmith.operators.edits import VALUES_LIMIT
 
 OTHER = "Other"
 
@@ -39,7 +39,7 @@ def explode_tags(df: DataFrame, name: str, config: TagConfig = TagConfig(), keep
 
 def tag_counts(df: DataFrame, name: str, config: TagConfig = TagConfig(), limit: int | None = VALUES_LIMIT) -> DataFrame:
     counts = explode_tags(df, name, config).groupBy("tag").agg(F.count(F.lit(1)).alias("count"))
-    return counts if limit is None else counts.orderBy(F.desc("count"), "tag").limit(min(limit, VALUES_MAX))
+    return counts if limit is None else counts.orderBy(F.desc("count"), "tag").limit(limit)
 
 
 def tag_distinct_count(df: DataFrame, name: str, config: TagConfig = TagConfig()) -> DataFrame:

@@ -26,7 +26,7 @@ def ingest_csv(
     dataset_path: str,
     dataset: str = "data",
     delimiter: str | None = None,
-    multi_line: bool | None = None,
+    multi_line: bool = True,
     day_first: bool = False,
     exact: bool = True,
 ) -> Ingested:

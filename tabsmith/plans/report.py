@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsmith.operators.charts import DEFAULT_BINS, bucket_of, is_numeric, period
 from tabsmith.operators.cleaning import column
@@ -13,20 +14,26 @@ from tabsmith.plans.charts import PIE_MAX, ChartSpec, priority
 # A distribution this lopsided, or one that starts at zero, is shown without a bell curve.
 SKEWED = 1.0
 NEAR_ZERO = 0.05
+# A category with more values than this share of its rows is an identifier and gets no chart.
+IDENTIFIER_SHARE = 0.5
+# The coarsest grain whose periods the dates fill: days up to two months, weeks up to a year, months up to ten.
+GRAIN_DAYS = (("day", 62), ("week", 366), ("month", 3660))
 
 
 def numeric_shape(df: DataFrame, dataset: str = "data") -> DataFrame:
-    """Skewness and bounds of every numeric column in one pass: dataset, name, skewness, min_value, max_value."""
-    names = [f.name for f in df.schema if is_numeric(f.dataType)]
-    per_column = [
-        F.struct(
-            F.lit(n).alias("name"),
-            F.skewness(column(n)).alias("skewness"),
-            F.min(column(n)).cast("double").alias("min_value"),
-            F.max(column(n)).cast("double").alias("max_value"),
-        )
-        for n in names
-    ]
+    """Of every number and date, in one pass: dataset, name, skewness, min_value, max_value (of dates in days; no skewness)."""
+    per_column = []
+    for f in df.schema:
+        if is_numeric(f.dataType):
+            value, skewness = column(f.name).cast("double"), F.skewness(column(f.name))
+        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            value, skewness = F.unix_date(column(f.name).cast("date")).cast("double"), F.lit(None).cast("double")
+        else:
+            continue
+        per_column.append(F.struct(
+            F.lit(f.name).alias("name"), skewness.alias("skewness"),
+            F.min(value).alias("min_value"), F.max(value).alias("max_value"),
+        ))
     if not per_column:
         return df.sparkSession.createDataFrame(
             [], "dataset string, name string, skewness double, min_value double, max_value double"
@@ -36,12 +43,15 @@ def numeric_shape(df: DataFrame, dataset: str = "data") -> DataFrame:
 
 
 def recommend_charts(profile_df: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
-    """One chart per chartable column: dataset, column, partition_type, chart_type, title, position.
+    """One chart per chartable column: dataset, column, partition_type, chart_type, title, grain, position.
 
-    Free text and columns without a value are left out. Without ``shapes`` (see `numeric_shape`)
-    a number gets a histogram.
+    Free text, columns without a value and categories so fine that they identify rows are left out. The grain of
+    a date goes by its range. Without ``shapes`` (see `numeric_shape`) a number gets a histogram, a date months.
     """
-    usable = profile_df.filter((F.col("category") != "free_text") & (F.col("null_count") < F.col("row_count")))
+    filled = F.col("row_count") - F.col("null_count")
+    identifies = (F.col("category") == "categorical") & (F.col("distinct_count") > PIE_MAX) & (
+        F.col("distinct_count") > filled * IDENTIFIER_SHARE)
+    usable = profile_df.filter((F.col("category") != "free_text") & (filled > 0) & ~identifies)
     if shapes is None:
         joined = usable.withColumns({c: F.lit(None).cast("double") for c in ("skewness", "min_value", "max_value")})
     else:
@@ -62,10 +72,18 @@ def recommend_charts(profile_df: DataFrame, shapes: DataFrame | None = None) ->
         F.concat(
             F.col("alias"), F.when(category == "datetime", " over time").otherwise(" distribution")
         ).alias("title"),
+        F.when(category == "datetime", _grain(F.col("max_value") - F.col("min_value"))).alias("grain"),
         "position",
     )
 
 
+def _grain(days: Column) -> Column:
+    found = F.when(days.isNull(), "month")
+    for name, most in GRAIN_DAYS:
+        found = found.when(days <= most, name)
+    return found.otherwise("year")
+
+
 def chart_specs(recommendations: DataFrame, dataset: str = "data") -> list[ChartSpec]:
     """One dataset's recommendations as specs, in priority order (as many as it has columns)."""
     rows = (
@@ -73,7 +91,8 @@ def chart_specs(recommendations: DataFrame, dataset: str = "data") -> list[Chart
         .orderBy(priority(F.col("partition_type")), "position").collect()
     )
     return [
-        ChartSpec(r["column"], r["partition_type"], r["chart_type"], r["title"], id=f"{r['partition_type']}:{r['column']}")
+        ChartSpec(r["column"], r["partition_type"], r["chart_type"], r["title"], id=f"{r['partition_type']}:{r['column']}",
+                  **({"grain": r["grain"]} if r["grain"] else {}))
         for r in rows
     ]
 
@@ -84,11 +103,16 @@ def regenerate(existing: Sequence[ChartSpec], fresh: Sequence[ChartSpec]) -> lis
 
 
 def auto_report(df: DataFrame, specs: Sequence[ChartSpec]) -> dict[str, DataFrame | Exception]:
-    """Every chart as a DataFrame of its own; one that cannot be built carries its error instead."""
+    """Every chart as a DataFrame of its own; one that cannot be built or run carries its error instead.
+
+    A chart's rows (one per period, category or bin) are worked out here and kept, so that what fails only over
+    the data fails in its own chart.
+    """
     out: dict[str, DataFrame | Exception] = {}
     for i, spec in enumerate(specs):
         try:
-            out[spec.id or str(i)] = spec.apply(df)
+            out[spec.id or str(i)] = chart = spec.apply(df).persist()
+            chart.count()
         except Exception as exc:  # noqa: BLE001 - one bad chart must not sink the report
             out[spec.id or str(i)] = exc
     return out
@@ -98,8 +122,13 @@ def report_counts(df: DataFrame, specs: Sequence[ChartSpec]) -> DataFrame:
     """All plain count charts of a report in long form: chart_id, key, count.
 
     One scan for the bounds of the binned columns, one for all the charts together and one shuffle of
-    (chart, key) counts, instead of one or two scans per chart.
+    (chart, key) counts, instead of one or two scans per chart. No charts give no rows; a chart that is no
+    plain count (a measure, tags, a range) is refused.
     """
+    if other := [s.id or s.column for s in specs if s.measure or s.tags or s.range]:
+        raise ValueError(f"not plain counts: {', '.join(other)}")
+    if not specs:
+        return df.sparkSession.createDataFrame([], "chart_id string, key string, count bigint")
     binned = [s for s in specs if s.partition_type == "numerical_bins"]
     rows = df
     if binned:

@@ -20,8 +20,8 @@ from tabsmith.operators.cleaning import (
 )
 
 CORRUPT = "_corrupt_record"
-# A file up to this size is one task's work anyway, so it is read as multi-line without a look inside.
-ONE_TASK_BYTES = 128 * 1024 * 1024
+# Text that a value has and a name hasn't: numbers and dates.
+VALUE = re.compile(r"\s*[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?\s*|\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?")
 
 
 class MalformedCsvError(ValueError):
@@ -32,19 +32,24 @@ def _options(delimiter: str, multi_line: bool) -> dict:
     return {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line}
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether any record may span lines: a line with an odd number of quotes leaves one open.
-
-    A distributed scan over splittable text. It lets a large file be read in many tasks, because
-    Spark gives a whole multi-line CSV file to a single one.
-    """
+def needs_multi_line(spark: SparkSession, path: str) -> bool:
+    """Whether reading line by line could go wrong: a line leaves a quote open, or has a carriage return."""
     odd_quotes = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    return not spark.read.text(path).filter(odd_quotes).isEmpty()
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return not lines.filter(odd_quotes | F.col("value").contains("\r")).isEmpty()
 
 
-def _largest_file(spark: SparkSession, path: str) -> int:
-    files = spark.read.format("binaryFile").load(path).select("length")
-    return files.agg(F.max("length")).first()[0] or 0
+def header_line(spark: SparkSession, path: str) -> str:
+    """The first line, which all files of a folder must share."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("line"))
+    found = first.select(F.rtrim(F.regexp_replace("line", "\r", "")).alias("line")).distinct().limit(2).collect()
+    if not found:
+        raise MalformedCsvError("The CSV file is empty.")
+    if len(found) > 1:
+        raise MalformedCsvError(f"The files have different header lines: {found[0][0][:80]!r} and {found[1][0][:80]!r}.")
+    return found[0][0]
 
 
 # The delimiters looked for, the first winning a tie.
@@ -53,41 +58,49 @@ DELIMITERS = (",", ";", "\t", "|")
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """The candidate that splits the header line into the most columns."""
-    line = spark.read.text(path).first()
-    bare = re.sub(r'"[^"]*"', "", line[0]) if line else ""
-    return max(DELIMITERS, key=bare.count)
+    return max(DELIMITERS, key=re.sub(r'"[^"]*"', "", header_line(spark, path)).count)
 
 
 def header_names(spark: SparkSession, path: str, delimiter: str = ",") -> list[str]:
-    """Column names from the first record; a repeated name gets a suffix (a, a_1), a blank one its position."""
+    """Column names from the first record.
+
+    A repeated name, in whatever case, gets a suffix (a, A_1), a blank one its position. A record with a number or
+    a date in it is data: such a file has no header and is rejected.
+    """
     first = spark.read.options(header=False, **_options(delimiter, True)).csv(path).first()
     if first is None:
         raise MalformedCsvError("The CSV file is empty.")
+    if any(VALUE.fullmatch(v) for v in first if v):
+        raise MalformedCsvError("The file has no usable header row.")
     names: list[str] = []
+    taken: set[str] = set()
     for i, value in enumerate(first):
-        base = name = value if value not in (None, "") else f"column{i}"
+        base = name = (value or "").rstrip("\r") or f"column{i}"
         suffix = 0
-        while name in names:
+        while name.lower() in taken:
             suffix += 1
             name = f"{base}_{suffix}"
+        taken.add(name.lower())
         names.append(name)
     return names
 
 
-def read_csv_text(
-    spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool | None = None
-) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True) -> DataFrame:
     """Every column as text, plus the raw record in ``_corrupt_record`` where the field count is off.
 
-    ``delimiter=None`` goes by the header line. ``multi_line=None`` looks at the data: files that fit one split are read as multi-line, larger
-    ones only if a quoted line break was found.
+    ``delimiter=None`` goes by the header line. Records may span lines, whatever the size of a file; each file is
+    then one task's work. ``multi_line=False`` splits large files, and is an error for files that it could not
+    read alike: those with quoted line breaks or carriage returns.
     """
-    delimiter = sniff_delimiter(spark, path) if delimiter is None else delimiter
-    if multi_line is None:
-        multi_line = _largest_file(spark, path) <= ONE_TASK_BYTES or has_quoted_newlines(spark, path)
+    line = header_line(spark, path)
+    delimiter = max(DELIMITERS, key=re.sub(r'"[^"]*"', "", line).count) if delimiter is None else delimiter
+    if not multi_line and needs_multi_line(spark, path):
+        raise MalformedCsvError("Records span lines or hold carriage returns: read the file with multi_line=True.")
     names = header_names(spark, path, delimiter)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    return spark.read.schema(schema).options(header=True, **_options(delimiter, multi_line)).csv(path)
+    read = spark.read.schema(schema).options(header=True, **_options(delimiter, multi_line)).csv(path)
+    # Where only some lines end in a carriage return and a line feed, the first of them is left in the last value.
+    return read.withColumn(names[-1], F.regexp_replace(column(names[-1]), "\r$", ""))
 
 
 def assert_csv_clean(df: DataFrame, corrupt_rows: int | None = None) -> None:
@@ -152,7 +165,7 @@ def read_csv_clean(
     spark: SparkSession,
     path: str,
     delimiter: str | None = None,
-    multi_line: bool | None = None,
+    multi_line: bool = True,
     day_first: bool = False,
 ) -> DataFrame:
     """Read, fold sentinels, infer types, normalise dates and money text."""

@@ -1,6 +1,8 @@
 """The stored dataset: an immutable Parquet directory, read with its edit rules layered on."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tabsmith.operators.edits import EditRules, apply_edits
@@ -17,5 +19,6 @@ def open_dataset(spark: SparkSession, path: str, edits: EditRules | None = None)
     return apply_edits(df, edits) if edits else df
 
 
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 20, order_by: Sequence[str] = ()) -> DataFrame:
+    """The first rows: as they come, or by ``order_by``."""
+    return (df.orderBy(*order_by) if order_by else df).limit(n)

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.operators.lookup import spread_lookup
+from tabsmith.operators.lookup import free_names, spread_lookup
 
 
 def file_hashes(spark: SparkSession, path: str, owner: str | None = None) -> DataFrame:
@@ -44,11 +44,13 @@ def dedup_rows(df: DataFrame, content: str, order_by: Sequence[str], within: Seq
     row per task; the rows themselves are then kept by a semi join on their own identity.
     """
     # A missing content is a content too.
-    hashed = df.withColumn("_hash", F.coalesce(F.md5(F.col(content).cast("binary")), F.lit("")))
-    first = hashed.groupBy(*within, "_hash").agg(F.min(F.struct(*order_by)).alias("_first"))
-    keys = [*within, "_hash", *order_by]
-    kept = first.select(*within, "_hash", "_first.*").select(*[F.col(k).alias(f"_{k}") for k in keys])
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    digest, least = free_names(["_hash", "_first"], df)
+    hashed = df.withColumn(digest, F.coalesce(F.md5(F.col(content).cast("binary")), F.lit("")))
+    first = hashed.groupBy(*within, digest).agg(F.min(F.struct(*order_by)).alias(least))
+    keys = [*within, digest, *order_by]
+    names = free_names([f"_{k}" for k in keys], hashed)
+    kept = first.select(*within, digest, f"{least}.*").select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
     return hashed.join(kept, same, "left_semi").select(*df.columns)
 
 

@@ -50,6 +50,7 @@ def test_bin_filters_partition_the_rows(mixed):
     parts = [charts.bin_filter("age", b, 7, 20, 69).apply(mixed).count() for b in range(7)]
     assert sum(parts) == 50 and parts == [r["count"] for r in charts.histogram(mixed, "age", 7).collect()]
     assert ChartFilter("age", lo=60, hi=69).apply(mixed).count() == 9
+    assert (ChartFilter("age", hi=30).apply(mixed).count(), ChartFilter("age", lo=30).apply(mixed).count()) == (10, 40)
 
 
 def test_filters_compose_with_any_chart(mixed, locations):
@@ -60,7 +61,7 @@ def test_filters_compose_with_any_chart(mixed, locations):
     measured = ChartSpec("plan", "categorical", "pie", measure="age", agg="avg")
     assert {"category", "value"} == set(run_chart(mixed, measured, ChartFilter("age", lo=20, hi=40)).columns)
     tagged = ChartSpec("location", "categorical", "bar", tags=TagConfig("-"))
-    assert pairs(run_chart(locations, tagged, ChartFilter("amount", lo=0, hi=30)))["Pune"] == 30
+    assert pairs(run_chart(locations, tagged, ChartFilter("amount", lo=0, hi=30)))["Turin"] == 30
 
 
 def test_equality_filter_reaches_the_scan(spark, mixed, tmp_path):
@@ -89,12 +90,12 @@ def test_filter_on_a_merged_value_reaches_the_scan(spark, mixed, tmp_path):
 
 
 def test_measures(spark):
-    rows = [(["Austin", "Denver", "Seattle"][i % 3], 40000 + 1000 * i) for i in range(30)]
-    df = spark.createDataFrame(rows, "city string, annual_income bigint")
+    rows = [(["north", "south", "west"][i % 3], 51 * i + 7) for i in range(33)]
+    df = spark.createDataFrame(rows, "region string, visits bigint")
     for agg, of in (("avg", statistics.mean), ("median", statistics.median), ("sum", sum), ("count", len)):
-        found = pairs(charts.measure_by(df, "city", "annual_income", agg))
-        assert found == {c: of([v for k, v in rows if k == c]) for c in ("Austin", "Denver", "Seattle")}
-    assert [r["category"] for r in charts.measure_by(df, "city", "annual_income").collect()] == ["Seattle", "Denver", "Austin"]
+        found = pairs(charts.measure_by(df, "region", "visits", agg))
+        assert found == {c: of([v for k, v in rows if k == c]) for c in ("north", "south", "west")}
+    assert [r["category"] for r in charts.measure_by(df, "region", "visits").collect()] == ["west", "south", "north"]
 
 
 @pytest.mark.parametrize("slice_rows", [10**6, 100, 7, 1])
@@ -151,6 +152,11 @@ def test_a_failing_chart_does_not_sink_the_report(mixed):
     specs = [ChartSpec("plan", "categorical", "pie", id="ok"), ChartSpec("gone", "categorical", "bar", id="bad")]
     out = report.auto_report(mixed, specs)
     assert isinstance(out["bad"], Exception) and out["ok"].count() == 3
+    late = report.auto_report(mixed, [ChartSpec("plan", "categorical", "bar", measure="notes", agg="avg", id="late"), specs[0]])
+    assert isinstance(late["late"], Exception) and late["ok"].count() == 3
+    assert report.report_counts(mixed, []).count() == 0
+    with pytest.raises(ValueError, match="late"):
+        report.report_counts(mixed, [ChartSpec("plan", "categorical", "bar", measure="age", id="late")])
     kept = report.regenerate([ChartSpec("plan", "categorical", "bar", source="custom"), specs[0]], specs[:1])
     assert [s.source for s in kept] == ["auto", "custom"]
 

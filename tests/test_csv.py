@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.plans.ingest import ingest_csv
-from tabsmith.sources import csv as csv_source
 from tabsmith.operators.cleaning import infer_types, nullify_sentinels
 from tabsmith.sources.csv import MalformedCsvError, read_csv_clean, read_csv_text
 from tabsmith.sources.dataset import open_dataset, write_dataset
@@ -75,19 +74,40 @@ def test_wrong_delimiter_is_rejected(spark, csv):
         read_csv_clean(spark, csv("a,b", "1,2"), delimiter=";")
 
 
-def test_quoted_newline_and_split_reading(spark, csv, monkeypatch):
-    path = csv("id,note", '1,"two', 'lines"', "2,plain")
-    assert read_csv_clean(spark, path).count() == 2
-    monkeypatch.setattr(csv_source, "ONE_TASK_BYTES", 0)
-    assert csv_source.has_quoted_newlines(spark, path)
-    assert read_csv_clean(spark, path).count() == 2
-    plain = csv("id,note", '1,"a ""b"" c"', "2,plain", name="plain.csv")
-    assert not csv_source.has_quoted_newlines(spark, plain)
-    assert {r["note"] for r in read_csv_clean(spark, plain).collect()} == {'a "b" c', "plain"}
+def test_both_ways_of_reading_agree_or_say_so(spark, tmp_path):
+    texts = {"plain": 'id,note\n1,"a ""b"" c"\n2,plain\n', "span": 'id,note\n1,"two\nlines"\n2,plain\n',
+             "crlf": "id,note\r\n1,a\r\n2,b\r\n", "mixed": "id,note\n1,a\r\n2,b\r\n", "inside": "id,note\n1,a\rb\n2,c\n"}
+    rows = {}
+    for name, text in texts.items():
+        path = tmp_path / f"{name}.csv"
+        path.write_bytes(text.encode())
+        rows[name] = [tuple(r) for r in read_csv_text(spark, str(path)).collect()]
+        if name == "plain":
+            assert [tuple(r) for r in read_csv_text(spark, str(path), multi_line=False).collect()] == rows[name]
+        else:
+            with pytest.raises(MalformedCsvError):
+                read_csv_text(spark, str(path), multi_line=False)
+    assert rows["plain"] == [("1", 'a "b" c', None), ("2", "plain", None)] and rows["span"][0] == ("1", "two\nlines", None)
+    assert rows["crlf"] == rows["mixed"] == [("1", "a", None), ("2", "b", None)] and len(rows["inside"]) == 2
+
+
+@pytest.mark.parametrize("lines", [["1,2", "3,4"], ["alice,3", "bob,4"], ["2024-01-05,x", "2024-01-06,y"]])
+def test_a_file_without_header_is_rejected(spark, csv, lines):
+    with pytest.raises(MalformedCsvError):
+        read_csv_text(spark, csv(*lines))
+
+
+def test_all_files_of_a_folder_need_one_header(spark, csv, tmp_path):
+    csv("a,b", "1,2", name="one.csv"), csv("a,b", "3,4", name="two.csv")
+    assert read_csv_text(spark, str(tmp_path)).count() == 2
+    csv("b,a", "5,6", name="three.csv")
+    with pytest.raises(MalformedCsvError):
+        read_csv_text(spark, str(tmp_path))
 
 
 def test_repeated_header_and_delimiter(spark, csv):
     assert read_csv_clean(spark, csv("a;a;b", "1;2;3"), delimiter=";").columns == ["a", "a_1", "b"]
+    assert read_csv_clean(spark, csv("a,A,a_1,A", "1,2,3,4")).columns == ["a", "A_1", "a_1_1", "A_2"]
     assert read_csv_clean(spark, csv('a|"b,c,d"', "1|2")).columns == ["a", "b,c,d"]
     assert read_csv_clean(spark, csv("a\tb\tc", "1\t2\t3")).columns == ["a", "b", "c"]
 

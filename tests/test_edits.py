@@ -6,30 +6,30 @@ from tabsmith.operators import edits, rules
 from tabsmith.operators.edits import EditRules, Merge, Replacement
 from tabsmith.operators.lookup import spread_lookup
 
-NEW_YORK = Merge("New York", ["NY", "New York City"])
+COLOGNE = Merge("Cologne", ["Koeln", "Cologne Deutz"])
 
 
-def test_merge_leaves_four_cities_and_moves_forty_rows(cities):
-    edited = edits.apply_edits(cities, EditRules().with_merge("city", NEW_YORK))
+def test_merge_leaves_four_cities_and_moves_the_rest(cities):
+    edited = edits.apply_edits(cities, EditRules().with_merge("city", COLOGNE))
     assert edits.distinct_count(edited, "city").first()[0] == 4
-    assert pairs(edits.value_counts(edited, "city"))["New York"] == 60
-    assert pairs(edits.merge_effect(cities, "city", [NEW_YORK]))["New York"] == 40
+    assert pairs(edits.value_counts(edited, "city"))["Cologne"] == 56
+    assert pairs(edits.merge_effect(cities, "city", [COLOGNE]))["Cologne"] == 38
     assert dict(edited.dtypes)["amount"] == "double"
 
 
 def test_a_source_equal_to_its_target_does_not_count(cities):
-    rule = Merge("New York", ["NY", "New York", "nowhere"])
-    assert pairs(edits.merge_effect(cities, "city", [rule])) == {"New York": 20}
+    rule = Merge("Cologne", ["Koeln", "Cologne", "nowhere"])
+    assert pairs(edits.merge_effect(cities, "city", [rule])) == {"Cologne": 22}
 
 
 def test_regex_counts_changes_not_matches(cities):
-    rule = Replacement("New York.*", "New York", is_regex=True)
-    assert edits.replacement_effect(cities, "city", rule).first()[0] == 20
+    rule = Replacement("Cologne.*", "Cologne", is_regex=True)
+    assert edits.replacement_effect(cities, "city", rule).first()[0] == 16
 
 
 def test_literal_replace_then_merge_order(cities):
-    both = EditRules().with_replacement("city", Replacement(" / NCR", "")).with_merge("city", Merge("Capital", ["Delhi"]))
-    assert pairs(edits.value_counts(edits.apply_edits(cities, both), "city"))["Capital"] == 60
+    both = EditRules().with_replacement("city", Replacement(" (North)", "")).with_merge("city", Merge("Harbour", ["Porto"]))
+    assert pairs(edits.value_counts(edits.apply_edits(cities, both), "city"))["Harbour"] == 62
 
 
 def test_revert_brings_everything_back(cities):
@@ -40,28 +40,28 @@ def test_revert_brings_everything_back(cities):
 
 
 def test_empty_sources_are_skipped_and_the_first_rule_wins(cities):
-    rule = EditRules().with_merge("city", Merge("Nothing", []), Merge("First", ["NY"]), Merge("Second", ["NY", "Delhi"]))
+    rule = EditRules().with_merge("city", Merge("Nothing", []), Merge("First", ["Koeln"]), Merge("Second", ["Koeln", "Porto"]))
     counts = pairs(edits.value_counts(edits.apply_edits(cities, rule), "city"))
-    assert (counts["First"], counts["Second"]) == (20, 30) and "Nothing" not in counts
+    assert (counts["First"], counts["Second"]) == (22, 28) and "Nothing" not in counts
 
 
 @pytest.mark.parametrize("inline, broadcast", [(200, 10**6), (0, 10**6), (0, 0)])
 def test_merge_by_list_broadcast_and_shuffle_agree(cities, monkeypatch, inline, broadcast):
     monkeypatch.setattr(edits, "INLINE_SOURCES", inline)
     monkeypatch.setattr(edits, "BROADCAST_BYTES", broadcast)
-    edited = edits.apply_edits(cities, EditRules().with_merge("city", NEW_YORK))
+    edited = edits.apply_edits(cities, EditRules().with_merge("city", COLOGNE))
     assert edited.columns == cities.columns
-    assert pairs(edits.value_counts(edited, "city")) == {"New York": 60, "Delhi / NCR": 30, "Delhi": 30, "Mumbai": 30}
+    assert pairs(edits.value_counts(edited, "city")) == {"Cologne": 56, "Porto (North)": 34, "Porto": 28, "Lyon": 32}
 
 
 def test_preview_shows_both_sides(cities):
-    trial = edits.apply_edits(cities, EditRules().with_merge("city", NEW_YORK))
+    trial = edits.apply_edits(cities, EditRules().with_merge("city", COLOGNE))
     rows = {r["value"]: (r["before"], r["after"]) for r in edits.preview_edit(cities, "city", trial).collect()}
-    assert rows["NY"] == (20, 0) and rows["New York"] == (20, 60) and sum(a for _, a in rows.values()) == 150
+    assert rows["Koeln"] == (22, 0) and rows["Cologne"] == (18, 56) and sum(a for _, a in rows.values()) == 150
 
 
 def test_value_list_is_limited_and_ordered(cities):
-    assert [r["value"] for r in edits.value_counts(cities, "city", 2).collect()] == ["Delhi", "Delhi / NCR"]
+    assert [r["value"] for r in edits.value_counts(cities, "city", 2).collect()] == ["Porto (North)", "Lyon"]
 
 
 def test_re_accepting_a_replacement_overwrites_it():
@@ -111,3 +111,38 @@ def test_spread_lookup_with_heavy_and_missing_keys(spark):
     assert spread_lookup(rows, lookup, ["k"], ["v"], "inner", min_rows=100).count() == 6000
     plain = rows.join(lookup, "k", "left")
     assert joined.exceptAll(plain.select(joined.columns)).isEmpty()
+
+
+def test_helper_names_never_take_a_users_column(spark):
+    names = ["_source", "_target", "_heavy", "_salt", "_rows", "c"]
+    df = spark.createDataFrame([("s", "t", "h", "l", "r", f"v{k % 300}") for k in range(900)], ", ".join(f"{n} string" for n in names))
+    edited = edits.apply_edits(df, EditRules().with_merge("c", Merge("one", [f"v{k}" for k in range(250)])))
+    assert edited.select(names[:5]).distinct().count() == 1 and edited.filter("c = 'one'").count() == 750
+    joined = spread_lookup(df, df.groupBy("c").agg(F.count(F.lit(1)).alias("n")), ["c"], ["_salt"], min_rows=1)
+    assert joined.columns == ["c", *names[:5], "n"] and joined.count() == 900
+
+
+def test_value_lists_of_any_length(spark):
+    df = spark.range(6000).select(F.col("id").cast("string").alias("v"))
+    assert edits.value_counts(df, "v", 6000).count() == 6000
+
+
+@pytest.mark.parametrize("pattern", [r"(?=a)", r"(?<!a)b", r"\1", "a++", "[[:nope:]]", "(?x)a", "[a"])
+def test_patterns_without_an_equal_are_refused(pattern):
+    from tabsmith.functions.text import PatternError, java_pattern
+
+    with pytest.raises(PatternError):
+        java_pattern(pattern)
+
+
+@pytest.mark.parametrize("pattern, put, text", [
+    ("[[:digit:]]+", "#", "ab12"), ("12$", "#", "12\n"), ("(?m)12$", "#", "12\n12"), ("(?U)a.*", "#", "ab12"), ("(?U)a.*?", "#", "ab12"),
+    (r"\(?P<", "#", "x(P<"), ("[^[:space:]x]", "#", "a x\t"), (r"\s", "#", "a\x0bb c"), ("(?P<n>b)(c)", r"\2\1", "abc"), ("[a&&b]", "#", "a&b"),
+    ("(?i:A)b", "#", "abAB"), ("[]a]", "#", "]a"), (r"\pL", "#", "é1"), ("a{2,3}?", "#", "aaaa"), (".", "#", "a\r\n"), (r"\Q.*\E", "#", "a.*"),
+])
+def test_patterns_match_as_in_duckdb(spark, pattern, put, text):
+    import duckdb
+
+    want = duckdb.execute("SELECT regexp_replace(?, ?, ?, 'g')", [text, pattern, put]).fetchone()[0]
+    df = spark.createDataFrame([(text,)], "c string")
+    assert edits.apply_edits(df, EditRules().with_replacement("c", Replacement(pattern, put, is_regex=True))).first()[0] == want

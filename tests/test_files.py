@@ -47,8 +47,12 @@ def test_arriving_files_are_cleaned_once(spark, tmp_path):
 
     def run():
         append_clean(read_csv_arrivals(spark, folder, ["id", "day"]), plan, out, state).awaitTermination()
-        return spark.read.parquet(out)
+        return spark.read.parquet(out + "/data").drop("batch")
 
     assert dict(run().dtypes) == {"id": "bigint", "day": "date"}
     (tmp_path / "in" / "b.csv").write_text("id,day\n3,2024-02-01\n")
     assert run().count() == 3 and run().filter("day IS NULL").count() == 1
+    (tmp_path / "in" / "c.csv").write_text("id,day\nbad,2024-02-01\n4,2024-02-02,extra\n5,2024-02-03\n")
+    assert run().count() == 4
+    assert {r["record"] for r in spark.read.parquet(out + "/rejected").collect()} == {
+        '{"id":"bad","day":"2024-02-01"}', "4,2024-02-02,extra"}

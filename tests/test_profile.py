@@ -19,10 +19,10 @@ def by_name(df):
     ("BIGINT", 100, 20, None, "n", "categorical", 60.0),
     ("BIGINT", 100, 21, None, "n", "continuous_numerical", 62.0),
     ("DECIMAL(18,2)", 1000, 500, None, "amount", "continuous_numerical", 99.0),
-    ("BIGINT", 1000, 900, None, "zip_code", "categorical", 65.0),
-    ("bigint", 100, 5, None, "zip_code", "categorical", 89.2),
+    ("BIGINT", 1000, 900, None, "room_code", "categorical", 65.0),
+    ("bigint", 100, 5, None, "room_code", "categorical", 89.2),
     ("VARCHAR", 0, 0, None, "t", "categorical", 50.0),
-    ("VARCHAR", 5000, 65, 12.0, "job_title", "categorical", 88.9),
+    ("VARCHAR", 5000, 65, 12.0, "boat_class", "categorical", 88.9),
     ("VARCHAR", 100, 60, 55.0, "notes", "free_text", 85.0),
     ("VARCHAR", 50, 50, 10.0, "code", "free_text", 99.0),
     ("string", 100, 30, 10.0, "city", "categorical", 55.0),
@@ -51,10 +51,10 @@ def test_dataset_health(spark):
 
 
 def test_profile_fixture(spark):
-    df = spark.createDataFrame([(i, "active", f"revenue {i}") for i in range(1, 31)], "cust_id bigint, status string, notes string")
+    df = spark.createDataFrame([(i, "moored", f"mast {i}") for i in range(1, 31)], "boat_id bigint, state string, notes string")
     found = by_name(profile(df))
-    assert (found["cust_id"]["category"], found["cust_id"]["needs_review"], found["cust_id"]["alias"]) == ("categorical", True, "Customer ID")
-    assert (found["status"]["category"], found["status"]["alias"]) == ("categorical", "Status")
+    assert (found["boat_id"]["category"], found["boat_id"]["needs_review"], found["boat_id"]["alias"]) == ("categorical", True, "Boat ID")
+    assert (found["state"]["category"], found["state"]["alias"]) == ("categorical", "State")
     assert found["notes"]["category"] == "free_text"
 
 

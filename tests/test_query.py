@@ -34,7 +34,23 @@ def test_rows_are_capped_and_flagged(cities):
 
 
 def test_queries_see_edited_values_and_leave_no_view(spark, cities):
-    edited = apply_edits(cities, EditRules().with_merge("city", Merge("NYC", ["NY", "New York"])))
-    assert query(edited, "SELECT count(*) AS n FROM data WHERE city = 'NYC'").first()["n"] == 40
+    edited = apply_edits(cities, EditRules().with_merge("city", Merge("CGN", ["Koeln", "Cologne"])))
+    assert query(edited, "SELECT count(*) AS n FROM data WHERE city = 'CGN'").first()["n"] == 40
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("data")]
     assert spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers", "false") == "false"
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT java_method('java.lang.System', 'getProperty', 'x') AS n FROM data", "SELECT `reflect`('java.lang.System', 'gc') FROM data",
+    "SELECT try_reflect /* */ ('java.lang.System', 'gc') FROM data", "SELECT * FROM secret", "SELECT (SELECT max(id) FROM secret) FROM data",
+    "WITH a AS (SELECT * FROM secret) SELECT * FROM a", "SELECT * FROM data WHERE id IN (SELECT id FROM secret)",
+])
+def test_java_methods_and_other_views_are_refused(spark, cities, text):
+    spark.range(3).createOrReplaceTempView("secret")
+    with pytest.raises(UnsafeQueryError):
+        query(cities, text)
+
+
+def test_a_frame_over_a_view_may_read_it(spark):
+    spark.range(3).createOrReplaceTempView("own")
+    assert query(spark.table("own"), "SELECT count(*) AS n FROM data").first()["n"] == 3

@@ -6,33 +6,29 @@ from tabsmith.operators import ranges, tags
 from tabsmith.operators.ranges import RangeConfig
 from tabsmith.operators.tags import TagConfig
 
-HYBRID = TagConfig(prefix_separator="-")
+PARTLY = TagConfig(prefix_separator="-")
+SPLIT_UP = {"Turin": 58, "Malmo": 51, "Basel": 43, "Oslo": 31, "Graz": 27, "Split": 26, "Ghent": 24, "Riga": 21}
 
 
 def test_prefix_is_stripped(locations):
-    counts = pairs(tags.tag_counts(locations, "location", HYBRID))
-    assert (counts["Pune"], counts["Gurugram"], counts["Bengaluru"]) == (60, 45, 55)
-    assert "Hybrid - Pune" not in counts and sum(counts.values()) == 290
+    assert pairs(tags.tag_counts(locations, "location", PARTLY)) == SPLIT_UP
 
 
 def test_without_a_prefix_the_label_stays(locations):
-    assert pairs(tags.tag_counts(locations, "location"))["Hybrid - Pune"] == 30
+    assert pairs(tags.tag_counts(locations, "location"))["Partly - Turin"] == 27
 
 
 def test_vocabulary_and_other(locations):
-    listed = TagConfig("-", ",", ["Pune", "Gurugram", "Bengaluru", "Mumbai", "Delhi"])
-    assert sum(pairs(tags.tag_chart(locations, "location", listed)).values()) == 60 + 45 + 55 + 30 + 25
-    other = TagConfig("-", ",", ["Pune", "Gurugram", "Bengaluru"], include_other=True)
-    counts = pairs(tags.tag_chart(locations, "location", other))
-    assert sum(counts.values()) == sum(pairs(tags.tag_chart(locations, "location", HYBRID)).values())
-    assert counts["Other"] == 290 - 160
-    six = TagConfig("-", ",", ["Pune", "Gurugram", "Bengaluru", "Mumbai", "Hyderabad", "Chennai", "Delhi"], include_other=True)
-    assert pairs(tags.tag_chart(locations, "location", six))["Other"] == 30
+    listed = ["Turin", "Basel", "Split"]
+    assert pairs(tags.tag_chart(locations, "location", TagConfig("-", ",", listed))) == {t: SPLIT_UP[t] for t in listed}
+    for known in (listed, [t for t in SPLIT_UP if t != "Graz"]):
+        counts = pairs(tags.tag_chart(locations, "location", TagConfig("-", ",", known, include_other=True)))
+        assert counts == {t: SPLIT_UP[t] for t in known} | {"Other": sum(n for t, n in SPLIT_UP.items() if t not in known)}
 
 
 def test_distinct_tags_and_limit(locations):
-    assert tags.tag_distinct_count(locations, "location", HYBRID).first()[0] == 8
-    assert tags.tag_counts(locations, "location", HYBRID, 3).count() == 3
+    assert tags.tag_distinct_count(locations, "location", PARTLY).first()[0] == len(SPLIT_UP)
+    assert [r[0] for r in tags.tag_counts(locations, "location", PARTLY, 3).collect()] == ["Turin", "Malmo", "Basel"]
 
 
 def test_mentions_count_twice_and_nulls_never(spark):
@@ -41,21 +37,21 @@ def test_mentions_count_twice_and_nulls_never(spark):
 
 
 def test_range_counts_and_midpoints(experience):
-    config = RangeConfig(unit="yrs")
-    assert tuple(ranges.range_parse_counts(experience, "experience_raw", config).first()) == (150, 150)
-    found = {r["raw"]: r["parsed"] for r in ranges.range_preview(experience, "experience_raw", config, 150).collect()}
-    assert found["0-2 yrs"] == 1.0 and found["10-15 yrs"] == 12.5
+    config = RangeConfig(unit="km")
+    assert tuple(ranges.range_parse_counts(experience, "distance_raw", config).first()) == (140, 140)
+    found = {r["raw"]: r["parsed"] for r in ranges.range_preview(experience, "distance_raw", config, 140).collect()}
+    assert found == {"1-3 km": 2.0, "3-5 km": 4.0, "5-9 km": 7.0, "9-13 km": 11.0, "13-22 km": 17.5}
 
 
 def test_range_separator_mismatch_parses_nothing(experience):
-    assert tuple(ranges.range_parse_counts(experience, "experience_raw", RangeConfig(separator="to", unit="yrs")).first()) == (0, 150)
+    config = RangeConfig(separator="to", unit="km")
+    assert tuple(ranges.range_parse_counts(experience, "distance_raw", config).first()) == (0, 140)
 
 
 def test_range_histogram(experience):
-    rows = ranges.range_histogram(experience, "experience_raw", RangeConfig(unit="yrs")).collect()
-    assert sum(r["count"] for r in rows) == 150
-    assert {(r["min_val"], r["max_val"]) for r in rows} == {(1.0, 12.5)}
-    assert [r["bucket"] for r in rows] == [0, 1, 3, 6, 9]
+    rows = ranges.range_histogram(experience, "distance_raw", RangeConfig(unit="km")).collect()
+    assert {(r["min_val"], r["max_val"]) for r in rows} == {(2.0, 17.5)}
+    assert {r["bucket"]: r["count"] for r in rows} == {0: 24, 1: 33, 3: 28, 5: 35, 9: 20}
 
 
 @pytest.mark.parametrize("kind, expected", [("min", 4.0), ("max", 10.0), ("midpoint", 7.0)])
