@@ -14,7 +14,7 @@ from itertools import chain, combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import require
+from tabsmith.llm.common import require, set_aside
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 LEARNED = "assistant"
@@ -88,12 +88,11 @@ def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
 
     Fields that no layout reads are ignored. A record that fits no layout, is no object or is null keeps its
     row: layout and turns are null. Null roles and texts are empty; an empty list of messages has no fields
-    below it and so fits no layout.
+    below it and so fits no layout. Columns called like the added ones give way to them.
     """
     require(records, column)
-    added = {"fingerprint", "layout", "turns", "_parsed", "_paths"}
-    if added & set(records.columns):
-        raise ValueError(f"columns {', '.join(sorted(added))} are added here")
+    records, moved = set_aside(records, *({"fingerprint", "layout", "turns", "_parsed", "_paths"} - {column}))
+    records = records.drop(*moved.values())
     vocabulary = F.array(*[F.lit(p) for p in sorted({p for lay in LAYOUTS for p in lay.required + lay.optional})])
     parsed = records.withColumn("_parsed", F.from_json(column, SCHEMA, JSON))
     nested = [_nested_paths(F.col("_parsed")[n], n) for n in LISTS]
@@ -134,8 +133,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     empty text. Roles of unusual characters are written in base64 after an equals sign.
     """
     require(turns, "turns")
-    if {"formatted", "loss_spans", "_turns"} & set(turns.columns):
-        raise ValueError("columns formatted, loss_spans and _turns are added here")
+    turns, moved = set_aside(turns, "formatted", "loss_spans", "_turns")
+    turns = turns.drop(*moved.values())
     made = turns.withColumn("_turns", F.transform("turns", lambda t: F.struct(
         F.concat(F.lit(START), _role_out(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"),
         (t["role"] == LEARNED).alias("loss"),

@@ -31,6 +31,20 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """Renames columns called like ``names`` (in any case), so that an operator can use those; gives old and new names."""
+    taken, prefix = {n.lower() for n in names}, "_aside"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    moved = {c: f"{prefix}{k}" for k, c in enumerate(df.columns) if c.lower() in taken}
+    return df.withColumnsRenamed(moved), moved
+
+
+def put_back(df: DataFrame, columns: list[str], moved: dict[str, str]) -> DataFrame:
+    """The columns an operator began with, under their old names."""
+    return df.select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in columns])
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

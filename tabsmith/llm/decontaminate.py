@@ -17,13 +17,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import require, saved
+from tabsmith.llm.common import put_back, require, saved, set_aside
 
 WINDOW = 10
 #: Words of the items in one automaton (up to twice as many states, about 0.5 kB each).
 BLOCK_WORDS = 200_000
 #: A document of which a larger share is hit goes as a whole.
 COVERAGE = 0.5
+ADDED = ("n_words", "hit_ranges", "item_ids", "clean_text")
 #: Letters, digits and everything beyond ASCII make words; the rest of ASCII separates them.
 KEPT = [b for b in range(256) if b >= 0x80 or chr(b).isalnum()]
 FOLD = bytes(ord(chr(b).lower()) if b < 0x80 else b for b in (k if k in KEPT else 0x20 for k in range(256)))
@@ -133,7 +134,7 @@ class SuffixAutomaton:
 
 
 @lru_cache(maxsize=2)
-def _built(number: int, window: int, items: tuple[tuple[str, str], ...]) -> SuffixAutomaton:
+def _built(window: int, items: tuple[tuple[str, str], ...]) -> SuffixAutomaton:
     return SuffixAutomaton(list(items), window)
 
 
@@ -174,13 +175,12 @@ def find_contamination(
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
     Null texts have no words and stay null; items without an id, a text or words match nothing; repeated item
-    rows count once. Columns of ``docs`` pass through, and may not have the added names.
+    rows count once. Columns of ``docs`` pass through; those called like the added ones give way to them.
     """
     require(docs, "text")
     require(items, id_column, "text")
-    added = ["n_words", "hit_ranges", "item_ids", "clean_text"]
-    if set(added) & set(docs.columns):
-        raise ValueError(f"columns {', '.join(added)} are added here")
+    docs, moved = set_aside(docs, *ADDED)
+    docs = docs.drop(*moved.values())
     out = docs.withColumns({
         "n_words": F.lit(0).cast("long"), "hit_ranges": F.lit(None).cast("array<struct<start:bigint,end:bigint>>"),
         "item_ids": F.lit(None).cast("array<string>"), "clean_text": F.col("text"),
@@ -195,7 +195,7 @@ def find_contamination(
 
 def _pass(docs: DataFrame, items: Broadcast, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _built(items.id, window, items.value) if hasattr(items, "id") else SuffixAutomaton(list(items.value), window)
+        automaton = _built(window, items.value)
         for batch in batches:
             n_words, ranges, item_ids, cleaned = [], [], [], []
             before = zip(*(batch[c].to_pylist() for c in ("text", "hit_ranges", "item_ids", "clean_text")), strict=True)
@@ -237,10 +237,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
     Untouched texts stay as they are; ``n_chars`` follows the text where there is such a column. Options are
     those of ``find_contamination``, whose rules for nulls and empty texts hold.
     """
-    found = find_contamination(docs, items, **options)
+    own, moved = set_aside(docs, *ADDED)
+    found = find_contamination(own, items, **options)
     n_hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     kept = found.filter(n_hit <= F.col("n_words") * coverage).withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         kept = kept.withColumn("n_chars", F.when(F.size("hit_ranges") > 0, length).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    return put_back(kept, docs.columns, moved)

@@ -5,7 +5,8 @@ texts (counts of the tokenizer's own segmentation of the distinct words, refined
 over the lattice). A segment of a text is a whole training word, weighted by its discounted count, or one of the
 pieces that spell a word. No segment crosses a word, so a text's probability is the product of its words' and
 the end's; a word's is a sum over all its segmentations, by a forward recursion in log space. What the discount
-takes from the training words is the weight of spelling, so all texts' probabilities sum to one at most.
+takes from the training words is the weight of spelling, so all texts' probabilities sum to one at most. Scores
+are learned for each component of the training texts (their languages); a text's probability is the mixture's.
 
 The words of all texts are counted once (one shuffle of each task's distinct words). All per-word figures are
 worked out once per distinct word. Words with more than a share of all tokens are few whatever the corpus
@@ -20,13 +21,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import require, saved
 from tabsmith.llm.tokens import encoder, vocabulary_path
 
-FOLDS, HELD_OUT = 7, 2
+FOLDS, HELD_OUT = 7, 2  # of crc32 of the doc_id
 EM_ROUNDS = 2
 #: Words with more than one in this many tokens are broadcast: fewer words than this number.
 COMMON = 1 << 17
@@ -40,6 +42,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 DISCOUNT = 0.75
 #: Added to the weights of spelling and of the end, which so exist without training texts.
 LEAST_WEIGHT = 0.5
+#: Components with a smaller share of the training texts are pooled, so there are at most this many and one.
+MOST_COMPONENTS = 16
 MIX = 0xD6E8FEB86659FD93
 
 
@@ -111,27 +115,33 @@ def by_length(words: list[bytes], most_cells: int = 1 << 18) -> Iterator[tuple[l
             yield part, np.frombuffer(b"".join(b" " + words[k] for k in part), np.uint8).reshape(len(part), length)
 
 
-def forward(pieces: Pieces, scores: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log forward weights (words, length + 1), and the piece that ends at j after m + 1 bytes (words, length + 1, m)."""
+def find_pieces(pieces: Pieces, text: np.ndarray) -> np.ndarray:
+    """The piece (or -1) that ends at j after m + 1 bytes: (words, length + 1, m)."""
     n, length = text.shape
     most = min(length, pieces.longest)
     prefix = np.zeros((n, length + 1), np.uint64)
     for j in range(length):
         prefix[:, j + 1] = prefix[:, j] * BASE + text[:, j].astype(np.uint64) + np.uint64(1)
     power = np.cumprod(np.full(most, BASE))
-    alpha = np.full((n, length + 1), -np.inf)
-    alpha[:, 0] = 0
     found = np.full((n, length + 1, most), -1, np.int32)
     for m in range(1, most + 1):
         spans = (prefix[:, m:] - prefix[:, : length + 1 - m] * power[m - 1]) * np.uint64(MIX)
         found[:, m:, m - 1] = pieces.find(spans.ravel()).reshape(spans.shape)
-    for j in range(1, length + 1):
+    return found
+
+
+def forward(scores: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Log weights of all segmentations of the first j bytes: (words, length + 1)."""
+    n, ends, most = found.shape
+    alpha = np.full((n, ends), -np.inf)
+    alpha[:, 0] = 0
+    for j in range(1, ends):
         reach = min(j, most)
         here = found[:, j, :reach]
         terms = np.where(here >= 0, scores[here], -np.inf) + alpha[:, j - reach : j][:, ::-1]
         top = terms.max(axis=1)
         alpha[:, j] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
-    return alpha, found
+    return alpha
 
 
 def long_word(pieces: Pieces, scores: np.ndarray, word: bytes) -> float:
@@ -149,13 +159,18 @@ def long_word(pieces: Pieces, scores: np.ndarray, word: bytes) -> float:
 
 
 def word_scores(pieces: Pieces, scores: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """Natural-log marginal probability of spelling each word, the space before it and its end included."""
-    out = np.empty(len(words))
+    """Natural-log marginal probability of spelling each word, the space before it and its end included.
+
+    scores: a row per component; so is the result.
+    """
+    out = np.empty((len(scores), len(words)))
     short = [k for k, w in enumerate(words) if len(w) < LONG]
     for k in set(range(len(words))) - set(short):
-        out[k] = long_word(pieces, scores, words[k])
+        out[:, k] = [long_word(pieces, own, words[k]) for own in scores]
     for part, text in by_length([words[k] for k in short]):
-        out[[short[p] for p in part]] = forward(pieces, scores, text)[0][:, -1] + scores[-1]
+        found = find_pieces(pieces, text)
+        for component, own in enumerate(scores):
+            out[component, [short[p] for p in part]] = forward(own, found)[:, -1] + own[-1]
     return out
 
 
@@ -167,7 +182,8 @@ def expected_counts(pieces: Pieces, scores: np.ndarray, words: list[bytes]) -> n
     total = np.zeros(len(pieces.ids))
     short = [k for k, w in enumerate(words) if len(w) < LONG]
     for _, text in by_length([words[k] for k in short]):
-        alpha, found = forward(pieces, scores, text)
+        found = find_pieces(pieces, text)
+        alpha = forward(scores, found)
         n, length = text.shape
         most = found.shape[2]
         beta = np.full((n, length + 1), -np.inf)
@@ -187,155 +203,186 @@ def expected_counts(pieces: Pieces, scores: np.ndarray, words: list[bytes]) -> n
     return total
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n (in training rows), total (in all): whole texts, lower-cased A-Z."""
+def word_counts(docs: DataFrame, components: int) -> DataFrame:
+    """word, n (in training rows, by component), total (in all): whole texts, lower-cased A-Z."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, held = Counter(), Counter()
+        counters = [Counter() for _ in range(components + 1)]  # the last for held-out rows
         for batch in batches:
-            for text, held_out in zip(batch["text"].to_pylist(), batch["held_out"].to_pylist(), strict=True):
-                (held if held_out else train).update((text or "").encode().lower().split())
-                if len(train) + len(held) > FLUSH_WORDS:
-                    yield flush(train, held)
-        yield flush(train, held)
-
-    def flush(train: Counter, held: Counter) -> pa.RecordBatch:
-        found = [*train, *(held.keys() - train.keys())]
-        n = np.array([*train.values(), *[0] * (len(found) - len(train))], np.int64)
-        more = np.fromiter(map(held.get, found, repeat(0)), np.int64, len(found))
-        names = pa.array(found, pa.binary()).cast(pa.string())
-        train.clear()
-        held.clear()
-        return pa.RecordBatch.from_pydict({"word": names, "n": pa.array(n), "total": pa.array(n + more)})
-
-    counted = docs.select("text", "held_out").mapInArrow(run, "word string, n long, total long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-
-
-def _piece_counts(words: DataFrame, path: str, scores: np.ndarray | None) -> dict[int, float]:
-    """Uses of each piece in the distinct training words: in the tokenizer's segmentation, or expected under ``scores``."""
+            for text, component in zip(batch["text"].to_pylist(), batch["component"].to_pylist(), strict=True):
+                counters[component].update((text or "").encode().lower().split())
+                if sum(map(len, counters)) > FLUSH_WORDS:
+                    yield flush(counters)
+        yield flush(counters)
+
+    def flush(counters: list[Counter]) -> pa.RecordBatch:
+        found = list(set().union(*counters))
+        n = [np.fromiter(map(c.get, found, repeat(0)), np.int64, len(found)) for c in counters]
+        columns = {"word": pa.array(found, pa.binary()).cast(pa.string()), "total": pa.array(sum(n))}
+        for c in counters:
+            c.clear()
+        return pa.RecordBatch.from_pydict(columns | {f"n{k}": pa.array(n[k]) for k in range(components)})
+
+    names = ["total", *(f"n{k}" for k in range(components))]
+    held = F.when(F.col("held_out"), components).otherwise(F.col("component")).alias("component")
+    counted = docs.select("text", held).mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in names))
+    summed = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+    return summed.select("word", "total", F.array(*names[1:]).alias("n"))
+
+
+def _piece_uses(words: DataFrame, path: str, scores: np.ndarray | None, components: int) -> list[dict[int, float]]:
+    """Per component, uses of each piece in its distinct words: in the tokenizer's segmentation, or expected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, bpe = pieces_of(path), encoder(path)
-        total = np.zeros(len(pieces.ids))
+        total = np.zeros((components, len(pieces.ids)))
         place = np.full(len(bpe.piece_bytes), -1)
         place[pieces.ids] = np.arange(len(pieces.ids))
         for batch in batches:
             found = batch["word"].cast(pa.binary()).to_pylist()
-            if scores is not None:
-                total += expected_counts(pieces, scores, found)
-                continue
-            ids = np.frombuffer(bpe.ids("".join(" " + w.decode() for w in found)), np.uint32)
-            used = place[ids]
-            total += np.bincount(used[used >= 0], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int32()), "uses": pa.array(total[some])})
+            used_in = batch["n"].flatten().to_numpy().reshape(-1, components) > 0
+            for k in range(components):
+                own = [found[i] for i in np.flatnonzero(used_in[:, k])]
+                if scores is None:
+                    used = place[np.frombuffer(bpe.ids("".join(" " + w.decode() for w in own)), np.uint32)]
+                    total[k] += np.bincount(used[used >= 0], minlength=len(pieces.ids))
+                else:
+                    total[k] += expected_counts(pieces, scores[k], own)
+        component, piece = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({
+            "component": pa.array(component, pa.int32()), "piece": pa.array(piece, pa.int32()), "uses": pa.array(total[component, piece]),
+        })
+
+    counted = words.select("word", "n").mapInArrow(run, "component int, piece int, uses double")
+    out: list[dict[int, float]] = [{} for _ in range(components)]
+    for r in counted.groupBy("component", "piece").agg(F.sum("uses").alias("uses")).collect():  # bounded by the vocabulary
+        out[r["component"]][r["piece"]] = r["uses"]
+    return out
 
-    counted = words.filter("n > 0").select("word").mapInArrow(run, "piece int, uses double")
-    rows = counted.groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # one row per piece at most
-    return {r["piece"]: r["uses"] for r in rows}
+
+def _components(rows: DataFrame, column: str | None) -> tuple[Column, list[int]]:
+    """Number of a row's component, and the training texts of each. The last takes in all small ones."""
+    key = F.lit("") if column is None else F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+    sizes = rows.filter("not held_out").groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = sorted((r["key"], r["n"]) for r in sizes.filter(F.col("n") * MOST_COMPONENTS >= total).collect())
+    number = F.coalesce(*[F.when(key == name, k) for k, (name, _) in enumerate(large)], F.lit(len(large)))
+    rest = total - sum(n for _, n in large)
+    counts = [n for _, n in large] + [rest] * (rest > 0 or not large)
+    return F.least(number, F.lit(len(counts) - 1)).alias("component"), counts
 
 
 def score_documents(
-    docs: DataFrame, held_out: str = "held_out", path: str | None = None, em_rounds: int = EM_ROUNDS, common: int = COMMON
+    docs: DataFrame, held_out: str = "held_out", component: str | None = None, path: str | None = None,
+    em_rounds: int = EM_ROUNDS, common: int = COMMON,
 ) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text, boolean ``held_out``) by a model of the rows not held out.
 
-    Adds n_tokens (words and one end), n_known (tokens seen in training), train_tokens, base_score (add-one
-    unigrams of words) and score (the model's), both log10. A null or empty text is the end alone; null ids
-    and repeated rows are scored like others; a null ``held_out`` counts as training. Without training rows
-    every word is unknown. Other columns of ``docs`` are left out.
+    Gives doc_id, held_out, n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
+    base_score (add-one unigrams of words) and score (the model's), both log10. ``component`` names the column
+    whose values get scores of their own; a text is scored by the mixture, whatever its own value. A null or
+    empty text is the end alone; null ids and repeated rows are scored like others; a null ``held_out`` counts
+    as training. Without training rows every word is unknown. Other columns are left out.
     """
-    require(docs, "doc_id", "text", held_out)
+    require(docs, "doc_id", "text", held_out, *[component] * (component is not None))
     path = path or vocabulary_path()
-    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    words = saved(word_counts(rows))
+    kept = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), *[component] * (component is not None))
+    number, train_docs = _components(kept, component)
+    rows = kept.select("doc_id", "text", "held_out", number)
+    k = range(len(train_docs))
+    words = saved(word_counts(rows, len(k)))
+    known = F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)
     facts = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"),
-        F.count_if(F.col("n") > 0).alias("v"),
+        F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count_if(known > 0).alias("v"),
+        *[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)).alias(f"n{i}") for i in k], *[F.count_if(F.col("n")[i] > 0).alias(f"v{i}") for i in k],
     ).first()
-    train_docs = rows.filter("not held_out").count()
-    n_train, floor = facts["n"] + train_docs, facts["n"] + train_docs + facts["v"] + (train_docs > 0) + 1
-    pieces = pieces_of(path)
-    scores = pieces.scores(_piece_counts(words, path, None), facts["v"])
-    for _ in range(em_rounds):
-        scores = pieces.scores(_piece_counts(words, path, scores), facts["v"])
+    texts = sum(train_docs)
+    n_train = sum(facts[f"n{i}"] for i in k) + texts
+    floor = n_train + facts["v"] + (texts > 0) + 1
+    pieces, scores = pieces_of(path), None
+    for _ in range(em_rounds + 1):
+        uses = _piece_uses(words, path, scores, len(k))
+        scores = np.stack([pieces.scores(uses[i], facts[f"v{i}"]) for i in k])
     context = docs.sparkSession.sparkContext
     table = saved(_with_lattice(words, path, context.broadcast(scores)))
-    spelled = DISCOUNT * facts["v"] + LEAST_WEIGHT
-    total = math.log10(n_train + 2 * LEAST_WEIGHT)
-    whole = F.col("n") - DISCOUNT + spelled * F.pow(F.lit(10.0), "lattice")
+    spelled = [DISCOUNT * facts[f"v{i}"] + LEAST_WEIGHT for i in k]
+    total = [math.log10(facts[f"n{i}"] + train_docs[i] + 2 * LEAST_WEIGHT) for i in k]
+
+    def word_score(i: int) -> Column:
+        n, lattice = F.col("n")[i], F.col("lattice")[i]
+        whole = F.log10(n - DISCOUNT + spelled[i] * F.pow(F.lit(10.0), lattice))
+        return F.when(n > 0, whole).otherwise(lattice + math.log10(spelled[i])) - total[i]
+
     table = table.select(
-        "word", "n", "total", F.log10((F.col("n") + 1) / F.lit(float(floor))).alias("base"),
-        (F.when(F.col("n") > 0, F.log10(whole)).otherwise(F.col("lattice") + math.log10(spelled)) - total).alias("score"),
+        "word", "total", (known > 0).cast("double").alias("known"), F.log10((known + 1) / F.lit(float(floor))).alias("base"),
+        *[word_score(i).alias(f"s{i}") for i in k],
     )
-    often = table.filter(F.col("total") * common > facts["total"]).select("word", "n", "base", "score").collect()
-    often = context.broadcast({r["word"].encode(): (r["base"], r["score"], r["n"] > 0) for r in often})
-    spread = saved(_spread(rows.withColumn("row", F.monotonically_increasing_id()), often))
+    sums = ["known", "base", *[f"s{i}" for i in k]]
+    often = table.filter(F.col("total") * common > facts["total"]).select("word", *sums).collect()
+    shared = context.broadcast(({r["word"].encode(): i for i, r in enumerate(often)}, np.array([r[1:] for r in often]).reshape(-1, len(sums))))
+    spread = saved(_spread(rows.withColumn("row", F.monotonically_increasing_id()), shared, sums))
     rare = spread.filter("word is not null").select("row", "word", "times").join(table, "word")
-    rare = rare.groupBy("row").agg(
-        F.sum(F.col("base") * F.col("times")).alias("rare_base"), F.sum(F.col("score") * F.col("times")).alias("rare_score"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-    )
-    end_base, end = math.log10((train_docs + 1) / floor), math.log10(train_docs + LEAST_WEIGHT) - total
-    zero = F.lit(0.0)
-    return spread.filter("word is null").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(train_docs > 0))).alias("n_known"),
+    rare = rare.groupBy("row").agg(*[F.sum(F.col(c) * F.col("times")).alias(f"rare_{c}") for c in sums])
+    met = spread.filter("word is null").join(rare, "row", "left")
+    of = {c: F.col(c) + F.coalesce(f"rare_{c}", F.lit(0.0)) for c in sums}
+    ends = [math.log10((train_docs[i] + LEAST_WEIGHT) * (train_docs[i] + 1) / (texts + len(k))) - total[i] for i in k]
+    top = F.greatest(*[of[f"s{i}"] + ends[i] for i in k], F.lit(-math.inf))
+    mixture = top + F.log10(sum((F.pow(F.lit(10.0), of[f"s{i}"] + ends[i] - top) for i in k), F.lit(0.0)))
+    return met.select(
+        "doc_id", "held_out", "n_tokens", (of["known"].cast("long") + F.lit(int(texts > 0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero) + F.lit(end_base)).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", zero) + F.lit(end)).alias("score"),
+        (of["base"] + F.lit(math.log10((texts + 1) / floor))).alias("base_score"), mixture.alias("score"),
     )
 
 
-def _with_lattice(words: DataFrame, path: str, scores) -> DataFrame:
+def _with_lattice(words: DataFrame, path: str, scores: Broadcast) -> DataFrame:
+    """Adds the log10 probability of spelling each word, by component."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         for batch in batches:
-            lattice = word_scores(pieces, scores.value, batch["word"].cast(pa.binary()).to_pylist()) / math.log(10)
-            yield pa.RecordBatch.from_pydict({
-                "word": batch["word"], "n": batch["n"], "total": batch["total"], "lattice": pa.array(lattice),
-            })
+            lattice = word_scores(pieces, scores.value, batch["word"].cast(pa.binary()).to_pylist()).T / math.log(10)
+            columns = {c: batch[c] for c in ("word", "total", "n")}
+            flat = pa.array(np.ascontiguousarray(lattice).ravel())
+            ends = pa.array(np.arange(len(lattice) + 1, dtype=np.int32) * len(scores.value))
+            yield pa.RecordBatch.from_pydict(columns | {"lattice": pa.ListArray.from_arrays(ends, flat)})
 
-    return words.mapInArrow(run, "word string, n long, total long, lattice double")
+    return words.mapInArrow(run, "word string, total long, n array<long>, lattice array<double>")
 
 
-def _spread(rows: DataFrame, often) -> DataFrame:
+def _spread(rows: DataFrame, often: Broadcast, sums: list[str]) -> DataFrame:
     """Per document one row with the sums over its common words, and a row for each other word."""
-    schema = ("row long, doc_id {}, held_out boolean, n_tokens long, known long, base double, score double, "
-              "word string, times long").format(rows.schema["doc_id"].dataType.simpleString())
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, word string, times long, " + ", ".join(f"{c} double" for c in sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = often.value
+        index, table = often.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                yield part(table, batch.slice(at, 256))
+                yield part(index, table, batch.slice(at, 256))
 
-    def part(table: dict, batch: pa.RecordBatch) -> pa.RecordBatch:
-        sums, owner, word, times = [], [], [], []
+    def part(index: dict, table: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        n_tokens, owner, word, times = [], [], [], []
+        totals = np.zeros((n, len(sums)))
         for k, text in enumerate(batch["text"].to_pylist()):
-            found = (text or "").encode().lower().split()
-            known, base, score = 0, 0.0, 0.0
-            for w, n in Counter(found).items():
-                if entry := table.get(w):
-                    base += n * entry[0]
-                    score += n * entry[1]
-                    known += n * entry[2]
-                else:
-                    owner.append(k)
-                    word.append(w)
-                    times.append(n)
-            sums.append((len(found) + 1, known, base, score))
-        n, more = batch.num_rows, len(owner)
-        take = pa.array([*range(n), *owner])
-        empty = pa.nulls(more)
-        columns = {"row": batch["row"].take(take), "doc_id": batch["doc_id"].take(take), "held_out": batch["held_out"].take(take)}
-        for name, values, kind in zip(
-            ("n_tokens", "known", "base", "score"), zip(*sums, strict=True), ("int64", "int64", "float64", "float64"), strict=True
-        ):
-            columns[name] = pa.concat_arrays([pa.array(values, kind), empty.cast(kind)])
+            found = Counter((text or "").encode().lower().split())
+            n_tokens.append(found.total() + 1)
+            at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
+            count = np.fromiter(found.values(), np.int64, len(found))
+            totals[k] = count[at >= 0] @ table[at[at >= 0]]
+            rare = np.flatnonzero(at < 0)
+            names = list(found)
+            owner += [k] * len(rare)
+            word += [names[i] for i in rare]
+            times += count[rare].tolist()
+        take, more = pa.array([*range(n), *owner]), len(owner)
+        columns = {c: batch[c].take(take) for c in ("row", "doc_id", "held_out")}
+        columns["n_tokens"] = pa.concat_arrays([pa.array(n_tokens, pa.int64()), pa.nulls(more, pa.int64())])
         columns["word"] = pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(word, pa.binary()).cast(pa.string())])
         columns["times"] = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times, pa.int64())])
+        for i, c in enumerate(sums):
+            columns[c] = pa.concat_arrays([pa.array(totals[:, i]), pa.nulls(more, pa.float64())])
         return pa.RecordBatch.from_pydict(columns)
 
     return rows.mapInArrow(run, schema)

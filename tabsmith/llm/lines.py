@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import require, saved
+from tabsmith.llm.common import put_back, require, saved, set_aside
 from tabsmith.operators.lookup import spread_lookup
 
 RATIO = 0.05
@@ -17,6 +17,7 @@ LEAST_PAGES = 3
 #: Up to this many (host, line) pairs go to every task; beyond, pages are joined to their host's list.
 BROADCAST_LINES = 50_000
 HOT_ROWS = 256
+ADDED = ("n_lines", "n_dropped", "_drops", "_host", "_kept")
 SPACE = " \t\r\x0b\x0c"
 
 
@@ -50,11 +51,21 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
 
     Lines keep their order and the rest of a text stays as it is; ``n_chars`` follows where there is such a
     column. Null texts stay null (no lines), empty ones have one empty line. A text of nothing but boilerplate
-    becomes empty; its row stays.
+    becomes empty; its row stays. Columns called like the added ones give way to them.
     """
-    clash = {"n_lines", "n_dropped", "_drops", "_host", "_kept"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {', '.join(sorted(clash))} are added here")
+    require(docs, host, "text")
+    docs, moved = set_aside(docs, *ADDED)
+    return _dropped(docs, host, ratio, least_pages).drop(*moved.values())
+
+
+def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """The same without the added columns: those of ``docs`` stay as they are, but for ``text`` and ``n_chars``."""
+    require(docs, host, "text")
+    own, moved = set_aside(docs, *ADDED)
+    return put_back(_dropped(own, host, ratio, least_pages), docs.columns, moved)
+
+
+def _dropped(docs: DataFrame, host: str, ratio: float, least_pages: int) -> DataFrame:
     over = saved(boilerplate(docs, host, ratio, least_pages))
     lists = over.groupBy("_host").agg(F.collect_set("line").alias("_drops"))
     keyed = docs.withColumn("_host", _host(F.col(host)))

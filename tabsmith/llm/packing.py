@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabsmith.llm.common import require, saved
+from tabsmith.llm.common import require, saved, set_aside
 from tabsmith.llm.tokens import encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -72,12 +73,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
 
     (``row``, ``piece``) must identify a piece; other columns pass through. Every piece is placed once, and
     the places in a sequence leave no gap. An empty table stays empty. Equal lengths are taken in the order
-    of (row, piece), so the same table gives the same packing.
+    of (row, piece), so the same table gives the same packing. Columns called like the added ones give way.
     """
     require(pieces, "row", "piece", "length")
-    clash = {"sequence_id", "offset", "_block", "_full"} & set(pieces.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are in use")
+    pieces, moved = set_aside(pieces, "sequence_id", "offset", "_block", "_full")
+    pieces = pieces.drop(*moved.values())
     left, done = saved(pieces), []
     for turn in range(rounds):
         n = left.count()
@@ -111,8 +111,8 @@ def _pack_blocks(dealt: DataFrame, turn: int, capacity: int) -> DataFrame:
             table = table.append_column(name, pa.array(values))
         return table
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    return dealt.groupBy("_block").applyInArrow(run, f"{ddl}, sequence_id long, offset long, _full boolean")
+    schema = T.StructType([*dealt.schema.fields]).add("sequence_id", "long").add("offset", "long").add("_full", "boolean")
+    return dealt.groupBy("_block").applyInArrow(run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import chat, decontaminate, lattice, lines, packing, rules, simhash, tokens, warc
+from tabsmith.llm import chat, decontaminate, extract, lattice, lines, packing, rules, simhash, tokens, warc
 from tabsmith.llm.common import shared_folder
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -29,7 +29,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % lattice.FOLDS
-    return lattice.score_documents(table(spark, sf_dir, "documents").withColumn("held_out", fold == lattice.HELD_OUT))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold == lattice.HELD_OUT)
+    return lattice.score_documents(docs, component="lang")
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract.extract_text(pages, extract.fit(pages))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(rules.judge(table(spark, sf_dir, "documents")))
 
@@ -63,6 +69,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_section_tokens, op2_warc, op3_lattice, op4_pack, op5_simhash, op6_site_lines, op7_decontaminate, op9_quality, op10_chat,
+    op1_section_tokens, op2_warc, op3_lattice, op4_pack, op5_simhash, op6_site_lines, op7_decontaminate, op8_main_text,
+    op9_quality, op10_chat,
 )}
 ORACLES: dict[str, str] = {}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabsmith.llm.common import require, saved
+from tabsmith.llm.common import put_back, require, saved, set_aside
 from tabsmith.operators.lookup import spread_lookup
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -35,6 +35,7 @@ QUARTILES = (25, 75)
 BROADCAST_GROUPS = 20_000
 HOT_ROWS = 256
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+ADDED = (*MEASURES, "_m", "base_failed", "kept", "failed_rules", "limits", "_lang", "_source")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -60,13 +61,10 @@ def _repeated(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``MEASURES`` of the whole text (null: no words, no lines), all long.
+    """Adds ``MEASURES`` of the whole text (null: no words, no lines), all long, in place of columns so named.
 
     Windows are compared by their 64-bit hashes inside the row.
     """
-    clash = {*MEASURES, "_m"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {', '.join(sorted(clash))} are added here")
     whole = F.coalesce(text, F.lit(""))
 
     def of_words(w: Column) -> Column:
@@ -151,12 +149,21 @@ def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
 
     Base rules: at least 50 words, at most half of them in repeated 3-word windows. The rest must lie within the
     fences of their language and source. Null languages and sources are groups of their own; repeated rows are
-    judged alike. An empty table stays empty.
+    judged alike. An empty table stays empty. Columns called like the added ones give way to them.
     """
     require(docs, lang, source, text)
-    clash = {"base_failed", "kept", "failed_rules", "limits", "_lang", "_source"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {', '.join(sorted(clash))} are added here")
+    docs, moved = set_aside(docs, *ADDED)
+    return _judged(docs, lang, source, text, least_rows).drop(*moved.values())
+
+
+def passing(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns as they are."""
+    own, moved = set_aside(docs, *ADDED)
+    judged = _judged(own, **{"lang": "lang", "source": "source", "text": "text", "least_rows": LEAST_ROWS} | options)
+    return put_back(judged.filter("kept"), docs.columns, moved)
+
+
+def _judged(docs: DataFrame, lang: str, source: str, text: str, least_rows: int) -> DataFrame:
     keyed = docs.withColumns({"_lang": _never_null(F.col(lang)), "_source": _never_null(F.col(source))})
     limits = saved(thresholds(measure(keyed.select("_lang", "_source", F.col(text).alias("text"))), least_rows))
     if limits.count() <= BROADCAST_GROUPS:

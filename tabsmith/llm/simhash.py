@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabsmith.llm.common import require, saved
+from tabsmith.llm.common import put_back, require, saved, set_aside
 from tabsmith.operators.lookup import spread_lookup
 
 SHINGLE_WORDS = 3
@@ -188,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, **options) -> DataFrame:
-    """doc_id, fp, component_id per row: the smallest doc_id reachable over fingerprints within ``max_bits``.
+    """doc_id, fp, root (the group's smallest fingerprint) and component_id per row: the smallest doc_id reachable over fingerprints within ``max_bits``.
 
     Texts without words, nulls among them, share fingerprint 0 and are linked like any other; so are repeated
     rows. A null doc_id is in its group but never names it, unless the group has no other (then null). An
@@ -199,8 +200,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     roots = components(links(distinct.select("fp"), max_bits, **options))
     rooted = saved(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = saved(spread_lookup(rooted, names, ["root"], ["fp"], "inner", HUB_ROWS).select("fp", "component_id"))
-    return spread_lookup(prints, named, ["fp"], ["doc_id"], "inner", HUB_ROWS).select("doc_id", "fp", "component_id")
+    named = saved(spread_lookup(rooted, names, ["root"], ["fp"], "inner", HUB_ROWS).select("fp", "root", "component_id"))
+    return spread_lookup(prints, named, ["fp"], ["doc_id"], "inner", HUB_ROWS).select("doc_id", "fp", "root", "component_id")
+
+
+def one_per_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, **options) -> DataFrame:
+    """Of each group one row, that with the smallest doc_id (then fingerprint); a null id only where there is no other."""
+    found = near_duplicates(docs, shingle_words, max_bits, **options)
+    rows = found.groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")).alias("best")
+    winners = saved(rows.groupBy("root").agg(best).select(
+        F.col("best.doc_id").alias("_id"), F.col("best.fp").alias("_won"), (F.col("best.n") > 1).alias("_again")))
+    own, moved = set_aside(docs, "_id", "_won", "_again", "_print")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = pa.array([fingerprint(text, shingle_words) for text in batch["text"].to_pylist()], pa.int64())
+            yield batch.append_column("_print", prints)
+
+    printed = own.mapInArrow(run, T.StructType([*own.schema.fields]).add("_print", "long"))
+    kept = printed.join(winners, (F.col("_print") == F.col("_won")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    once = kept.filter("_again").dropDuplicates(["doc_id", "_print"])  # of rows that are there several times
+    return put_back(kept.filter("not _again").unionByName(once), docs.columns, moved)
 
 
 def report(found: DataFrame) -> DataFrame:
