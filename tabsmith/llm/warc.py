@@ -127,7 +127,7 @@ class Archive:
         self.path = f"{folder}/{uuid4().hex}.warc.zst"
         system, local = fs.FileSystem.from_uri(self.path)
         system.create_dir(local.rpartition("/")[0], recursive=True)
-        self.out = system.open_output_stream(local)
+        self.out = system.open_output_stream(local, compression=None)
         content = dictionary(samples)
         shared = zstandard.ZstdCompressionDict(content)
         shared.precompute_compress(level=LEVEL)
@@ -273,7 +273,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
     def read_one(path: str) -> Iterator[dict]:
         system, local = fs.FileSystem.from_uri(path)
-        with system.open_input_stream(local) as stream:
+        with system.open_input_stream(local, compression=None) as stream:
             at = None
             try:
                 for at, raw in frames(stream):
