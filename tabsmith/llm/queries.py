@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tabsmith.llm import chat, decontaminate, extract, lattice, lines, packing, rules, simhash, tokens, warc
 from tabsmith.llm.common import shared_folder
+from tabsmith.llm.oracles import CONTROL_TEXT, ORACLES
 
-CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +73,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_section_tokens, op2_warc, op3_lattice, op4_pack, op5_simhash, op6_site_lines, op7_decontaminate, op8_main_text,
     op9_quality, op10_chat,
 )}
-ORACLES: dict[str, str] = {}
