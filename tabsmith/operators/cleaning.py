@@ -5,7 +5,7 @@ the number of columns; the driver only ever holds one row per column.
 """
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Collection, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -111,26 +111,27 @@ _VALUE_TYPES = ("bigint", "decimal(38,0)", "double", "boolean", "date", "timesta
 
 
 def text_facts(
-    df: DataFrame, columns: Iterable[str] | None = None, day_first: bool = False, extra: Column | None = None
+    df: DataFrame, columns: Iterable[str] | None = None, day_first: bool = False, extra: Column | None = None,
+    tests: Collection[str] = ("type", "date", "money"),
 ) -> dict[str | None, TextFacts]:
     """One pass over the text columns; the result has one row per column.
 
     The values are taken as (column, text) rows, so the plan and its generated code stay the same
     size however wide the table is, and small enough for the JVM to compile. ``extra`` is one more
-    text whose facts come under None.
+    text whose facts come under None. Facts of a test that is left out of ``tests`` are 0.
     """
     names = list(columns) if columns is not None else text_columns(df)
     cells = [column(c) for c in names] + ([] if extra is None else [extra])
     if not cells:
         return {}
     long = df.select(F.posexplode(F.array(*cells)).alias("position", "value")).filter("value IS NOT NULL")
-    value = F.col("value")
+    value, no = F.col("value"), F.lit(False)
     tested = long.select(
         "position",
-        value_type(value).alias("type"),
-        parse_date(value, day_first).isNotNull().alias("date"),
-        looks_like_money(value).alias("money"),
-        parse_numeric_string(value).isNotNull().alias("number"),
+        (value_type(value) if "type" in tests else F.lit(None).cast("string")).alias("type"),
+        (parse_date(value, day_first).isNotNull() if "date" in tests else no).alias("date"),
+        (looks_like_money(value) if "money" in tests else no).alias("money"),
+        (parse_numeric_string(value).isNotNull() if "money" in tests else no).alias("number"),
     )
     # At most a few dozen combinations per column come back.
     outcomes = tested.groupBy(*tested.columns).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -150,7 +151,7 @@ def text_facts(
 
 def infer_types(df: DataFrame, facts: Mapping[str, TextFacts] | None = None) -> DataFrame:
     """Cast every text column to the narrowest type that all its values fit."""
-    facts = text_facts(df) if facts is None else facts
+    facts = text_facts(df, tests=("type",)) if facts is None else facts
     return df.select([
         F.trim(column(c)).try_cast(facts[c].inferred_type).alias(c)
         if c in facts and facts[c].inferred_type != "string" else column(c)
@@ -159,13 +160,13 @@ def infer_types(df: DataFrame, facts: Mapping[str, TextFacts] | None = None) ->
 
 
 def detect_date_columns(df: DataFrame, facts: Mapping[str, TextFacts] | None = None) -> list[str]:
-    facts = text_facts(df) if facts is None else facts
+    facts = text_facts(df, tests=("date",)) if facts is None else facts
     return [c for c in df.columns if c in facts and facts[c].is_date]
 
 
 def detect_numeric_strings(df: DataFrame, facts: Mapping[str, TextFacts] | None = None) -> list[str]:
     """Text columns holding money, percent or thousands-separated numbers. Dates are looked for first."""
-    facts = text_facts(df) if facts is None else facts
+    facts = text_facts(df, tests=("date", "money")) if facts is None else facts
     return [c for c in df.columns if c in facts and facts[c].is_money and not facts[c].is_date]
 
 
