@@ -31,7 +31,7 @@ from tabsmith.llm.tokens import encoder, vocabulary_path
 FOLDS, HELD_OUT = 7, 2  # of crc32 of the doc_id
 EM_ROUNDS = 2
 #: Words with more than one in this many tokens are broadcast: fewer words than this number.
-COMMON = 1 << 17
+COMMON = 1 << 19
 FLUSH_WORDS = 400_000
 #: Longer words (in bytes, with the space) are scored one by one.
 LONG = 96
