@@ -1,7 +1,10 @@
 """What the operators of this subpackage share: saved tables, row numbers, text rules."""
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless they find it where the driver does: by path or in their folder."""
+    root, context = str(Path(__file__).resolve().parents[2]), spark.sparkContext
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if root in map(os.path.realpath, known) or any("tabsmith" in str(f) for f in context._python_includes):
+        return
+    archive = Path(tempfile.mkdtemp()) / "tabsmith"
+    context.addPyFile(shutil.make_archive(str(archive), "zip", root, "tabsmith"))
+
+
 def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes to the shared folder and reads back: cuts the lineage, and later jobs see the same rows."""
     path = shared_folder(df.sparkSession)

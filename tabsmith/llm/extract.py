@@ -26,6 +26,8 @@ SAMPLE_PAGES = 300
 VARIANTS = 4
 TREES, DEPTH = 12, 5
 SEED = 7
+#: Share of the main blocks of a rebuilt page that are cut to a few words, as titles and short lines are.
+SHORT = 0.3
 WRAPPERS = ("article", "main", "section", 'div class="content"', 'div class="post-content"', 'div id="main"', 'div class="entry"',
             'div class="article-body"', 'div class="story"', 'section class="post"', 'div role="main"', "div")
 MENUS = ("nav", 'div class="menu"', 'div id="navigation"', 'ul class="nav"', 'div class="navbar"', 'div class="breadcrumbs"')
@@ -101,14 +103,22 @@ def rebuilt(blocks: list[str], others: list[str], rng: random.Random) -> str:
             return _element("form", f"<label>{prose()[:30]}</label><input><p>{prose()[:60]}</p><button>{prose()[:10]}</button>", 0)
         return comments()
 
-    tag = lambda k: "h1" if k == 0 else rng.choice(("p", "p", "p", "p", "p", "blockquote", "h2", "li", "pre"))
-    body = [_element(t, f"<ul>{escape(b)}</ul>" if t == "ul" else escape(b)) for b, t in ((b, tag(k)) for k, b in enumerate(blocks))]
-    body = [f"<ul>{b}</ul>" if b.startswith("<li") else b for b in body]
-    for _ in range(rng.choice((0, 0, 1, 2))):
-        body.insert(rng.randint(1, len(body)), extra())
+    def block(k: int, text: str) -> str:
+        tag = "h1" if k == 0 else rng.choice(("p", "p", "p", "p", "p", "p", "blockquote", "h2", "ul", "pre", "div"))
+        if tag == "ul":
+            words = text.split()
+            step = rng.randint(2, 9)
+            return f"<ul>{''.join(_element('li', escape(' '.join(words[i : i + step]))) for i in range(0, min(len(words), 8 * step), step))}</ul>"
+        if rng.random() < SHORT:
+            text = " ".join(text.split()[: rng.randint(1, 4)])
+        return _element(tag, escape(text))
+
+    body = [block(k, b) for k, b in enumerate(blocks)]
+    for _ in range(rng.choice((0, 1, 2, 3))):
+        body.insert(rng.randint(0, len(body)), extra())
     wrapper = rng.choice(WRAPPERS)
     main = _element(wrapper, "".join(body), 1)
-    for _ in range(rng.choice((0, 1, 2))):
+    for _ in range(rng.choice((0, 1, 2, 3))):
         main = _element(rng.choice(('div class="wrapper"', 'div id="page"', "div", 'div class="container"')), main)
     before = [_element(rng.choice(EDGES), prose()[:60] + rng.choice(("", links())), 0)] * rng.choice((0, 1))
     before += [_element(rng.choice(MENUS), links(), 0)] * rng.choice((0, 1, 1))

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.llm import chat, decontaminate, extract, lattice, lines, packing, rules, simhash, tokens, warc
-from tabsmith.llm.common import shared_folder
+from tabsmith.llm.common import shared_folder, ship
 from tabsmith.llm.oracles import CONTROL_TEXT, ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
