@@ -223,7 +223,9 @@ def test_near_duplicates_and_one_of_each_group(spark):
 
 
 # lines --------------------------------------------------------------------------------------------------------------
-def test_site_lines_against_plain_counts(spark):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_site_lines_against_plain_counts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(lines, "BROADCAST_LINES", broadcast)
     texts = [f"{prose(k, 6)}\nFooter of all\n\n{prose(k % 2, 3)}\n Footer of all " for k in range(12)] + [None, "", "Footer of all"]
     docs = table(spark, texts, n_lines=9, _host="h").withColumn("source", F.when(F.col("doc_id") != 1, F.col("source")))
     rows = {r["doc_id"]: r for r in docs.collect()}
@@ -315,7 +317,9 @@ def test_measures_against_plain_ones(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_rules_keep_usual_texts_and_drop_odd_ones(spark):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_rules_keep_usual_texts_and_drop_odd_ones(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(rules, "BROADCAST_GROUPS", broadcast)
     usual = [" ".join(f"w{k}x{i}" for i in range(60 + k % 7)) for k in range(300)]
     odd = [" ".join(f"w{i}###" for i in range(80)), " ".join(f"w{i}" + "y" * 40 for i in range(80))]
     docs = table(spark, usual + odd)
