@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tabsmith.llm import simhash
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,35 @@ def test_run_places_every_piece(spark, corpus):
 def test_empty_tables(spark, corpus, name, stage):
     docs, folder, _ = corpus
     assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_near_copies_leave_one(spark, corpus):
+    """Word changes that move a 3-word, 3-bit fingerprint, but leave four fifths of the five-word shingles."""
+    _, folder, _ = corpus
+    word = lambda k, i: f"v{(k * 7919 + i * i * 31) % 99991}"
+    texts, similar = [], set()
+    for k in range(40):
+        own = [word(k, i) for i in range(200)]
+        near, far = own[:], own[:]
+        for at in (20, 90, 150):  # 15 of 196 shingles: J = 181 / 211
+            near[at] = "changed"
+        for at in range(10, 200, 20):  # 50 of 196: J = 146 / 246
+            far[at] = "other"
+        texts += [(10 * k, own), (10 * k + 1, near), (10 * k + 2, far)]
+        similar.add(10 * k + 1)
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    bits = {r["doc_id"]: r["fp"] for r in simhash.fingerprints(docs).collect()}
+    assert any(((bits[i] ^ bits[i - 1]) & (2**64 - 1)).bit_count() > simhash.MAX_BITS for i in similar)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()}
+    assert kept == {i for i, _ in texts} - similar
+
+
+def test_crowded_bucket_keeps_every_link(spark, corpus):
+    """A chain of copies, each similar to the next only, in one group; a stranger stays."""
+    _, folder, _ = corpus
+    start = [f"u{i * i % 99991}" for i in range(300)]
+    chain = [[f"n{i}" if i < 5 * k else w for i, w in enumerate(start)] for k in range(0, 30)]
+    rows = [(k, " ".join(t), "en", "a", 1) for k, t in enumerate([*chain, [f"s{i}" for i in range(300)]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()} == {0, 30}
