@@ -24,11 +24,12 @@ WINDOW = 10
 BLOCK_WORDS = 200_000
 #: A document of which a larger share is hit goes as a whole.
 COVERAGE = 0.5
-ADDED = ("n_words", "hit_ranges", "item_ids", "clean_text")
+ADDED = ("n_words", "hit_ranges", "item_ids", "clean_text", "_left")
 #: Letters, digits and everything beyond ASCII make words; the rest of ASCII separates them.
 KEPT = [b for b in range(256) if b >= 0x80 or chr(b).isalnum()]
 FOLD = bytes(ord(chr(b).lower()) if b < 0x80 else b for b in (k if k in KEPT else 0x20 for k in range(256)))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+HITS = "array<struct<start:bigint,end:bigint>>"
 RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -159,14 +160,18 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
 def item_blocks(items: DataFrame, id_column: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
     """The items as (id, text), in blocks of about ``block_words`` words, one block at a time on the driver."""
     rows = items.select(F.col(id_column).cast("string").alias("id"), "text").filter("id is not null and text is not null")
-    # A word has at least one byte and one separator, so half the bytes bounds the words.
-    halves = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-halves // (2 * block_words)))
+    blocks = _block_count(items, block_words)
     for block in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
         yield sorted((r["id"], r["text"]) for r in part.toLocalIterator())
 
 
+def _block_count(items: DataFrame, block_words: int) -> int:
+    # A word has at least one byte and one separator, so half the bytes bounds the words.
+    halves = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-halves // (2 * block_words)))
+
+
 def find_contamination(
     docs: DataFrame, items: DataFrame, id_column: str = "item_id", window: int = WINDOW, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
@@ -182,24 +187,41 @@ def find_contamination(
     docs, moved = set_aside(docs, *ADDED)
     docs = docs.drop(*moved.values())
     out = docs.withColumns({
-        "n_words": F.lit(0).cast("long"), "hit_ranges": F.lit(None).cast("array<struct<start:bigint,end:bigint>>"),
+        "n_words": F.lit(0).cast("long"), "hit_ranges": F.lit(None).cast(HITS),
         "item_ids": F.lit(None).cast("array<string>"), "clean_text": F.col("text"),
     })
-    context = docs.sparkSession.sparkContext
-    for number, block in enumerate(item_blocks(items, id_column, block_words)):
-        if number:
-            out = saved(out)  # one automaton at a time in a worker
-        out = _pass(out, context.broadcast(tuple(block)), window)
+    blocks = _block_count(items, block_words)
+    if blocks == 1:
+        return _pass(out, docs.sparkSession.sparkContext.broadcast(tuple(next(item_blocks(items, id_column, block_words)))), window)
+    # The hits of all blocks are known before anything is cut, and again after each cut, so blocks don't change results.
+    todo = _searched(out.withColumn("_left", F.lit(None).cast(HITS)), items, id_column, window, block_words, first=True)
+    done = []
+    while True:
+        done.append(todo.filter("size(_left) = 0").drop("_left"))
+        cut = todo.filter("size(_left) > 0")
+        if cut.isEmpty():
+            break
+        todo = _searched(_cut(cut), items, id_column, window, block_words, first=False)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
     return out
 
 
-def _pass(docs: DataFrame, items: Broadcast, window: int) -> DataFrame:
+def _searched(docs: DataFrame, items: DataFrame, id_column: str, window: int, block_words: int, first: bool) -> DataFrame:
+    """Fills ``_left``, the hits of all blocks in ``clean_text``. The first time these are the documents' hits."""
+    context = docs.sparkSession.sparkContext
+    for block in item_blocks(items, id_column, block_words):
+        docs = saved(_search(docs, context.broadcast(tuple(block)), window, first))  # one automaton at a time in a worker
+    return docs
+
+
+def _search(docs: DataFrame, items: Broadcast, window: int, first: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _built(window, items.value)
         for batch in batches:
-            n_words, ranges, item_ids, cleaned = [], [], [], []
-            before = zip(*(batch[c].to_pylist() for c in ("text", "hit_ranges", "item_ids", "clean_text")), strict=True)
-            for text, old_ranges, old_ids, clean in before:
+            n_words, ranges, item_ids = [], [], []
+            for text, old_ranges, old_ids in zip(*(batch[c].to_pylist() for c in ("clean_text", "_left", "item_ids")), strict=True):
                 found = words(text)
                 hit, new = automaton.scan(found)
                 for r in old_ranges or ():
@@ -207,10 +229,47 @@ def _pass(docs: DataFrame, items: Broadcast, window: int) -> DataFrame:
                 n_words.append(len(found))
                 ranges.append([{"start": a, "end": b} for a, b in runs(hit)])
                 item_ids.append(sorted(new.union(old_ids or ())))
-                again = new
+            columns = {name: batch[name] for name in batch.schema.names} | {"_left": pa.array(ranges, RANGES)}
+            if first:
+                columns |= {
+                    "n_words": pa.array(n_words, pa.int64()), "hit_ranges": columns["_left"], "item_ids": pa.array(item_ids, pa.list_(pa.string())),
+                }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """Cuts ``_left`` out of ``clean_text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch["clean_text"].to_pylist(), batch["_left"].to_pylist(), strict=True)
+            cleaned = [without(text, [(r["start"], r["end"]) for r in left]) for text, left in both]
+            columns = {name: batch[name] for name in batch.schema.names}
+            columns |= {"clean_text": pa.array(cleaned, pa.string()), "_left": pa.nulls(batch.num_rows, RANGES)}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _pass(docs: DataFrame, items: Broadcast, window: int) -> DataFrame:
+    """All figures against a single block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _built(window, items.value)
+        for batch in batches:
+            n_words, ranges, item_ids, cleaned = [], [], [], []
+            for text in batch["text"].to_pylist():
+                found = words(text)
+                hit, again = automaton.scan(found)
+                n_words.append(len(found))
+                ranges.append([{"start": a, "end": b} for a, b in runs(hit)])
+                item_ids.append(sorted(again))
+                clean = text
                 while again:
-                    left, again = automaton.scan(words(clean))
-                    clean = without(clean, runs(left)) if again else clean
+                    clean = without(clean, runs(hit))
+                    hit, again = automaton.scan(words(clean))
                 cleaned.append(clean)
             columns = {name: batch[name] for name in batch.schema.names}
             columns |= {

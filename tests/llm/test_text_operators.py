@@ -297,6 +297,26 @@ def test_contamination(spark, block_words):
     assert decontaminate.find_contamination(docs, bench.limit(0)).filter("size(hit_ranges) > 0").count() == 0
 
 
+def test_items_of_several_blocks_cut_like_those_of_one(spark):
+    """Items that overlap in a document, and one that comes about by cutting the others, dealt to blocks by hash."""
+    w = [f"q{i}" for i in range(60)]
+    items = [(k, " ".join(w[a:b])) for k, (a, b) in enumerate([(0, 20), (9, 29), (18, 38)])]
+    items += [(50 + k, " ".join(f"z{k}x{i}" for i in range(12))) for k in range(12)]
+    spliced = [f"l{i}" for i in range(6)] + [f"r{i}" for i in range(6)]
+    items.append((90, " ".join(spliced)))
+    text = " ".join(["start", *[f"a{i}" for i in range(60)], *spliced[:6], *w[:38], *spliced[6:], "end"])
+    docs, bench = table(spark, [text, prose(1, 50), None]), spark.createDataFrame(items, "item_id long, text string")
+    found = [
+        {r["doc_id"]: r.asDict(recursive=True) for r in decontaminate.find_contamination(docs, bench, block_words=n).collect()}
+        for n in (200_000, 140)
+    ]
+    blocks = list(decontaminate.item_blocks(bench, "item_id", 140))
+    assert len(blocks) > 2 and not any({"0", "1", "2"} <= {i for i, _ in b} for b in blocks)
+    assert found[0] == found[1]
+    assert found[0][0]["hit_ranges"] == [{"start": 67, "end": 105}]
+    assert fold(found[0][0]["clean_text"]) == ["start", *[f"a{i}" for i in range(60)], "end"]
+
+
 # rules --------------------------------------------------------------------------------------------------------------
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
