@@ -33,7 +33,7 @@ EM_ROUNDS = 2
 #: Words with more than one in this many tokens are broadcast: fewer words than this number.
 COMMON = 1 << 19
 FLUSH_WORDS = 400_000
-#: Longer words (in bytes, with the space) are scored one by one.
+#: Words of as many bytes or more are scored and counted one by one.
 LONG = 96
 #: Added to the count of every usable piece, and of every single byte, so that each text has a probability.
 SMOOTH, SMOOTH_BYTE = 0.01, 0.5
@@ -144,18 +144,36 @@ def forward(scores: np.ndarray, found: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def long_word(pieces: Pieces, scores: np.ndarray, word: bytes) -> float:
-    """The same for one word of any length, in memory that doesn't grow with its square."""
+def long_forward(pieces: Pieces, scores: np.ndarray, word: bytes) -> tuple[list[float], list[list[tuple[int, int]]]]:
+    """For one word of any length, in memory that doesn't grow with its square: log weights of all segmentations of
+    the first j bytes (its space included), and the pieces that end there as (length, piece)."""
     word = b" " + word
-    alpha = [0.0]
+    alpha, ending = [0.0], [[]]
     for j in range(1, len(word) + 1):
-        terms = [
-            alpha[j - m] + scores[k] for m in range(1, min(j, pieces.longest) + 1)
-            if (k := pieces.index.get(word[j - m : j])) is not None
-        ]
+        here = [(m, k) for m in range(1, min(j, pieces.longest) + 1) if (k := pieces.index.get(word[j - m : j])) is not None]
+        terms = [alpha[j - m] + scores[k] for m, k in here]
         top = max(terms)
         alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-    return alpha[-1] + scores[-1]
+        ending.append(here)
+    return alpha, ending
+
+
+def long_word(pieces: Pieces, scores: np.ndarray, word: bytes) -> float:
+    """Natural-log marginal probability of spelling one word of any length."""
+    return long_forward(pieces, scores, word)[0][-1] + scores[-1]
+
+
+def long_counts(pieces: Pieces, scores: np.ndarray, word: bytes, total: np.ndarray) -> None:
+    """Adds the expected uses of each piece in one word of any length to ``total``."""
+    alpha, ending = long_forward(pieces, scores, word)
+    # What follows byte j, in log weights: pushed back from each end to the starts of its pieces.
+    beta = np.full(len(alpha), -np.inf)
+    beta[-1] = 0
+    for j in range(len(alpha) - 1, 0, -1):
+        for m, k in ending[j]:
+            after = scores[k] + beta[j]
+            total[k] += math.exp(alpha[j - m] + after - alpha[-1])
+            beta[j - m] = np.logaddexp(beta[j - m], after)
 
 
 def word_scores(pieces: Pieces, scores: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -175,12 +193,12 @@ def word_scores(pieces: Pieces, scores: np.ndarray, words: list[bytes]) -> np.nd
 
 
 def expected_counts(pieces: Pieces, scores: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """Expected uses of each piece over all segmentations of the words.
-
-    Words too long for the batch form only keep their scores: they take no part in the refinement.
-    """
+    """Expected uses of each piece over all segmentations of the words."""
     total = np.zeros(len(pieces.ids))
     short = [k for k, w in enumerate(words) if len(w) < LONG]
+    for w in words:
+        if len(w) >= LONG:
+            long_counts(pieces, scores, w, total)
     for _, text in by_length([words[k] for k in short]):
         found = find_pieces(pieces, text)
         alpha = forward(scores, found)

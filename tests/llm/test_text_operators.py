@@ -147,6 +147,18 @@ def test_word_scores_sum_over_all_segmentations():
     assert all(math.isclose(uses[k], n, rel_tol=1e-9) for k, n in want.items()) and math.isclose(uses.sum(), sum(want.values()))
 
 
+def test_long_words_take_part_in_expected_counts(monkeypatch):
+    pieces = lattice.pieces_of(tokens.vocabulary_path())
+    scores = pieces.scores(dict(enumerate(np.random.default_rng(1).random(len(pieces.ids)) * 9)), 50)
+    words = ["日本語と文章の".encode() * 9, b"stonecloudmarket" * 12, b"stone"]
+    assert sum(len(w) >= lattice.LONG for w in words) == 2
+    got = lattice.expected_counts(pieces, scores, words)
+    monkeypatch.setattr(lattice, "LONG", 1000)  # all in the batch form
+    assert np.allclose(got, lattice.expected_counts(pieces, scores, words), rtol=1e-9, atol=1e-12)
+    spelled = sum(n * len(pieces.by_id[i]) for n, i in zip(got, pieces.ids))
+    assert math.isclose(spelled, sum(len(w) + 1 for w in words), rel_tol=1e-9)
+
+
 def test_base_scores_and_counts(spark):
     texts = ODD + [prose(k, 30) for k in range(40)] + ["unseen-word and river"]
     docs = table(spark, texts, score=1, row="clash").withColumn("held_out", (F.col("doc_id") % 5 == 2) | (F.col("doc_id") == len(texts) - 1))
