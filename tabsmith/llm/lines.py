@@ -29,14 +29,19 @@ def _has_words(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE)) != ""
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True
+) -> DataFrame:
     """_host, line (digest), pages, host_pages: the lines on more than ``ratio`` of their host's pages.
 
     Lines are compared without the white space around them and count once a page; empty ones never count. A null
-    host is a host of its own. Repeated rows are pages of their own.
+    host is a host of its own. Repeated rows are pages of their own; without ``copies`` equal texts of a host are one
+    page, on both sides of the ratio.
     """
     require(docs, host, "text")
     pages = docs.select(_host(F.col(host)).alias("_host"), "text")
+    if not copies:
+        pages = saved(pages.groupBy("_host", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text")).drop("digest"))
     lines = F.filter(F.split("text", "\n", -1), _has_words)
     keys = F.array_distinct(F.transform(lines, _key))
     counts = pages.select("_host", F.explode(keys).alias("line")).groupBy("_host", "line").agg(F.count(F.lit(1)).alias("pages"))
@@ -59,14 +64,18 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
 
 
 def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """The same without the added columns: those of ``docs`` stay as they are, but for ``text`` and ``n_chars``."""
+    """The same without the added columns: those of ``docs`` stay as they are, but for ``text`` and ``n_chars``.
+
+    Equal texts of a host count as one page, so that copies of a document don't make its lines boilerplate: they are
+    left whole to near dedup.
+    """
     require(docs, host, "text")
     own, moved = set_aside(docs, *ADDED)
-    return put_back(_dropped(own, host, ratio, least_pages), docs.columns, moved)
+    return put_back(_dropped(own, host, ratio, least_pages, copies=False), docs.columns, moved)
 
 
-def _dropped(docs: DataFrame, host: str, ratio: float, least_pages: int) -> DataFrame:
-    over = saved(boilerplate(docs, host, ratio, least_pages))
+def _dropped(docs: DataFrame, host: str, ratio: float, least_pages: int, copies: bool = True) -> DataFrame:
+    over = saved(boilerplate(docs, host, ratio, least_pages, copies))
     lists = over.groupBy("_host").agg(F.collect_set("line").alias("_drops"))
     keyed = docs.withColumn("_host", _host(F.col(host)))
     if over.count() <= BROADCAST_LINES:

@@ -81,3 +81,14 @@ def test_crowded_bucket_keeps_every_link(spark, corpus):
     rows = [(k, " ".join(t), "en", "a", 1) for k, t in enumerate([*chain, [f"s{i}" for i in range(300)]])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()} == {0, 30}
+
+
+def test_copies_of_a_page_keep_their_lines(spark, corpus):
+    """A third of a host's rows are one document: its lines stay, the footer of all pages goes."""
+    _, folder, _ = corpus
+    copy = "first line of the copy\nsecond line of the copy"
+    texts = [copy + "\nfooter"] * 20 + [f"line {k} of a page\nfooter" for k in range(40)]
+    rows = [(k, t, "en", "a", len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, folder).collect()}
+    assert kept == {k: t.removesuffix("\nfooter") for k, t in enumerate(texts)}
