@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 from __future__ import annotations
 
-from tabsmith.llm import lines, rules
+from tabsmith.llm import lines, phrases, rules
 from tabsmith.llm.common import LOWER, UPPER
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -100,4 +100,23 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_cha
 FROM g
 """
 
-ORACLES = {"op6_site_lines": SITE_LINES, "op7_decontaminate": DECONTAMINATE, "op9_quality": QUALITY, "op10_chat": CHAT}
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+           SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS (SELECT lang, m, w[k:k + m - 1] AS ws, count(*) AS n FROM (
+      SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM p, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m) GROUP BY ALL),
+t AS (SELECT lang, sum(n) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, ws, n AS a FROM f WHERE m > 1 AND n >= {phrases.LEAST}),
+u AS (SELECT lang, m, ws, a, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT u.lang, u.m, u.ws, a, k, x.n AS l, y.n AS r, ({phrases.SCALE}::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS score
+      FROM u JOIN f x ON u.lang = x.lang AND u.ws[1:k] = x.ws JOIN f y ON u.lang = y.lang AND u.ws[k + 1:] = y.ws),
+b AS (SELECT lang, m, ws, a, arg_min(l, score * 10 + k) AS l, arg_min(r, score * 10 + k) AS r, min(score) AS score FROM s GROUP BY ALL),
+i AS (SELECT lang, ws[k:k + 1] AS ws, max(a) AS longer FROM (SELECT lang, ws, a, unnest([1, 2]) AS k FROM c WHERE m = 3) GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, a, l, r, t.n, score FROM b JOIN t USING (lang) LEFT JOIN i ON b.lang = i.lang AND b.ws = i.ws
+      WHERE longer IS NULL OR 100 * longer < {phrases.COVERED} * a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM z WHERE rank <= {phrases.TOP}
+"""
+
+ORACLES = {"op6_site_lines": SITE_LINES, "op7_decontaminate": DECONTAMINATE, "op9_quality": QUALITY, "op10_chat": CHAT,
+           "op12_phrases": PHRASES}
