@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 from __future__ import annotations
 
-from tabsmith.llm import lines, phrases, rules
+from tabsmith.llm import divergence, lines, phrases, rules
 from tabsmith.llm.common import LOWER, UPPER
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -118,5 +118,30 @@ z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM z WHERE rank <= {phrases.TOP}
 """
 
+_PRICE = "(p - q) * (p - q) // (p + q)"
+DIVERGENCE = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT lang, source, unnest(list_distinct(w)) AS term FROM d),
+k AS (SELECT lang, term FROM x GROUP BY ALL HAVING count(*) >= {divergence.LEAST_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY lang),
+s AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + {divergence.SCALE} * (coalesce(c.n, 0) + 2) // (s.n + 2 * v.v) AS p
+      FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+z AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN z ON z.lang = a.lang AND z.source = a.source AND z.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, {_PRICE} FROM (
+          SELECT p.*, 1 + {divergence.SCALE} * (l.n + 2) // (v.n + 2 * v.v) AS q FROM p JOIN l USING (lang, term) JOIN v USING (lang)) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM y)
+WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
 ORACLES = {"op6_site_lines": SITE_LINES, "op7_decontaminate": DECONTAMINATE, "op9_quality": QUALITY, "op10_chat": CHAT,
-           "op12_phrases": PHRASES}
+           "op12_phrases": PHRASES, "op13_divergence": DIVERGENCE}

@@ -38,7 +38,7 @@ NO_LANG = "und"
 COMMON = 1 << 19
 #: Prefixes of words that each have more than one in this many are dealt to ``SALTS`` tasks.
 HOT, SALTS = 1 << 9, 64
-FLUSH_WORDS = 1 << 21
+FLUSH_WORDS = 1 << 22
 RANK_SALTS = 64
 #: What ends a piece becomes a byte that UTF-8 doesn't have.
 BREAK = b"\xff"
@@ -53,12 +53,9 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def code_of(number: int) -> bytes:
-    out = b""
-    while True:
-        out = DIGITS[number % len(DIGITS) :][:1] + out
-        number //= len(DIGITS)
-        if not number:
-            return out
+    """Three digits: texts of one length compress best in a shuffle."""
+    base = len(DIGITS)
+    return bytes(DIGITS[number // base**k % base] for k in (2, 1, 0))
 
 
 def _language(lang: str) -> Column:
@@ -73,7 +70,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch["text"].to_pylist():
                 counter.update(tokens(text))
-                if len(counter) > FLUSH_WORDS // 4:
+                if len(counter) > FLUSH_WORDS // 8:
                     yield flush(counter)
         yield flush(counter)
 
@@ -86,20 +83,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def distinct_windows(stream: list[bytes], starts: int, max_words: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Of the windows that begin at the first ``starts`` places: all words (the first is padding), the distinct windows
-    as rows of numbers of words, in order, and their counts."""
-    index = {BREAK: 0}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in stream), np.int64, len(stream))
+def distinct_windows(ids: np.ndarray, starts: int, n_words: int, max_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows that begin at the first ``starts`` places, as rows in order, and their counts. 0 ends a piece."""
     ids = np.append(ids, np.zeros(max_words, np.int64))
     inside = ids[:starts] != 0
     lead = [ids[k : starts + k][inside] for k in range(max_words)]
     place, columns = lead[0], []
     for k in range(1, max_words):
         lead[k] = np.where(lead[k - 1] == 0, 0, lead[k])
-        _, first, place = np.unique(place * len(index) + lead[k], return_index=True, return_inverse=True)
+        _, first, place = np.unique(place * n_words + lead[k], return_index=True, return_inverse=True)
         columns = [c[first] for c in lead[: k + 1]]
-    return list(index), np.stack(columns, axis=1), np.bincount(place, minlength=len(columns[0]))
+    return np.stack(columns, axis=1), np.bincount(place, minlength=len(columns[0]))
 
 
 def lead_columns(max_words: int) -> list[str]:
@@ -114,26 +108,28 @@ def windows(docs: DataFrame, lang: str, common: Broadcast, max_words: int = MAX_
     lead = lead_columns(max_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[bytes]] = {}
+        waiting: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
         held = 0
         for batch in batches:
             for name, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                index, parts = waiting.setdefault(name, ({BREAK: 0}, []))
                 found = tokens(text)
-                waiting.setdefault(name, []).extend(found)
+                parts.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int64, len(found)))
                 held += len(found)
                 if held > FLUSH_WORDS:
                     yield from flush(waiting)
                     held = 0
         yield from flush(waiting)
 
-    def flush(waiting: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        for name, stream in waiting.items():
-            for at in range(0, len(stream), FLUSH_WORDS):  # a window that a cut splits starts in the earlier part
-                yield counted(name, stream[at : at + FLUSH_WORDS + max_words - 1], min(FLUSH_WORDS, len(stream) - at))
+    def flush(waiting: dict[str, tuple[dict[bytes, int], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for name, (index, parts) in waiting.items():
+            ids = np.concatenate(parts)
+            for at in range(0, len(ids), FLUSH_WORDS):  # a window that a cut splits starts in the earlier part
+                yield counted(name, list(index), ids[at : at + FLUSH_WORDS + max_words - 1], min(FLUSH_WORDS, len(ids) - at))
         waiting.clear()
 
-    def counted(name: str, stream: list[bytes], starts: int) -> pa.RecordBatch:
-        words, rows, n = distinct_windows(stream, starts, max_words)
+    def counted(name: str, words: list[bytes], ids: np.ndarray, starts: int) -> pa.RecordBatch:
+        rows, n = distinct_windows(ids, starts, len(words), max_words)
         known = [common.value.get(w, (SPELLED + w, False)) for w in words[1:]]
         codes = pa.array([b"", *(c for c, _ in known)], pa.binary()).cast(pa.string())
         hot = np.array([False, *(h for _, h in known)])
@@ -153,21 +149,31 @@ def windows(docs: DataFrame, lang: str, common: Broadcast, max_words: int = MAX_
 def frequent(counted: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
     """lang, words (0: all of the language), phrase (of codes), n: every phrase with ``least`` occurrences or more."""
     lead = lead_columns(max_words)
-    # Conditions on keys alone would move below the shuffle, which the branches could then not share.
-    longest = counted.filter(F.when(F.col("last") != "", F.col("n")) >= least).select(
-        "lang", F.lit(max_words).alias("words"), F.concat_ws(" ", *lead, "last").alias("phrase"), "n")
-    prefixes = counted.groupBy("lang", *lead, "salt").agg(F.sum("n").alias("n"))
-    full = prefixes.filter(F.when((F.col("salt") == 0) & (F.col(lead[-1]) != ""), F.col("n") >= least).otherwise(F.col("n") > 0))
-    full = full.filter(F.when(F.col(lead[-1]) != "", F.col("n")) > 0).select(
-        "lang", F.lit(max_words - 1).alias("words"), F.concat_ws(" ", *lead).alias("phrase"), "n")
+    # Each window adds to its prefix; one that is frequent stays as a row of its own, which adds nothing further up.
+    row = [*lead, "salt"]
+    none = F.lit(0).cast("long")
+    added = F.array(
+        F.struct(F.lit("").alias("last"), "n", none.alias("own")),
+        F.when((F.col("n") >= least) & (F.col("last") != ""), F.struct("last", none.alias("n"), F.col("n").alias("own"))),
+    )
+    marked = counted.select("lang", *row, F.inline(F.array_compact(added))).groupBy("lang", *row, "last").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    # Frequent prefixes keep their name, and so do the salted ones, which are summed up here; the rest become nameless.
+    named = (F.col("last") != "") | (F.col(lead[-1]) != "") & ((F.col("n") >= least) | (F.col("salt") > 0))
+    phrase = F.when(named, F.concat_ws(" ", *lead, F.when(F.col("last") != "", F.col("last")))).otherwise("")
+    rows = marked.select("lang", *lead[:-1], phrase.alias("phrase"), F.when(F.col("last") != "", max_words).otherwise(max_words - 1).alias("size"), "n", "own")
     # Padding is an empty text, so a null is a rolled-up column, and the level tells how many are.
-    rolled = prefixes.rollup("lang", *lead[:-1]).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
-    depth = {(1 << (max_words - 2 - k)) - 1: k for k in range(max_words - 1)}
-    words = F.coalesce(*[F.when(F.col("level") == level, k) for level, k in depth.items()])
-    shorter = rolled.select("lang", words.alias("words"), F.concat_ws(" ", *lead[:-1]).alias("phrase"), "n")
-    shorter = shorter.filter(F.col("words").isNotNull() & ~F.col("phrase").endswith(" ") & ((F.col("n") >= least) | (F.col("words") == 0)))
-    found = saved(longest.unionByName(full).unionByName(shorter))
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0))
+    levels = ["lang", *lead[:-1]]
+    rolled = rows.withColumn("_named", F.struct("phrase", "size")).rollup(*levels, "_named").agg(
+        F.sum("n").alias("n"), F.sum("own").alias("own"), F.grouping_id().alias("level"))
+    depth = {(1 << (len(levels) - k)) - 1: k for k in range(len(levels))}
+    words = F.when(F.col("level") == 0, F.col("_named.size"))
+    for level, k in depth.items():
+        words = words.when(F.col("level") == level, k)
+    found = rolled.select(
+        "lang", words.alias("words"), F.when(F.col("level") == 0, F.col("_named.phrase")).otherwise(F.concat_ws(" ", *lead[:-1])).alias("phrase"),
+        F.when(F.col("level") == 0, F.col("n") + F.col("own")).otherwise(F.col("n")).alias("n"))
+    whole = (F.col("n") >= least) & (F.col("phrase") != "") & ~F.col("phrase").endswith(" ")
+    return found.filter(F.when(F.col("words") == 0, True).otherwise(whole & F.col("words").isNotNull()))
 
 
 def _parts(phrase: Column, words: Column, start: Column | int, length: Column | int) -> Column:

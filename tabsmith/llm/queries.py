@@ -6,7 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import chat, decontaminate, extract, lattice, lines, packing, phrases, rules, simhash, tokens, warc
+from tabsmith.llm import (
+    chat, decontaminate, divergence, extract, lattice, lines, packing, phrases, rules, secrets, simhash, tokens, warc,
+)
 from tabsmith.llm.common import shared_folder, ship
 from tabsmith.llm.oracles import CONTROL_TEXT, ORACLES
 
@@ -70,11 +72,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.format_turns(chat.canonical_turns(records)), "conv_id")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_section_tokens, op2_warc, op3_lattice, op4_pack, op5_simhash, op6_site_lines, op7_decontaminate, op8_main_text,
-    op9_quality, op10_chat, op12_phrases,
+    op9_quality, op10_chat, op11_secrets, op12_phrases, op13_divergence,
 )}
