@@ -160,17 +160,15 @@ def frequent(counted: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST)
     # Frequent prefixes keep their name, and so do the salted ones, which are summed up here; the rest become nameless.
     named = (F.col("last") != "") | (F.col(lead[-1]) != "") & ((F.col("n") >= least) | (F.col("salt") > 0))
     phrase = F.when(named, F.concat_ws(" ", *lead, F.when(F.col("last") != "", F.col("last")))).otherwise("")
-    rows = marked.select("lang", *lead[:-1], phrase.alias("phrase"), F.when(F.col("last") != "", max_words).otherwise(max_words - 1).alias("size"), "n", "own")
-    # Padding is an empty text, so a null is a rolled-up column, and the level tells how many are.
     levels = ["lang", *lead[:-1]]
-    rolled = rows.withColumn("_named", F.struct("phrase", "size")).rollup(*levels, "_named").agg(
-        F.sum("n").alias("n"), F.sum("own").alias("own"), F.grouping_id().alias("level"))
-    depth = {(1 << (len(levels) - k)) - 1: k for k in range(len(levels))}
-    words = F.when(F.col("level") == 0, F.col("_named.size"))
-    for level, k in depth.items():
-        words = words.when(F.col("level") == level, k)
+    rows = marked.select(*levels, phrase.alias("phrase"), "n", "own").groupBy(*levels, "phrase").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    # Padding is an empty text, so a null is a rolled-up column, and the level tells how many are.
+    rolled = rows.rollup(*levels, "phrase").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.grouping_id().alias("level"))
+    words = F.when(F.col("level") == 0, F.when(F.col("own") > 0, max_words).otherwise(max_words - 1))
+    for k in range(len(levels)):
+        words = words.when(F.col("level") == (1 << (len(levels) - k)) - 1, k)
     found = rolled.select(
-        "lang", words.alias("words"), F.when(F.col("level") == 0, F.col("_named.phrase")).otherwise(F.concat_ws(" ", *lead[:-1])).alias("phrase"),
+        "lang", words.alias("words"), F.when(F.col("level") == 0, F.col("phrase")).otherwise(F.concat_ws(" ", *lead[:-1])).alias("phrase"),
         F.when(F.col("level") == 0, F.col("n") + F.col("own")).otherwise(F.col("n")).alias("n"))
     whole = (F.col("n") >= least) & (F.col("phrase") != "") & ~F.col("phrase").endswith(" ")
     return found.filter(F.when(F.col("words") == 0, True).otherwise(whole & F.col("words").isNotNull()))
