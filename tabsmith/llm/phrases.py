@@ -101,9 +101,10 @@ def lead_columns(max_words: int) -> list[str]:
 
 
 def windows(docs: DataFrame, lang: str, common: Broadcast, max_words: int = MAX_WORDS) -> DataFrame:
-    """lang, w1, ... (all words but the last), salt, last, n: the counts of the longest windows.
+    """lang, w1, ... (all words but the last), salt, last, n: counts of the longest windows, dealt by all but the last word.
 
-    ``common``: word to (code, is hot). Padding is empty. ``salt`` is 0 but for windows whose leading words all are hot.
+    A window has a row per task that found it. ``common``: word to (code, is hot). Padding is empty. ``salt`` is 0 but
+    for windows whose leading words all are hot.
     """
     lead = lead_columns(max_words)
 
@@ -142,36 +143,31 @@ def windows(docs: DataFrame, lang: str, common: Broadcast, max_words: int = MAX_
 
     words = ", ".join(f"{c} string" for c in [*lead, "last"])
     partial = docs.select(_language(lang).alias("lang"), "text").mapInArrow(run, f"lang string, salt int, {words}, n long")
-    dealt = partial.repartition("lang", *lead, "salt")
-    return dealt.groupBy("lang", *lead, "salt", "last").agg(F.sum("n").alias("n"))
+    return partial.repartition("lang", *lead, "salt")
 
 
-def frequent(counted: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
+def frequent(dealt: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
     """lang, words (0: all of the language), phrase (of codes), n: every phrase with ``least`` occurrences or more."""
     lead = lead_columns(max_words)
-    # Each window adds to its prefix; one that is frequent stays as a row of its own, which adds nothing further up.
-    row = [*lead, "salt"]
-    none = F.lit(0).cast("long")
-    added = F.array(
-        F.struct(F.lit("").alias("last"), "n", none.alias("own")),
-        F.when((F.col("n") >= least) & (F.col("last") != ""), F.struct("last", none.alias("n"), F.col("n").alias("own"))),
-    )
-    marked = counted.select("lang", *row, F.inline(F.array_compact(added))).groupBy("lang", *row, "last").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
-    # Frequent prefixes keep their name, and so do the salted ones, which are summed up here; the rest become nameless.
-    named = (F.col("last") != "") | (F.col(lead[-1]) != "") & ((F.col("n") >= least) | (F.col("salt") > 0))
-    phrase = F.when(named, F.concat_ws(" ", *lead, F.when(F.col("last") != "", F.col("last")))).otherwise("")
+    row = ["lang", *lead, "salt"]
+    # Both sums find their rows in place. A condition on keys alone, or a column left out, would keep them from sharing the shuffle.
+    longest = dealt.groupBy(*row, "last").agg(F.sum("n").alias("n")).filter(F.when(F.col("last") != "", F.col("n")) >= least)
+    prefixes = dealt.groupBy(*row).agg(F.sum(F.when(F.col("last").isNotNull(), F.col("n"))).alias("n"))
+    # Frequent prefixes keep their name, and so do the salted ones, which are summed up below; the rest become nameless.
+    named = (F.col(lead[-1]) != "") & ((F.col("n") >= least) | (F.col("salt") > 0))
     levels = ["lang", *lead[:-1]]
-    rows = marked.select(*levels, phrase.alias("phrase"), "n", "own").groupBy(*levels, "phrase").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    prefixes = prefixes.select(*levels, F.when(named, F.concat_ws(" ", *lead)).otherwise("").alias("phrase"), "n")
+    rows = prefixes.groupBy(*levels, "phrase").agg(F.sum("n").alias("n"))
     # Padding is an empty text, so a null is a rolled-up column, and the level tells how many are.
-    rolled = rows.rollup(*levels, "phrase").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.grouping_id().alias("level"))
-    words = F.when(F.col("level") == 0, F.when(F.col("own") > 0, max_words).otherwise(max_words - 1))
+    rolled = rows.rollup(*levels, "phrase").agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    words = F.when(F.col("level") == 0, max_words - 1)
     for k in range(len(levels)):
         words = words.when(F.col("level") == (1 << (len(levels) - k)) - 1, k)
     found = rolled.select(
-        "lang", words.alias("words"), F.when(F.col("level") == 0, F.col("phrase")).otherwise(F.concat_ws(" ", *lead[:-1])).alias("phrase"),
-        F.when(F.col("level") == 0, F.col("n") + F.col("own")).otherwise(F.col("n")).alias("n"))
+        "lang", words.alias("words"), F.when(F.col("level") == 0, F.col("phrase")).otherwise(F.concat_ws(" ", *lead[:-1])).alias("phrase"), "n")
     whole = (F.col("n") >= least) & (F.col("phrase") != "") & ~F.col("phrase").endswith(" ")
-    return found.filter(F.when(F.col("words") == 0, True).otherwise(whole & F.col("words").isNotNull()))
+    shorter = found.filter(F.when(F.col("words") == 0, True).otherwise(whole & F.col("words").isNotNull()))
+    return shorter.unionByName(longest.select("lang", F.lit(max_words).alias("words"), F.concat_ws(" ", *lead, "last").alias("phrase"), "n"))
 
 
 def _parts(phrase: Column, words: Column, start: Column | int, length: Column | int) -> Column:
