@@ -9,7 +9,7 @@ from tabsmith.functions.text import NULL_TOKENS
 from tabsmith.operators import cleaning
 from tabsmith.operators.edits import EditRules, Merge, apply_edits
 from tabsmith.plans.ingest import ingest_csv
-from tabsmith.plans.query import query, run_query
+from tabsmith.plans.query import UnsafeQueryError, query, run_query
 from tabsmith.sources import files
 from tabsmith.sources.csv import MalformedCsvError, assert_csv_clean, read_csv_clean, read_csv_text
 from tabsmith.sources.dataset import open_dataset, preview, write_dataset
@@ -330,3 +330,40 @@ ORACLES["adhoc_truncated"] = """
 WITH g AS (SELECT count(*) AS n FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders))
 SELECT most, least(n, most) AS rows, n > most AS truncated FROM g, (SELECT unnest([10, 1000000]) AS most)
 """
+
+
+# Texts that a user may send, and whether they are a safe query.
+TEXTS = [
+    ("count", "SELECT count(*) AS value FROM data WHERE o_orderstatus = 'F'"),
+    ("with", "WITH t AS (SELECT o_custkey, max(o_totalprice) AS m FROM data GROUP BY 1) SELECT count(*) AS value FROM t WHERE m > 200000;"),
+    ("word in a text", "SELECT count(*) AS value FROM data WHERE o_orderpriority <> 'reflect'"),
+    ("word as a column", "SELECT count(DISTINCT reflect) AS value FROM (SELECT o_custkey AS reflect FROM data)"),
+    ("subquery", "SELECT count(*) AS value FROM data WHERE o_totalprice > (SELECT avg(o_totalprice) FROM data)"),
+    ("window", "SELECT count(*) AS value FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM data) WHERE k = 2"),
+    ("java", "SELECT count(java_method('java.lang.System', 'getProperty', 'user.home')) AS value FROM data"),
+    ("java by a built name", "SELECT count(IDENTIFIER('java_' || 'method')('java.lang.System', 'getProperty', 'user.home')) AS value FROM data"),
+    ("file name", "SELECT count(input_file_name()) AS value FROM data"),
+    ("other view", "SELECT count(*) AS value FROM other"),
+    ("file", "SELECT count(*) AS value FROM parquet.`/tmp/other.parquet`"),
+    ("two statements", "SELECT 1 AS value; SELECT 2"),
+    ("statement", "DROP TABLE data"),
+]
+
+
+def adhoc_guard(spark, sf):
+    """For each text whether it may run over the orders, and if so what it gives."""
+    orders = table(spark, sf, "orders")
+    out = spark.createDataFrame([], "name string, accepted boolean, value bigint")
+    for name, text in TEXTS:
+        try:
+            found = query(orders, text).select(F.lit(name).alias("name"), F.lit(True).alias("accepted"), F.col("value").cast("long").alias("value"))
+        except UnsafeQueryError:
+            found = spark.createDataFrame([(name, False, None)], out.schema)
+        out = out.unionByName(found)
+    return out
+
+
+QUERIES["adhoc_guard"] = adhoc_guard
+ORACLES["adhoc_guard"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, true AS accepted, CAST(value AS BIGINT) AS value FROM ({text.replace('FROM data', 'FROM orders').rstrip(';')})" for name, text in TEXTS[:6]
+) + "".join(f" UNION ALL SELECT '{name}', false, NULL" for name, _ in TEXTS[6:])

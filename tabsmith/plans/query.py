@@ -1,7 +1,6 @@
 """Read-only SQL over one dataset, under the name ``data``."""
 from __future__ import annotations
 
-import re
 from contextlib import contextmanager
 from threading import Lock
 from uuid import uuid4
@@ -9,12 +8,10 @@ from uuid import uuid4
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, Row, SparkSession
 
+from tabsmith.plans.guard import violations
+
 # Most rows a query hands back.
 MAX_ROWS = 10_000
-# Functions that call any static Java method; no such word may stand in a query.
-REFLECTION = re.compile(r"\b(try_reflect|reflect|java_method)\b", re.IGNORECASE)
-# How the analysed plan names the views and stored tables that it reads.
-RELATION = re.compile(r"View \(`([^`]*)`|SubqueryAlias (\S*\.\S+)|(?:Hive\w*|UnresolvedCatalog|Data\w*V2)Relation\S* (\S+)")
 # The settings below belong to the session, so one text at a time is analysed under them.
 _analysing = Lock()
 
@@ -35,20 +32,14 @@ def _settings(spark: SparkSession, **wanted: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _relations(df: DataFrame) -> set[str]:
-    plan = df._jdf.queryExecution().analyzed().toString()
-    return {next(filter(None, names)) for names in RELATION.findall(plan)}
-
-
 def query(df: DataFrame, text: str) -> DataFrame:
     """Run a SELECT or WITH text against ``df``.
 
     The text is placed where only a query may stand, so Spark's own parser turns away any other
-    statement and anything after a semicolon. Files cannot be named as tables; the analysed plan may read no
-    view or table that ``df`` itself doesn't read; functions that call Java methods are refused by name.
+    statement and anything after a semicolon. Files cannot be named as tables. The analysed plan is walked
+    (`guard.violations`): it may read nothing but ``df``, and call no Java methods and no user-defined functions,
+    however the text spells them.
     """
-    if found := REFLECTION.search(text):
-        raise UnsafeQueryError(f"{found[0]} is not allowed here.")
     spark = df.sparkSession
     view = f"data_{uuid4().hex}"
     df.createOrReplaceTempView(view)
@@ -61,8 +52,8 @@ def query(df: DataFrame, text: str) -> DataFrame:
     try:
         with _analysing, _settings(spark, **conf):
             result = spark.sql(wrapped)
-        if foreign := _relations(result) - _relations(df) - {view}:
-            raise UnsafeQueryError(f"Only data can be read, not {', '.join(sorted(foreign))}.")
+        if found := next(violations(result, view), None):
+            raise UnsafeQueryError(f"Not allowed here: {found}.")
         return result
     except (ParseException, AnalysisException) as exc:
         raise UnsafeQueryError(str(exc)) from exc
