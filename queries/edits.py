@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.common import choose, sql_choose, sql_list, table
+from tabsmith.functions.text import regex_replace_all
 from tabsmith.operators import edits, rules
 from tabsmith.operators.edits import EditRules, Merge, Replacement
 
@@ -55,6 +56,26 @@ SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(c_
 """
 
 
+# Patterns that most dialects read differently, each with its replacement.
+DIALECT = [
+    ("0*", "z"), ("(?i)é", "e"), ("(?i)S", "ss"), ("(?m)^", ">"), (r"\b", "|"), (r"\p{Greek}+", r"<\0>"), (r"(?U)([[:alpha:]]+)(\d?)", r"\2\1"),
+    (r"[^\pL\s]", "."), (r"(?:\s|$)", "_"),
+]
+
+
+def replace_regex_dialect(spark, sf):
+    """One column per pattern; names carry accents, Greek, line ends and characters outside the basic plane."""
+    more = F.element_at(F.array(*[F.lit(t) for t in ("É ſ", "αΒ\n", "\U0001d400é\n\nStraße", " x é")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    named = table(spark, sf, "customer").select("c_custkey", F.concat("c_name", more).alias("name"))
+    return named.select("c_custkey", *[regex_replace_all(F.col("name"), find, put).alias(f"r{k}") for k, (find, put) in enumerate(DIALECT)])
+
+
+QUERIES["replace_regex_dialect"] = replace_regex_dialect
+ORACLES["replace_regex_dialect"] = """
+WITH t AS (SELECT c_custkey, c_name || (['É ſ', 'αΒ' || chr(10), '\U0001d400é' || chr(10) || chr(10) || 'Straße', ' x é'])[c_custkey % 4 + 1] AS name FROM customer)
+SELECT c_custkey, """ + ", ".join(f"regexp_replace(name, '{find}', '{put}', 'g') AS r{k}" for k, (find, put) in enumerate(DIALECT)) + " FROM t"
+
+
 def edit_number_as_text(spark, sf):
     """A number with a rule reads as text, in positional notation."""
     rule = EditRules().with_replacement("o_totalprice", Replacement(".", ","))

@@ -7,6 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsmith.functions.patterns import PatternError, java_pattern, java_replacement, parse
+
+__all__ = [
+    "NULL_TOKENS", "PatternError", "as_text", "java_pattern", "literal_split", "non_blank_tokens", "nullify", "regex_replace_all",
+]
+
 # Tokens that stand for a missing value (exact, case-sensitive).
 NULL_TOKENS = (
     "", "NA", "N/A", "n/a", "null", "NULL", "None", "none", "-", "--", "?", "unknown", "Unknown", "N.A.",
@@ -28,138 +34,12 @@ def non_blank_tokens(col: Column, separator: str) -> Column:
     return F.filter(F.transform(literal_split(col, separator), lambda t: F.trim(t)), lambda t: t != "")
 
 
-# POSIX classes of the RE2 dialect, which are ASCII only.
-POSIX = {
-    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9",
-    "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z",
-    "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
-}
-FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]*))?([:)])")
-
-
-class PatternError(ValueError):
-    """A pattern of the RE2 dialect that has no equal among Java's."""
-
-
 def regex_replace_all(col: Column, pattern: str, replacement: str) -> Column:
-    r"""Replace every match of an RE2 pattern. The replacement is in the ``\1`` style; ``$`` is an ordinary character there."""
-    return F.regexp_replace(col, F.lit(java_pattern(pattern)), F.lit(_java_replacement(replacement)))
-
-
-def java_pattern(pattern: str) -> str:
-    r"""The Java pattern that matches what the RE2 one does.
+    r"""Replace every match of an RE2 pattern. The replacement is in the ``\1`` style; ``$`` is an ordinary character there.
 
-    Differences: POSIX classes; ``$`` outside multi-line mode is the very end; ``(?U)`` turns greedy and lazy
-    round; ``(?P<name>``; ``\C`` and Java's own forms (look-around, possessive, back references, class
-    intersection), which RE2 refuses. (?d) stands before all: only a line feed ends a line.
+    What RE2 refuses, or Java has no equal for, raises `PatternError` here, before any job.
     """
-    out, at = ["(?d)"], 0
-    scopes = [(False, False)]  # multi-line, ungreedy: of the groups that are open
-    while at < len(pattern):
-        multi_line, ungreedy = scopes[-1]
-        rest = pattern[at:]
-        if rest[0] == "\\":
-            step = _escape(rest, out)
-        elif rest[0] == "[":
-            step = _java_class(rest, out)
-        elif rest.startswith("(?P<"):
-            out.append("(?<")
-            scopes.append(scopes[-1])
-            step = 4
-        elif rest.startswith("(?") and (m := FLAGS.match(rest)):
-            on, off, end = m[1], m[2] or "", m[3]
-            if set(on + off) - set("imsU"):
-                raise PatternError(f"flags {m[0]}")
-            state = ("m" in on or multi_line and "m" not in off, "U" in on or ungreedy and "U" not in off)
-            own = on.replace("U", "") + ("-" + off.replace("U", "") if off.replace("U", "") else "")
-            out.append(f"(?{own}{end}" if own or end == ":" else "")
-            if end == ":":
-                scopes.append(state)
-            else:
-                scopes[-1] = state
-            step = len(m[0])
-        elif rest.startswith("(?") and not rest.startswith("(?<") or rest.startswith(("(?<=", "(?<!")):
-            raise PatternError(f"group {rest[:4]}")
-        elif rest[0] == "(":
-            out.append("(?<" if rest.startswith("(?<") else "(")
-            scopes.append(scopes[-1])
-            step = len(out[-1])
-        elif rest[0] == ")":
-            out.append(")")
-            scopes = scopes[:-1] or scopes
-            step = 1
-        elif rest[0] == "$" and not multi_line:
-            out.append(r"\z")
-            step = 1
-        elif m := re.match(r"(?:[*+?]|\{\d+(?:,\d*)?\})(\??)", rest):
-            step = len(m[0])
-            if rest[step : step + 1] == "+":
-                raise PatternError("a possessive repetition")
-            bare = m[0][:-1] if m[1] else m[0]
-            out.append(bare + ("?" if bool(m[1]) != ungreedy else ""))
-        else:
-            out.append(rest[0])
-            step = 1
-        at += step
-    return "".join(out)
-
-
-def _escape(rest: str, out: list[str]) -> int:
-    if rest[1:2].isdigit() and rest[1] != "0" or rest[1:2] in ("k", "G", "Z", "R", "X", "C", "h", "H", "V", "N", "e", "c", "u"):
-        raise PatternError(f"escape {rest[:2]}")
-    if rest.startswith("\\Q"):
-        end = rest.find("\\E")
-        end = len(rest) if end < 0 else end + 2
-        out.append(rest[:end])
-        return end
-    if rest.startswith("\\v"):
-        out.append(r"\x0B")
-        return 2
-    if rest.startswith(("\\s", "\\S")):  # RE2 leaves the vertical tab out
-        out.append(r"[\t\n\f\r ]" if rest[1] == "s" else r"[^\t\n\f\r ]")
-        return 2
-    out.append(rest[:2])
-    return 2
-
-
-def _java_class(rest: str, out: list[str]) -> int:
-    head = "[^" if rest.startswith("[^") else "["
-    at, parts = len(head), [head]
-    if rest[at : at + 1] == "]":
-        parts.append(r"\]")
-        at += 1
-    while at < len(rest) and rest[at] != "]":
-        if m := re.match(r"\[:(\^?)(\w+):\]", rest[at:]):
-            if m[2] not in POSIX:
-                raise PatternError(f"class {m[0]}")
-            parts.append(f"[^{POSIX[m[2]]}]" if m[1] else POSIX[m[2]])
-            at += len(m[0])
-        elif rest[at] == "\\":
-            if rest[at + 1 : at + 2] in ("s", "S"):
-                parts.append(r"\t\n\f\r " if rest[at + 1] == "s" else r"[^\t\n\f\r ]")
-            else:
-                parts.append(r"\x0B" if rest[at + 1 : at + 2] == "v" else rest[at : at + 2])
-            at += 2
-        else:
-            parts.append("\\" + rest[at] if rest[at] in "[&~" else rest[at])
-            at += 1
-    if at >= len(rest):
-        raise PatternError("a class without an end")
-    out.append("".join(parts) + "]")
-    return at + 1
-
-
-def _java_replacement(replacement: str) -> str:
-    def convert(match: re.Match) -> str:
-        group, following, escaped, dollar = match.groups()
-        if dollar:
-            return r"\$"
-        if group is None:
-            return "\\" + (escaped or "\\")
-        # A digit after a group number is escaped, else Java would read \1 + "0" as group 10.
-        return f"${group}" + (f"\\{following}" if following else "")
-
-    return re.sub(r"\\(\d)(\d?)|\\(.)?|(\$)", convert, replacement, flags=re.DOTALL)
+    return F.regexp_replace(col, F.lit(java_pattern(pattern)), F.lit(java_replacement(replacement, parse(pattern)[1])))
 
 
 def as_text(col: Column, data_type: T.DataType) -> Column:
