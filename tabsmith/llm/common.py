@@ -44,6 +44,26 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables saved on the way to a result, in one shared folder that goes when the result is there."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, shared_folder(spark), 0
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     """Renames columns called like ``names`` (in any case), so that an operator can use those; gives old and new names."""
     taken, prefix = {n.lower() for n in names}, "_aside"

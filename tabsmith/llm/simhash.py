@@ -9,7 +9,7 @@ split further by more bands of the bits they don't fix, which keeps every link.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -164,23 +164,23 @@ def _forest(rows: DataFrame, max_bits: int, n_pivots: int) -> DataFrame:
     return dealt.select("mask", "value", "fp").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
     """node, root (the smallest node it is connected to) of all nodes that have an edge; columns a > b.
 
     Alternating large and small stars: each round ties every node to the smallest of its neighbours, so paths
-    shrink by a factor and the rounds grow with the logarithm of the longest. Hubs are salted.
+    shrink by a factor and the rounds grow with the logarithm of the longest. Hubs are salted. ``keep`` saves each round.
     """
-    edges = saved(edges)
+    edges = keep(edges)
     state = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = spread_lookup(both, least, ["a"], ["b"], "inner", HUB_ROWS).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = saved(large.distinct())
+        large = keep(large.distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         ties = large.join(least, "a")
         small = ties.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct())
+        edges = keep(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
