@@ -211,8 +211,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     **{c: part[c] for c in ("key", "root", "n")}, "shingles": pa.array(own, pa.list_(pa.int64()))})
 
-    texts = docs.select("text", _name().alias("name"), _digest().alias("digest"), F.monotonically_increasing_id().alias("_row"))
-    met = spread_lookup(texts, wanted, ["name", "digest"], ["_row"], "inner", HUB_ROWS)
+    texts = docs.select("text", _name().alias("name"), _digest().alias("digest"))
+    # By merging at any size: both sides grow with the corpus. Repeated rows alone share a key; AQE splits such.
+    met = texts.join(wanted.hint("merge"), ["name", "digest"])
     schema = "key binary, root binary, n long, shingles array<long>"
     return met.select("key", "root", "n", "text").mapInArrow(run, schema).dropDuplicates(["key"])  # of repeated rows
 
@@ -253,6 +254,6 @@ def one_per_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similar:
             F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_won"), (F.col("best.n") > 1).alias("_again")))
     own, moved = set_aside(docs, "_id", "_won", "_again", "_print")
     printed = own.withColumn("_print", _digest())
-    kept = printed.join(winners, (F.col("_print") == F.col("_won")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    kept = printed.join(winners.hint("merge"), (F.col("_print") == F.col("_won")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     once = kept.filter("_again").dropDuplicates(["doc_id", "_print"])  # of rows that are there several times
     return put_back(kept.filter("not _again").unionByName(once), docs.columns, moved)

@@ -1,9 +1,12 @@
 """The pipeline stage by stage: each keeps its contract on small tables, odd rows and clashing columns."""
+import collections
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabsmith.llm import simhash
+from tabsmith.llm import common, near_copies, simhash
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +95,66 @@ def test_copies_of_a_page_keep_their_lines(spark, corpus):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, folder).collect()}
     assert kept == {k: t.removesuffix("\nfooter") for k, t in enumerate(texts)}
+
+
+def plain_groups(texts, similar=80):
+    """Smallest number of each group, by comparing all pairs."""
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both * 100 >= similar * (len(sets[x]) + len(sets[y]) - both):
+                x_root, y_root = find(x), find(y)
+                root[max(x_root, y_root)] = min(x_root, y_root)
+    return {find(x) for x in range(len(texts))}
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    """Edited copies, a template below the limit, empty and repeated rows, dealt over small tiles."""
+    monkeypatch.setattr(near_copies, "BUCKET", 4)
+    monkeypatch.setattr(near_copies, "TILE", 3)
+    rng = np.random.default_rng(3)
+    bases = [[f"w{rng.integers(5000)}" for _ in range(120)] for _ in range(4)]
+    template = [f"t{k}" for k in range(130)]
+    texts = [None, "", " ", "one two", "One two"]
+    for base in bases:
+        for _ in range(12):
+            own = base[:]
+            for at in rng.choice(120, rng.integers(0, 5), replace=False):
+                own[at] = f"e{rng.integers(10**9)}"
+            texts.append(" ".join(own))
+    texts += [" ".join(template + [f"x{k}_{i}" for i in range(20)]) for k in range(14)]  # 126 of 166 shingles shared: J 0.76
+    texts.append(texts[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    again = docs.unionByName(docs.limit(20)).withColumns({"tile": F.lit(1), "key": F.lit("k"), "name": F.lit("n")})
+    got = near_copies.one_per_group(again)
+    assert got.columns == again.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(plain_groups(texts))
+    nameless = again.withColumn("doc_id", F.when(F.col("doc_id") > 30, F.col("doc_id")))
+    assert near_copies.one_per_group(nameless).count() == len(plain_groups(texts))
+
+
+def test_each_pair_is_met_once(spark):
+    """A bucket of 50 members in tiles of 8: every pair of members shares exactly one task's pairs."""
+    rows = spark.range(50).select(F.lit(7).cast("long").alias("group"), F.md5(F.col("id").cast("string")).alias("key"), F.lit(50).alias("n"))
+    met = near_copies.tiled(rows, F.col("n"), 8).collect()
+    groups = collections.defaultdict(list)
+    for r in met:
+        groups[r["one"], r["two"]].append((r["key"], r["tile"]))
+    pairs = collections.Counter(
+        tuple(sorted((x, y))) for (one, two), own in groups.items() for i, (x, s) in enumerate(own) for y, t in own[:i] if one == two or s != t)
+    assert len(pairs) == 50 * 49 // 2 and set(pairs.values()) == {1}
+
+
+def test_scratch_folders_go(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path / "scratch"))
+    with common.Scratch(spark) as scratch:
+        assert scratch.saved(spark.range(3)).count() == 3 and (tmp_path / "scratch").exists()
+    assert not (tmp_path / "scratch").exists()
