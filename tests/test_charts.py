@@ -2,6 +2,8 @@ import datetime as dt
 import math
 import random
 import statistics
+from dataclasses import replace
+from decimal import Decimal
 
 import pytest
 from conftest import pairs
@@ -12,6 +14,7 @@ from tabsmith.operators.charts import ChartFilter
 from tabsmith.operators.edits import EditRules, Merge, Replacement
 from tabsmith.operators.median import grouped_median
 from tabsmith.operators.profile import profile
+from tabsmith.operators.ranges import RangeConfig
 from tabsmith.operators.tags import TagConfig
 from tabsmith.plans import report
 from tabsmith.plans.charts import ChartSpec, prioritized, run_chart, validate_recommendations
@@ -182,3 +185,48 @@ def test_bad_recommendations_are_dropped(spark):
         "dataset string, column string, partition_type string, chart_type string, title string, sql string, position int")
     valid = validate_recommendations(proposed, known)
     assert [r["position"] for r in prioritized(valid).collect()] == [6, 0]
+
+
+def stages(spark):
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    found = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [found.apply(k) for k in range(found.size())]
+
+
+def test_a_mixed_report_takes_two_scans(spark, tmp_path):
+    """Each chart is what it is by itself; the table is read twice, failing charts or cached tables aside."""
+    rows = [(k, f"b{k % 7}" if k % 11 else None, f"x, y{k % 3}, {'é' * (k % 2)}", f"{k % 9}-{k % 9 + 4} km", k * 1.25 if k % 5 else None, Decimal(k) / 4,
+             dt.date(2024, 1, 1) + dt.timedelta(days=k % 400), k % 2 == 0, float("nan") if k == 3 else -0.0 if k == 4 else float(k % 13)) for k in range(1000)]
+    schema = "id long, brand string, tags string, span string, x double, price decimal(12,2), day date, flag boolean, odd double"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    vocabulary = TagConfig(vocabulary=("x", "y1"), include_other=True)
+    specs = [
+        ChartSpec("brand", "categorical", "bar"), ChartSpec("flag", "categorical", "pie"), ChartSpec("price", "categorical", "bar"),
+        ChartSpec("odd", "categorical", "bar"), ChartSpec("day", "datetime", "line"), ChartSpec("day", "datetime", "line", grain="week"),
+        ChartSpec("x", "numerical_bins", "histogram"), ChartSpec("id", "numerical_bins", "bell_curve", bins=8),
+        ChartSpec("tags", "categorical", "bar", tags=TagConfig()), ChartSpec("tags", "categorical", "bar", tags=vocabulary),
+        ChartSpec("span", "numerical_bins", "histogram", range=RangeConfig(unit="km")),
+        *[ChartSpec("brand", "categorical", "bar", measure=m, agg=a) for m, a in (("x", "avg"), ("price", "sum"), ("id", "sum"), ("day", "count"), ("price", "avg"))],
+        ChartSpec("day", "datetime", "line", measure="id", agg="avg"), ChartSpec("id", "numerical_bins", "bar", measure="x", agg="sum", bins=5),
+    ]
+    specs = [replace(s, id=f"{k}:{s.column}") for k, s in enumerate(specs)]
+    known = {s.stageId() for s in stages(spark)}
+    made = report.auto_report(df, specs)
+    assert sum(s.inputRecords() for s in stages(spark) if s.stageId() not in known) <= 2 * df.count()
+    assert not any(v.is_cached for v in made.values())
+    rounded = lambda rows: [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows]
+    for s in specs:
+        got, want = made[s.id], s.apply(df)
+        assert got.schema.simpleString() == want.schema.simpleString(), s
+        assert repr(rounded(got.collect())) == repr(rounded(want.collect())), s
+
+
+def test_failing_and_median_charts_in_a_mixed_report(mixed):
+    wrong = [ChartSpec("plan", "categorical", "bar", measure="notes", agg="avg", id=f"bad{k}") for k in range(2)]
+    right = [ChartSpec("plan", "categorical", "bar", id=f"ok{k}") for k in range(5)]
+    medians = [ChartSpec("plan", "categorical", "bar", measure="age", agg="median", id="median"), ChartSpec("gone", "categorical", "bar", measure="age", agg="median", id="gone")]
+    made = report.auto_report(mixed, [right[0], wrong[0], *right[1:3], *medians, wrong[1], *right[3:]])
+    assert {k for k, v in made.items() if isinstance(v, Exception)} == {"bad0", "bad1", "gone"}
+    assert all(made[s.id].collect() == s.apply(mixed).collect() for s in [*right, medians[0]])
+    assert report.auto_report(mixed.limit(0), right[:1])["ok0"].count() == 0
