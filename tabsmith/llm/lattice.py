@@ -35,6 +35,8 @@ COMMON = 1 << 19
 FLUSH_WORDS = 400_000
 #: Words of as many bytes or more are scored and counted one by one.
 LONG = 96
+#: Weights grow by this factor a byte, a power of two; words whose weight is below ``TINY`` go one by one, by logarithms.
+PER_BYTE, TINY = 256, 1e-280
 #: Added to the count of every usable piece, and of every single byte, so that each text has a probability.
 SMOOTH, SMOOTH_BYTE = 0.01, 0.5
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +63,7 @@ class Pieces:
         }
         self.ids = sorted(self.by_id)
         self.index = {self.by_id[i]: k for k, i in enumerate(self.ids)}
+        self.lengths = np.array([len(self.by_id[i]) for i in self.ids])
         self.single = np.array([len(self.by_id[i]) == 1 for i in self.ids])
         self.longest = max(map(len, self.index))
         keys = np.array([hash_of(self.by_id[i]) for i in self.ids], np.uint64)
@@ -130,17 +133,25 @@ def find_pieces(pieces: Pieces, text: np.ndarray) -> np.ndarray:
     return found
 
 
-def forward(scores: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Log weights of all segmentations of the first j bytes: (words, length + 1)."""
+def scaled(pieces: Pieces, scores: np.ndarray) -> np.ndarray:
+    """Probabilities of the pieces times ``PER_BYTE`` to the power of their length, and a zero for no piece.
+
+    So sums over the segmentations of a word stay within a double's range for all but odd words (`TINY`).
+    """
+    fits = pieces.lengths < LONG
+    weights = np.zeros(len(pieces.ids) + 1)
+    weights[:-1][fits] = np.exp(scores[:-1][fits] + pieces.lengths[fits] * math.log(PER_BYTE))
+    return weights
+
+
+def forward(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Scaled weights of all segmentations of the first j bytes: (words, length + 1)."""
     n, ends, most = found.shape
-    alpha = np.full((n, ends), -np.inf)
-    alpha[:, 0] = 0
+    alpha = np.zeros((n, ends))
+    alpha[:, 0] = 1
     for j in range(1, ends):
         reach = min(j, most)
-        here = found[:, j, :reach]
-        terms = np.where(here >= 0, scores[here], -np.inf) + alpha[:, j - reach : j][:, ::-1]
-        top = terms.max(axis=1)
-        alpha[:, j] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
+        alpha[:, j] = np.einsum("ij,ij->i", weights[found[:, j, :reach]], alpha[:, j - reach : j][:, ::-1])
     return alpha
 
 
@@ -185,10 +196,16 @@ def word_scores(pieces: Pieces, scores: np.ndarray, words: list[bytes]) -> np.nd
     short = [k for k, w in enumerate(words) if len(w) < LONG]
     for k in set(range(len(words))) - set(short):
         out[:, k] = [long_word(pieces, own, words[k]) for own in scores]
+    weights = [scaled(pieces, own) for own in scores]
     for part, text in by_length([words[k] for k in short]):
         found = find_pieces(pieces, text)
+        place = np.array([short[p] for p in part])
         for component, own in enumerate(scores):
-            out[component, [short[p] for p in part]] = forward(own, found)[:, -1] + own[-1]
+            end = forward(weights[component], found)[:, -1]
+            with np.errstate(divide="ignore"):
+                out[component, place] = np.log(end) - text.shape[1] * math.log(PER_BYTE) + own[-1]
+            for k in place[end < TINY].tolist():
+                out[component, k] = long_word(pieces, own, words[k])
     return out
 
 
@@ -199,25 +216,26 @@ def expected_counts(pieces: Pieces, scores: np.ndarray, words: list[bytes]) -> n
     for w in words:
         if len(w) >= LONG:
             long_counts(pieces, scores, w, total)
-    for _, text in by_length([words[k] for k in short]):
+    weights = scaled(pieces, scores)
+    for part, text in by_length([words[k] for k in short]):
         found = find_pieces(pieces, text)
-        alpha = forward(scores, found)
-        n, length = text.shape
-        most = found.shape[2]
-        beta = np.full((n, length + 1), -np.inf)
-        beta[:, length] = 0
+        alpha = forward(weights, found)
+        odd = alpha[:, -1] < TINY
+        for k in np.flatnonzero(odd).tolist():
+            long_counts(pieces, scores, words[short[part[k]]], total)
+        if odd.any():
+            found, alpha = found[~odd], alpha[~odd]
+        n, ends, most = found.shape
+        length = ends - 1
+        beta = np.zeros((n, length + 1))
+        beta[:, length] = 1 / alpha[:, length]
         for j in range(length - 1, -1, -1):
-            reach = min(length - j, most)
-            steps = np.arange(1, reach + 1)
+            steps = np.arange(1, min(length - j, most) + 1)
             here = found[:, j + steps, steps - 1]
-            terms = np.where(here >= 0, scores[here], -np.inf) + beta[:, j + 1 : j + 1 + reach]
-            top = terms.max(axis=1)
-            safe = np.where(np.isfinite(top), top, 0)
-            with np.errstate(divide="ignore"):
-                beta[:, j] = safe + np.log(np.exp(terms - safe[:, None]).sum(axis=1))
-            share = np.exp(alpha[:, j, None] + terms - alpha[:, length, None])
+            terms = weights[here] * beta[:, j + 1 : j + 1 + len(steps)]
+            beta[:, j] = terms.sum(axis=1)
             used = here >= 0
-            total += np.bincount(here[used], share[used], len(total))
+            total += np.bincount(here[used], (terms * alpha[:, j, None])[used], len(total))
     return total
 
 

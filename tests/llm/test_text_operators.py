@@ -369,3 +369,22 @@ def test_sketches_merge_to_the_same(spark):
     parts = [rules.sketch(rules.measure(docs.filter(F.col("doc_id") % 2 == k)), "lang") for k in (0, 1)]
     both = rules.merged(parts[0].unionByName(parts[1]), "lang")
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, rules.merged(whole, "lang").collect()))
+
+
+def test_scaled_lattice_equals_the_logarithms(monkeypatch):
+    """Probabilities scaled by length give what the word-by-word form in logarithms gives; tiny ones fall back to it."""
+    pieces = lattice.pieces_of(tokens.vocabulary_path())
+    rng = np.random.default_rng(5)
+    words = [w.encode() for w in WORDS] + ["größe".encode(), b"x", b"q" * 95, "\U0001f600".encode() * 23, b"=" * 64]
+    for total in (1e3, 1e9):
+        scores = pieces.scores({k: float(v) for k, v in enumerate(rng.random(len(pieces.ids)) * total)}, total)
+        want = [lattice.long_word(pieces, scores, w) for w in words]
+        assert np.allclose(lattice.word_scores(pieces, scores[None, :], words)[0], want, rtol=1e-12)
+        uses = np.zeros(len(pieces.ids))
+        for w in words:
+            lattice.long_counts(pieces, scores, w, uses)
+        assert np.allclose(lattice.expected_counts(pieces, scores, words), uses, rtol=1e-9, atol=1e-12)
+        with monkeypatch.context() as patch:
+            patch.setattr(lattice, "TINY", 1e-10)  # most words are below it
+            assert np.allclose(lattice.expected_counts(pieces, scores, words), uses, rtol=1e-9, atol=1e-12)
+            assert np.allclose(lattice.word_scores(pieces, scores[None, :], words)[0], want, rtol=1e-12)
