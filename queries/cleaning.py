@@ -266,28 +266,33 @@ ORACLES["list_datasets"] = f"SELECT path AS dataset, created_at FROM ({_REGISTRY
 
 
 def dedup_files(spark, sf):
-    """The customers of each nation are a file, written twice; of both, one stays."""
-    text = F.concat_ws("|", "c_custkey", "c_name").alias("value")
-    rows, base = table(spark, sf, "customer").select("c_nationkey", text), scratch(spark)
-    for copy in ("first", "second"):
-        rows.repartition(1, "c_nationkey").sortWithinPartitions("value").write.partitionBy("c_nationkey").text(f"{base}/{copy}")
+    """Fifty pages are a file, written twice, and a third time with an end of its own: of three, two stay."""
+    group = F.floor(F.col("page_id") / 50)
+    rows, base = table(spark, sf, "pages").select(group.alias("pages"), "page_id", F.coalesce("html", F.lit("")).alias("value")), scratch(spark)
+    last = rows.groupBy("pages").agg((F.max("page_id") + 1).alias("page_id"), F.lit("end").alias("value"))
+    for copy, found in (("first", rows), ("second", rows), ("third", rows.unionByName(last.select(*rows.columns)))):
+        found.repartition("pages").sortWithinPartitions("pages", "page_id").drop("page_id").write.partitionBy("pages").text(f"{base}/{copy}")
     found = files.dedup_files(spark, base, "me").filter(F.col("path").endswith(".txt"))
-    nation = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("nation")
-    return found.groupBy(nation).agg(
+    pages = F.regexp_extract("path", r"pages=(\d+)", 1).cast("long").alias("pages")
+    return found.groupBy(pages).agg(
         F.count(F.lit(1)).alias("files"), F.count_if("is_copy").alias("copies"), F.count_distinct("stored_path").alias("stored"))
 
 
 QUERIES["dedup_files"] = dedup_files
-ORACLES["dedup_files"] = "SELECT DISTINCT c_nationkey AS nation, 2 AS files, 1 AS copies, 1 AS stored FROM customer"
+ORACLES["dedup_files"] = "SELECT DISTINCT CAST(page_id // 50 AS BIGINT) AS pages, 3 AS files, 1 AS copies, 2 AS stored FROM pages"
+
+
+def write_lines(lines, header, path):
+    """Lines of text as CSV files that all begin with the header; their number grows with the table."""
+    raw = {"header": True, "sep": "\x01", "quote": "", "escapeQuotes": False, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.repartition(2 + lines.count() // 5000, "at").sortWithinPartitions("at").select(F.col("value").alias(header)).write.options(**raw).csv(path)
 
 
 def csv_ragged_rows(spark, sf):
-    """Orders as CSV lines, every seventh with a field too many: what the reader finds off, and that it rejects the file."""
+    """Orders as CSV lines, every seventh with a field too many: what the reader finds off, and that it rejects the files."""
     k, path = F.col("o_orderkey"), scratch(spark)
     line = F.concat_ws(",", k, "o_orderstatus", F.when(k % 7 == 0, "more")).alias("value")
-    header = spark.range(1).select(F.lit("o_orderkey,o_orderstatus").alias("value"))
-    lines = header.select("value", F.lit(-1).alias("at")).unionByName(table(spark, sf, "orders").select(line, k.alias("at")))
-    lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    write_lines(table(spark, sf, "orders").select(line, k.alias("at")), "o_orderkey,o_orderstatus", path)
     df = read_csv_text(spark, path)
     try:
         assert_csv_clean(df)
@@ -309,8 +314,7 @@ def csv_duplicate_names(spark, sf):
     """A header that names columns twice, in another case too."""
     path = scratch(spark)
     part = table(spark, sf, "part").select(F.concat_ws(",", "p_partkey", "p_size", "p_size", "p_partkey").alias("value"), F.col("p_partkey").alias("at"))
-    header = spark.range(1).select(F.lit("key,size,Size,KEY").alias("value"), F.lit(-1).alias("at"))
-    header.unionByName(part).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    write_lines(part, "key,size,Size,KEY", path)
     return read_csv_clean(spark, path)
 
 
