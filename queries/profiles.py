@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.common import choose, sql_choose, table
+from queries.common import choose, scratch, sql_choose, table
 from tabsmith.functions.names import alias_of, looks_like_identifier
-from tabsmith.operators import overrides
+from tabsmith.operators import overrides, sketches
 from tabsmith.operators import profile as profiles
 from tabsmith.operators.ranges import RangeConfig
 from tabsmith.operators.tags import TagConfig
@@ -518,3 +518,22 @@ ORACLES["auto_report"] = " UNION ALL ".join(
     f"SELECT 'categorical:{c}', {c}, count(*) FROM orders GROUP BY ALL" for c in ("o_orderstatus", "o_orderpriority")
 ) + """ UNION ALL SELECT 'datetime:o_orderdate', strftime(date_trunc('month', o_orderdate), '%Y-%m-%d'), count(*)
 FROM orders GROUP BY ALL"""
+
+
+def profile_appended(spark, sf):
+    """Line items that arrive in four parts, their states stored one by one: the profile by return flag, and whether each
+    distinct count is within the sketch's error bound of the exact one."""
+    items, path = table(spark, sf, "lineitem"), scratch(spark)
+    for part in range(4):
+        sketches.append_states(items.filter(F.col("l_orderkey") % 4 == part), path, by="l_returnflag")
+    found = sketches.estimated_profile(spark.read.parquet(path)).select("dataset", "name", "type", "row_count", "null_count", "distinct_count")
+    exact = profiles.column_counts(items, by="l_returnflag").select("dataset", "name", F.col("distinct_count").alias("n"))
+    near = F.abs(F.col("distinct_count") - F.col("n")) <= F.col("n") * sketches.ERROR_BOUND
+    return found.join(exact, ["dataset", "name"]).select("dataset", "name", "type", "row_count", "null_count", F.col("n").alias("exact_count"), near.alias("within_bound"))
+
+
+QUERIES["profile_appended"] = profile_appended
+ORACLES["profile_appended"] = " UNION ALL ".join(
+    f"""SELECT l_returnflag AS dataset, '{c}' AS name, '{t}' AS type, count(*) AS row_count, count(*) - count({c}) AS null_count,
+    count(DISTINCT {c}) AS exact_count, true AS within_bound FROM lineitem GROUP BY 1"""
+    for c, t in LINEITEM.items() if c != "l_returnflag")

@@ -321,9 +321,14 @@ def profile(
 ) -> DataFrame:
     """The profile of every column of a table (see PROFILE_COLUMNS), or per dataset named in ``by``.
 
-    ``exact=False`` (one table only) counts distinct values by sketch in a single pass without any
-    shuffle, and exactly only where the estimate is too near a threshold to classify by.
+    ``exact=False`` counts distinct values by sketch in a single pass without any shuffle, and exactly
+    only where the estimate is too near a threshold to classify by. With ``by`` there is no second pass: the
+    counts are those of `sketches.estimated_profile`.
     """
+    if by and not exact:
+        from tabsmith.operators.sketches import column_states, estimated_profile
+
+        return estimated_profile(column_states(df, by=by))
     sampled = sample_values(df) if samples and not by else None
     counts = column_counts(df, dataset, by) if exact or by else estimated_counts(df, dataset)
     return _finished(counts, warnings, sampled)

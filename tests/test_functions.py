@@ -65,9 +65,9 @@ def test_regex_replacement_keeps_group_and_digit_apart(spark):
 
 
 @pytest.mark.parametrize("name, alias, identifier", [
-    ("cust_dob", "Customer Date of Birth", False), ("txn_amt", "Transaction Amount", False), ("user_id", "User ID", True),
-    ("camelCaseColumn", "Camel Case Column", False), ("zipCode", "Zip Code", True), ("USA_total", "USA Total", False),
-    ("__", "__", False), ("status", "Status", False),
+    ("emp-addr", "Employee Address", False), ("max.qty", "Maximum Quantity", False), ("parcel_sku", "Parcel Sku", True),
+    ("netWeightKilo", "Net Weight Kilo", False), ("homePhone", "Home Phone", True), ("VAT_rate", "VAT Rate", False),
+    ("-._", "-._", False), ("colour", "Colour", False),
 ])
 def test_names(spark, name, alias, identifier):
     assert each(spark, [name], "string", alias_of) == [alias]
