@@ -17,11 +17,18 @@ from tabsmith.operators.cleaning import column, nullify_sentinels
 from tabsmith.sources.csv import CORRUPT, CleaningPlan
 
 
-def read_csv_arrivals(spark: SparkSession, folder: str, names: list[str], delimiter: str = ",") -> DataFrame:
-    """CSV files in a folder as a stream of text columns, and the raw record where its field count is off."""
+def read_csv_arrivals(
+    spark: SparkSession, folder: str, names: list[str], delimiter: str = ",", check_header: bool = True
+) -> DataFrame:
+    """CSV files in a folder as a stream of text columns, and the raw record where its field count is off.
+
+    Columns are read by position. A file whose header line has other names, or the same in another order, fails its
+    batch, which stores nothing; without the file the stream goes on. Where ``names`` are not those of the header
+    (repeated or blank ones are renamed on a first read) the check has to be left out.
+    """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     reader = spark.readStream.schema(schema).options(header=True, sep=delimiter, quote='"', escape='"', multiLine=True)
-    return reader.csv(folder)
+    return reader.option("enforceSchema", not check_header).csv(folder)
 
 
 def append_clean(arrivals: DataFrame, plan: CleaningPlan, path: str, checkpoint: str) -> StreamingQuery:

@@ -2,6 +2,9 @@ import datetime as dt
 import hashlib
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from tabsmith.sources.csv import plan_cleaning, read_csv_text
 from tabsmith.sources.files import dedup_files, dedup_registry, dedup_rows, list_datasets, list_files, storage_refcount
 from tabsmith.streaming.arrivals import append_clean, read_csv_arrivals
@@ -82,3 +85,21 @@ def test_listing_reads_no_content(spark, tmp_path):
     (tmp_path / "a").write_text("abc")
     plan = list_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "content:" not in plan and list_files(spark, str(tmp_path)).first()["length"] == 3
+
+
+@pytest.mark.parametrize("header", ["day,id", "id,other", "id"])
+def test_arriving_files_with_another_header_fail_their_batch(spark, tmp_path, header):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    os.mkdir(folder)
+    (tmp_path / "in" / "a.csv").write_text("id,day\n1,2024-01-05\n")
+    plan = plan_cleaning(read_csv_text(spark, folder))
+
+    def run():
+        append_clean(read_csv_arrivals(spark, folder, ["id", "day"]), plan, out, state).awaitTermination()
+        return spark.read.parquet(out + "/data").count()
+
+    assert run() == 1
+    (tmp_path / "in" / "b.csv").write_text(f"{header}\n2024-02-01,3\n")
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert spark.read.parquet(out + "/data").count() == 1
