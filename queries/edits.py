@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from queries.common import choose, sql_choose, sql_list, table
 from tabsmith.functions.text import regex_replace_all
-from tabsmith.operators import edits, rules
+from tabsmith.operators import edits, frequent, rules
 from tabsmith.operators.edits import EditRules, Merge, Replacement
 
 QUERIES, ORACLES = {}, {}
@@ -363,3 +363,21 @@ QUERIES["winning_merges"] = winning_merges
 ORACLES["winning_merges"] = f"""
 SELECT dataset, "column", source, arg_min(target, seq) AS target FROM ({_NEW_SQL}) GROUP BY ALL
 """
+
+
+def top_values(spark, sf):
+    """The most frequent customers, prices (which hardly repeat) and words of the documents' first lines."""
+    orders = table(spark, sf, "orders")
+    words = table(spark, sf, "documents").select(F.explode(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ")).alias("word"))
+    found = [(orders, "o_custkey", 50), (orders, "o_totalprice", 200), (words.filter("word <> ''"), "word", 200)]
+    parts = [frequent.top_values(df, name, n).select(F.lit(name).alias("name"), F.col("value").cast("string").alias("value"), "count") for df, name, n in found]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("name", F.when(F.col("name") != "o_totalprice", F.col("value")).alias("value"), "count")
+
+
+QUERIES["top_values"] = top_values
+ORACLES["top_values"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS name, {shown} AS value, count FROM (
+    SELECT {name} AS value, count(*) AS count FROM {source} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {n})"""
+    for name, shown, source, n in (
+        ("o_custkey", "CAST(value AS VARCHAR)", "orders", 50), ("o_totalprice", "NULL", "orders", 200),
+        ("word", "value", "(SELECT word FROM (SELECT unnest(string_split(string_split(text, chr(10))[1], ' ')) AS word FROM documents) WHERE word <> '')", 200)))
