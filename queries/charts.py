@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.common import r6, table
-from tabsmith.operators import charts, facts
+from queries.common import r6, scratch, table
+from tabsmith.operators import charts, facts, inverse
 from tabsmith.operators.charts import ChartFilter
-from tabsmith.operators.edits import EditRules, Merge
+from tabsmith.operators.edits import EditRules, Merge, Replacement
 from tabsmith.operators.ranges import RangeConfig
 from tabsmith.operators.tags import TagConfig
 from tabsmith.plans.charts import ChartSpec, run_chart
@@ -184,6 +184,40 @@ SELECT o_orderstatus AS category, count(*) AS count FROM orders WHERE o_orderpri
 """
 
 
+def filter_replaced_value(spark, sf):
+    """A filter on a value that a regex replacement and a merge make, as a list of stored values in the scan."""
+    orders = table(spark, sf, "orders")
+    rules = EditRules().with_replacement("o_orderpriority", Replacement(r"^\d-(\w)\w*", r"\1", is_regex=True))
+    rules = rules.with_merge("o_orderpriority", Merge("SOON", ["U", "H"]))
+    path = inverse.write_dictionaries(orders, ["o_orderpriority"], scratch(spark))
+    known = {"o_orderpriority": inverse.open_dictionary(spark, path, "o_orderpriority")}
+    spec = ChartSpec("o_orderstatus", "categorical", "pie")
+    return run_chart(orders, spec, ChartFilter("o_orderpriority", equals="SOON"), edits=rules, dictionaries=known)
+
+
+QUERIES["filter_replaced_value"] = filter_replaced_value
+ORACLES["filter_replaced_value"] = r"""
+SELECT o_orderstatus AS category, count(*) AS count FROM orders
+WHERE regexp_replace(o_orderpriority, '^\d-(\w)\w*', '\1', 'g') IN ('U', 'H', 'SOON') GROUP BY ALL
+"""
+
+
+def filter_replaced_numbers(spark, sf):
+    """Prices that read as ending in 7 once the cents are cut: more stored numbers than a list takes."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    rules = EditRules().with_replacement("o_totalprice", Replacement(r"\.\d*$", "", is_regex=True))
+    path = inverse.write_dictionaries(orders, ["o_totalprice"], scratch(spark))
+    known = inverse.open_dictionary(spark, path, "o_totalprice")
+    return inverse.filter_edited(orders, rules, "o_totalprice", lambda text: text.endswith("7"), known)
+
+
+QUERIES["filter_replaced_numbers"] = filter_replaced_numbers
+ORACLES["filter_replaced_numbers"] = r"""
+SELECT o_orderkey, regexp_replace(CAST(o_totalprice AS VARCHAR), '\.\d*$', '') AS o_totalprice FROM orders
+WHERE regexp_replace(CAST(o_totalprice AS VARCHAR), '\.\d*$', '') LIKE '%7'
+"""
+
+
 def filter_measure_chart(spark, sf):
     """A filter keeps a measure chart a measure chart."""
     spec = ChartSpec("o_orderstatus", "categorical", "pie", measure="o_totalprice", agg="avg")

@@ -10,7 +10,7 @@ from tabsmith.operators import cleaning
 from tabsmith.operators.edits import EditRules, Merge, apply_edits
 from tabsmith.plans.ingest import ingest_csv
 from tabsmith.plans.query import UnsafeQueryError, query, run_query
-from tabsmith.sources import files
+from tabsmith.sources import files, known
 from tabsmith.sources.csv import MalformedCsvError, assert_csv_clean, read_csv_clean, read_csv_text
 from tabsmith.sources.dataset import open_dataset, preview, write_dataset
 
@@ -282,6 +282,26 @@ QUERIES["dedup_files"] = dedup_files
 ORACLES["dedup_files"] = "SELECT DISTINCT CAST(page_id // 50 AS BIGINT) AS pages, 3 AS files, 1 AS copies, 2 AS stored FROM pages"
 
 
+def dedup_arrivals(spark, sf):
+    """Documents arrive in five batches by doc_id; each meets the digests of all batches before it."""
+    docs, root = table(spark, sf, "documents").select("doc_id", "text"), scratch(spark)
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    out = None
+    for k in range(5):
+        ends = [low + (high + 1 - low) * e // 5 for e in (k, k + 1)]
+        arrived = docs.filter((F.col("doc_id") >= ends[0]) & (F.col("doc_id") < ends[1]))
+        found = known.register(arrived, root, k, "text", "doc_id").select("doc_id", "first_key", "is_copy")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+QUERIES["dedup_arrivals"] = dedup_arrivals
+ORACLES["dedup_arrivals"] = """
+SELECT doc_id, min(doc_id) OVER same AS first_key, doc_id <> min(doc_id) OVER same AS is_copy
+FROM documents WINDOW same AS (PARTITION BY md5(coalesce(text, '')))
+"""
+
+
 def write_lines(lines, header, path):
     """Lines of text as CSV files that all begin with the header; their number grows with the table."""
     raw = {"header": True, "sep": "\x01", "quote": "", "escapeQuotes": False, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}

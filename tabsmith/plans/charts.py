@@ -1,6 +1,7 @@
 """Chart specifications: what to compute for a chart, kept structured so that filters compose with it."""
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from tabsmith.operators import charts, ranges, tags
 from tabsmith.operators.charts import DEFAULT_BINS, ChartFilter
 from tabsmith.operators.cleaning import column
 from tabsmith.operators.edits import EditRules, apply_edits, raw_values
+from tabsmith.operators.inverse import filter_edited
 
 # Partition types in priority order, and chart types.
 PARTITION_TYPES = ("datetime", "numerical_bins", "categorical")
@@ -62,15 +64,24 @@ def run_chart(
     filter_: ChartFilter | None = None,
     bins: int | None = None,
     edits: EditRules | None = None,
+    dictionaries: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """The chart under a cross-filter and a chosen bin count; a filter on its own column is left out.
 
     With ``edits``, ``df`` is the stored data. An equality filter on a merged text column then becomes
-    a list of stored values, which the Parquet scan can use; on the edited text it could not.
+    a list of stored values, which the Parquet scan can use; on the edited text it could not. Replacements and
+    other types need the column's stored values for that (`inverse.open_dictionary`), by column in ``dictionaries``.
     """
     if filter_ is not None and filter_.column == spec.column:
         filter_ = None
-    if edits:
+    known = (dictionaries or {}).get(filter_.column) if filter_ is not None else None
+    if edits and known is not None and (edits.merges.get(filter_.column) or edits.replacements.get(filter_.column)):
+        if filter_.lo is None and filter_.hi is None:
+            wanted = F.lit(filter_.equals).cast("string")
+            df, filter_ = filter_edited(df, edits, filter_.column, lambda text: text == wanted, known), None
+        else:
+            df = apply_edits(df, edits)
+    elif edits:
         raw = None
         if filter_ is not None and filter_.lo is None and filter_.hi is None:
             if isinstance(df.schema[filter_.column].dataType, T.StringType):
