@@ -8,8 +8,13 @@ from html.parser import HTMLParser
 import numpy as np
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object title select textarea button".split())
-INLINE = frozenset(
+HIDDEN = frozenset("script style noscript template svg iframe object title select textarea button annotation annotation-xml".split())
+#: Formulas are text of their block.
+MATHS = frozenset(
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded "
+    "menclose merror mmultiscripts mprescripts semantics".split()
+)
+INLINE = MATHS | frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub "
     "sup time tt u var br img wbr input".split()
 )
@@ -22,6 +27,8 @@ ENDS = {
 KINDS = ("article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "nav", "header", "footer", "aside",
          "form fieldset", "table thead tbody tr td th", "blockquote pre figure figcaption", "#text")
 KIND = {tag: k for k, tags in enumerate(KINDS) for tag in tags.split()}
+#: A start tag of these ends a hidden element that is never closed.
+BLOCKS = frozenset(KIND) - {"#text"} | frozenset("address center details dialog hgroup hr menu summary".split())
 #: Words of class, id and role attributes that tell main text from the rest.
 MAIN_TOKENS = frozenset("article body content entry main post story text".split())
 OTHER_TOKENS = frozenset(
@@ -36,6 +43,7 @@ FEATURES = (
     *(f"is_{k.split()[0]}" for k in KINDS), "main_tokens", "other_tokens", "main_above", "other_above", "article_above", "edge_above",
     "siblings", "same_siblings", "place", "share_of_parent", "share_of_page", "siblings_links", "inputs",
 )
+ODD_COMMENT = re.compile(r"<!---?>|<!--(?:(?!--!?>).)*--!>", re.DOTALL)
 
 
 class Node:
@@ -54,29 +62,95 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Block elements and runs of text between them; inline elements only say what is link text."""
+    """Block elements and runs of text between them; inline elements only say what is link text.
+
+    What is in a hidden element waits for its end tag and is then left out. If an element around it ends first, or the page does,
+    the hidden element counts as ended by the next block's start tag, and what waited from there on is taken in after all.
+    A comment or script that is never closed goes on to the end of the page.
+    """
+
+    CDATA_CONTENT_ELEMENTS = ("script", "style")
+    RCDATA_CONTENT_ELEMENTS = ()
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", None)
         self.open: list[tuple[str, Node | None]] = []  # tag, and its node if it is a block
         self.at = self.root
-        self.hidden: list[str] = []
+        self.waiting: list[tuple[str, str, list]] | None = None  # (kind, tag or text, attributes) since a hidden element's start
+        self.inner: list[str] = []  # tags open there, the hidden element's own first
+        self.inner_counts: Counter[str] = Counter()
         self.in_link = 0
-        self.feed(html)
+        self.feed(_without_open_comment(html))
         self.close()
+        if self.waiting is not None:
+            self._take_in()
         _measure(self.root)
 
     def handle_starttag(self, tag, attrs):
-        if self.hidden:
-            if tag == self.hidden[-1]:
-                self.hidden.append(tag)
-            return
-        if tag in HIDDEN:
-            self.at.inputs += tag in ("select", "textarea", "button")
-            self._text(" ")
-            self.hidden.append(tag)
+        if self.waiting is not None:
+            self.waiting.append(("start", tag, attrs))
+        elif tag in HIDDEN:
+            self._hide(tag)
+            self.waiting = [("start", tag, attrs)]
+            self.inner.clear()
+            self.inner_counts.clear()
+        else:
+            self._start(tag, attrs)
             return
+        if tag not in VOID:
+            self.inner.append(tag)
+            self.inner_counts[tag] += 1
+
+    def handle_endtag(self, tag):
+        if self.waiting is None:
+            self._end(tag)
+        elif self.inner_counts[tag]:
+            self.waiting.append(("end", tag, []))
+            last = None
+            while last != tag:
+                last = self.inner.pop()
+                self.inner_counts[last] -= 1
+            if not self.inner:
+                self.waiting = None
+        elif tag in ("html", "body") or any(tag == other for other, _ in self.open):
+            self._take_in()
+            self._end(tag)
+
+    def handle_data(self, data):
+        if self.waiting is None:
+            self._text(data)
+        else:
+            self.waiting.append(("text", data, []))
+
+    def _hide(self, tag):
+        self.at.inputs += tag in ("select", "textarea", "button")
+        self._text(" ")
+
+    def _take_in(self):
+        """What waited behind a hidden element that isn't closed, from the next block on."""
+        events, self.waiting = self.waiting, None
+        ends, starts = _matched(events)
+        hidden, left_out, k = True, {0}, 1
+        while k < len(events):
+            kind, value, attrs = events[k]
+            if kind == "start" and value in HIDDEN:
+                if not hidden:
+                    self._hide(value)
+                hidden = hidden or k not in ends
+                k = ends.get(k, k)
+            elif kind == "start" and (not hidden or value in BLOCKS):
+                hidden = False
+                self._start(value, attrs)
+            elif kind == "start":
+                left_out.add(k)
+            elif kind == "end" and not hidden and starts.get(k) not in left_out:
+                self._end(value)
+            elif kind == "text" and not hidden:
+                self._text(value)
+            k += 1
+
+    def _start(self, tag, attrs):
         if tag in INLINE:
             if tag == "br":
                 self._text(" ")
@@ -115,11 +189,7 @@ class Tree(HTMLParser):
         if outermost := next((node for _, node in ended if node is not None), None):
             self.at = outermost.parent
 
-    def handle_endtag(self, tag):
-        if self.hidden:
-            if tag == self.hidden[-1]:
-                self.hidden.pop()
-            return
+    def _end(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self._close(k)
@@ -127,10 +197,6 @@ class Tree(HTMLParser):
             if self.open[k][1] is not None and tag in INLINE:
                 return
 
-    def handle_data(self, data):
-        if not self.hidden:
-            self._text(data)
-
     def _text(self, data):
         if self.at.tag in ("html", "table", "tr", "ul", "ol") and not data.strip():
             return
@@ -144,6 +210,42 @@ class Tree(HTMLParser):
             node.links += len(data)
 
 
+def _without_open_comment(html: str) -> str:
+    """The page up to a comment that is never closed, unless that is a part of a script or style.
+
+    Comments' rarer forms, ``<!-->`` and an end with ``--!>``, are put in the usual one.
+    """
+    html = ODD_COMMENT.sub("<!---->", html) if "--!>" in html or "<!-->" in html or "<!--->" in html else html
+    at = html.find("<!--", max(html.rfind("-->"), 0))
+    if at < 0:
+        return html
+    lower = html.lower()
+    while at >= 0:
+        raw = max(lower.rfind("<script", 0, at), lower.rfind("<style", 0, at))
+        closed = raw < 0 or lower.find("</style" if lower.startswith("<style", raw) else "</script", raw, at) >= 0
+        if closed:
+            return html[:at]
+        end = lower.find("</style" if lower.startswith("<style", raw) else "</script", at)
+        at = html.find("<!--", end) if end >= 0 else -1
+    return html
+
+
+def _matched(events) -> tuple[dict[int, int], dict[int, int]]:
+    """Ends by start and starts by end, of elements that are closed."""
+    ends, starts, opened, counts = {}, {}, [], Counter()
+    for k, (kind, tag, _) in enumerate(events):
+        if kind == "start" and tag not in VOID:
+            opened.append((tag, k))
+            counts[tag] += 1
+        elif kind == "end" and counts[tag]:
+            last = None
+            while last != tag:
+                last, at = opened.pop()
+                counts[last] -= 1
+            ends[at], starts[k] = k, at
+    return ends, starts
+
+
 def _tokens(attrs) -> frozenset[str]:
     value = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
     return frozenset(t.lower() for t in TOKEN.findall(value)) if value else frozenset()

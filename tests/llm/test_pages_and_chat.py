@@ -5,6 +5,7 @@ import io
 import json
 import random
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -116,13 +117,57 @@ def test_decoding_never_keeps_what_is_below_a_dropped_node(model):
     rng = random.Random(2)
     place = {n: k for k, n in enumerate(nodes)}
     for _ in range(50):
-        import numpy as np
-
         odds = np.array([rng.gauss(0, 3) for _ in nodes])
         kept = dom.decode(nodes, odds)
         assert all(kept[place[n.parent]] for k, n in enumerate(nodes) if kept[k] and n.parent)
 
 
+@pytest.mark.parametrize("html, blocks", [
+    ("<article><p>one</p><button>x<p>two</p></article>", ["one", "two"]),
+    ("<div><p>one <svg><path d=1><text>q</text></p><p>two</p></div>", ["one", "two"]),
+    ("<head><title>abc<body><p>one</p>", ["one"]),
+    ("<p>a</p><noscript><div>no</div></noscript><button><p>no</p></button><p>b</p>", ["a", "b"]),
+    ("<p>a</p><noscript>no<p>b</p><template><p>no</p></template><p>c", ["a", "b", "c"]),
+    ("<p>a</p><select><option>1<option>2<p>b</p><select><option>k</select><p>c</p>", ["a", "b", "c"]),
+    ("<p>a <b>bold <button>x</b> more</p>", ["a bold more"]),
+    ("<div><p>a</p><button><b>k<p>two</b> more</p></div><p>end</p>", ["a", "two more", "end"]),
+    ("<button><button>x</button><p>y</p></button>z", ["z"]),
+    ("x <iframe src=a> <div>y</div></body>", ["x", "y"]),
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> b</p>", ["a x=1 b"]),
+    ("<p>a</p><!-- open <p>b", ["a"]), ("<p>a</p><!-- <!-- open <p>b", ["a"]), ("<p>a</p><!-- c --><p>b</p>--", ["a", "b", "--"]),
+    ("<script><!-- x </script><p>a</p>", ["a"]), ("<script><!-- x </script><p>a</p><!-- b", ["a"]), ("<p>a</p><script>x<p>b", ["a"]),
+    ("<p>1 --> 2 <!--> 3 --!></p>", ["1 --> 2 3 --!>"]), ("<p>a <!-- b --!> c</p>", ["a c"]), ("<p>a <!-- b --> c --!>", ["a c --!>"]),
+])
+def test_hidden_elements_and_comments_end(html, blocks):
+    nodes = dom.nodes_of(dom.Tree(html).root)
+    assert [" ".join("".join(n.text).split()) for n in nodes if n.tag == "#text"] == blocks
+
+
+def test_many_open_hidden_elements_take_linear_time():
+    assert len(dom.nodes_of(dom.Tree("<p>x<button>y" * 20_000).root)) == 40_001
+
+
+def _choices(node):
+    """Every choice below a node that stays, as sets of nodes."""
+    out = [{node}]
+    for c in node.children:
+        out = [a | b for a in out for b in [set(), *_choices(c)]]
+    return out
+
+
+def test_decoding_is_the_best_of_all_choices():
+    rng = random.Random(7)
+    for _ in range(150):
+        nodes = [dom.Node("div", None)]
+        for _ in range(rng.randint(1, 9)):
+            dom.Node("div", rng.choice(dom.nodes_of(nodes[0])))
+            nodes = dom.nodes_of(nodes[0])
+        odds = np.array([rng.gauss(0, 2) for _ in nodes])
+        log = dict(zip(nodes, zip(-np.logaddexp(0, -odds), -np.logaddexp(0, odds), strict=True), strict=True))
+        best = max(_choices(nodes[0]), key=lambda kept: sum(log[n][0 if n in kept else 1] for n in nodes))
+        assert [n in best for n in nodes] == list(dom.decode(nodes, odds))
+
+
 def test_odd_pages(spark, model):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p"), (4, "u", "plain"), (4, "u", "plain"), (None, "u", "<article><p>x<p>y &lt;b&gt;"),
             (6, "u", "<div>" * 3000 + "deep"), (7, "u", "<script>never ends")]
