@@ -41,23 +41,23 @@ FROM f LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 _RATES = " UNION ALL ".join(
-    f"SELECT doc_id, lang, source, '{rule}' AS rule, {width} AS width, {least} AS least, {both} AS sided, "
+    f"SELECT doc_id, lang, source, '{rule}' AS rule, {width} AS width, {least} AS least, {both} AS sided, {lower} AS lower_q, {upper} AS upper_q, {most} AS most, "
     f"CASE WHEN {below} > 0 THEN {above} * {scale} // {below} ELSE 0 END AS rate, base_failed FROM m"
-    for rule, (above, below, scale, width, least, both) in rules.RULES.items()
+    for rule, (above, below, scale, width, least, both, lower, upper, most) in rules.RULES.items()
 )
 
 
 def _fences(keys: str) -> str:
-    """Limits per group and rule from the quartiles of its bucket counts."""
+    """Limits per group and rule from two quantiles of its bucket counts."""
     group = f"PARTITION BY {keys}rule" if keys else "PARTITION BY rule"
     return f"""
-SELECT {keys}rule, max(n) AS n, CASE WHEN max(sided) THEN min(b) FILTER (c * 100 >= n * 25) - max(width) * greatest(
-           min(b) FILTER (c * 100 >= n * 75) - min(b) FILTER (c * 100 >= n * 25), max(least)) ELSE 0 END AS lo,
-       min(b) FILTER (c * 100 >= n * 75) + max(width) * greatest(
-           min(b) FILTER (c * 100 >= n * 75) - min(b) FILTER (c * 100 >= n * 25), max(least)) AS hi
-FROM (SELECT *, sum(k) OVER ({group}) AS n, sum(k) OVER ({group} ORDER BY b) AS c
-      FROM (SELECT {keys}rule, b, width, least, sided, count(*) AS k FROM sk GROUP BY ALL))
-GROUP BY {keys}rule"""
+SELECT {keys}rule, n, CASE WHEN sided THEN low - width * greatest(high - low, least) ELSE 0 END AS lo,
+       least(high + width * greatest(high - low, least), most) AS hi
+FROM (SELECT {keys}rule, max(n) AS n, any_value(width) AS width, any_value(least) AS least, any_value(sided) AS sided, any_value(most) AS most,
+             min(b) FILTER (c * 100 >= n * lower_q) AS low, min(b) FILTER (c * 100 >= n * upper_q) AS high
+      FROM (SELECT *, sum(k) OVER ({group}) AS n, sum(k) OVER ({group} ORDER BY b) AS c
+            FROM (SELECT {keys}rule, b, width, least, sided, lower_q, upper_q, most, count(*) AS k FROM sk GROUP BY ALL))
+      GROUP BY {keys}rule)"""
 
 
 QUALITY = rf"""

@@ -2,7 +2,8 @@
 
 Each rule has a whole-number rate per document. Its distribution per language and source is kept as a quantile
 sketch: counts in buckets of bounded relative width, so sketches merge by adding counts, in any order and to the
-same result. Thresholds are fences above (and below) the middle half of a group's documents; a group too small
+same result. Thresholds are fences above (and below) a span of quantiles of a group's documents: the middle half where bad documents
+may be many, from the median to the 98th per cent where most documents have none of what is counted. A group too small
 to tell takes the sketch merged over its language, or over everything. The verdicts come from a join.
 """
 from __future__ import annotations
@@ -22,16 +23,16 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 #: Buckets have a relative width of one in 2 ** (BITS - 1) at most; rates below 2 ** BITS are exact.
 BITS = 5
-#: Rule: (rate per document, as numerator and denominator columns, scale), fence width in spreads, least spread, both sides.
+#: Rule: (rate per document, as numerator and denominator columns, scale), fence width in spreads, least spread, both sides,
+#: lower and upper quantile (their distance is the spread), highest limit (however many bad documents a group has).
 RULES = {
-    "symbols": ("n_symbols", "word_chars", 1000, 8, 4, False),
-    "word_length": ("word_chars", "n_words", 100, 6, 40, True),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 8, 60, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 8, 45, False),
+    "symbols": ("n_symbols", "word_chars", 1000, 8, 4, False, 25, 75, 1000),
+    "word_length": ("word_chars", "n_words", 100, 6, 40, True, 25, 75, 1 << 40),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 2, 120, False, 50, 98, 480),
+    "repeats": ("n_repeat_words", "n_words", 1000, 2, 60, False, 50, 98, 360),
 }
 #: Groups with fewer documents that pass the base rules use the sketch merged one level up.
 LEAST_ROWS = 200
-QUARTILES = (25, 75)
 BROADCAST_GROUPS = 20_000
 HOT_ROWS = 256
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -106,22 +107,23 @@ def merged(sketches: DataFrame, *keys: str) -> DataFrame:
 
 
 def fences(sketches: DataFrame, *keys: str) -> DataFrame:
-    """keys, n, limits (rule: lowest and highest rate that passes): from the quartiles of each sketch."""
+    """keys, n, limits (rule: lowest and highest rate that passes): from two quantiles of each sketch."""
     group = Window.partitionBy(*keys, "rule")
     reached = F.sum("rows").over(group.orderBy("bucket"))
-    ranked = sketches.withColumns({"_n": F.sum("rows").over(group), "_reached": reached})
+    settings = F.create_map(*[x for r, s in RULES.items() for x in (F.lit(r), F.struct(*[
+        (F.lit(v) if isinstance(v, bool) else F.lit(v).cast("long")).alias(name) for v, name in zip(s[3:], ("width", "least", "both", "lower", "upper", "most"), strict=True)]))])
+    ranked = sketches.withColumns({"_n": F.sum("rows").over(group), "_reached": reached, "_s": settings[F.col("rule")]})
     low, high = (
-        F.min(F.when(F.col("_reached") * 100 >= F.col("_n") * q, F.col("bucket"))).alias(f"q{q}") for q in QUARTILES
+        F.min(F.when(F.col("_reached") * 100 >= F.col("_n") * F.col(f"_s.{q}"), F.col("bucket"))).alias(q) for q in ("lower", "upper")
     )
-    quartiles = ranked.groupBy(*keys, "rule").agg(low, high, F.max("_n").alias("n"))
-    settings = F.create_map(*[x for r, s in RULES.items() for x in (F.lit(r), F.struct(
-        F.lit(s[3]).alias("width"), F.lit(s[4]).alias("least"), F.lit(s[5]).alias("both")))])[F.col("rule")]
-    spread = F.greatest(F.col("q75") - F.col("q25"), settings["least"]) * settings["width"]
+    found = ranked.groupBy(*keys, "rule").agg(low, high, F.max("_n").alias("n"), F.any_value("_s").alias("_s"))
+    spread = F.greatest(F.col("upper") - F.col("lower"), F.col("_s.least")) * F.col("_s.width")
     limits = F.struct(
-        F.when(settings["both"], F.col("q25") - spread).otherwise(0).alias("low"), (F.col("q75") + spread).alias("high"),
+        F.when(F.col("_s.both"), F.col("lower") - spread).otherwise(0).alias("low"),
+        F.least(F.col("upper") + spread, F.col("_s.most")).alias("high"),
     )
     pairs = F.collect_list(F.struct("rule", limits.alias("limits")))
-    return quartiles.groupBy(*keys).agg(F.max("n").alias("n"), F.map_from_entries(pairs).alias("limits"))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), F.map_from_entries(pairs).alias("limits"))
 
 
 def thresholds(measured: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:

@@ -363,6 +363,29 @@ def test_rules_keep_usual_texts_and_drop_odd_ones(spark, monkeypatch, broadcast)
     assert nulls.filter("kept").count() == 300
 
 
+def test_limits_follow_their_group_and_each_rule_rejects(spark):
+    """Source b's documents repeat lines as a habit, source a's don't: the same document passes in b and goes in a."""
+    def lines(k, n, again):
+        own = [" ".join(f"w{k}x{i}y{j}" for j in range(9)) for i in range(n - again)]
+        return "\n".join(own + [" ".join(f"short{k}" for _ in range(1))] * (again + 1))
+
+    clean = [(f"{k}", lines(k, 12, 0), "a") for k in range(300)] + [(f"{k}", lines(k, 12, k % 4), "b") for k in range(300, 600)]
+    words = [f"w{i}q" for i in range(100)]
+    planted = {
+        "symbols": (" ".join(w + "#|" for w in words), "a"), "word_length": (" ".join(w + "z" * 30 for w in words), "a"),
+        "dup_lines": (lines(900, 16, 5), "a"), "repeats": (" ".join(words + words[:22]), "a"),
+    }
+    rows = clean + [(r, *x) for r, x in planted.items()] + [("passes", lines(901, 16, 5), "b")]
+    docs = spark.createDataFrame([(k, name, "en", source, text) for k, (name, text, source) in enumerate(rows)],
+                                 "doc_id long, name string, lang string, source string, text string")
+    judged = {r["name"]: r["failed_rules"] for r in rules.judge(docs).collect()}
+    assert {n for n, failed in judged.items() if failed} == set(planted)
+    assert all(r in judged[r] for r in planted)
+    limits = {r["_source"]: r["limits"] for r in rules.thresholds(
+        rules.measure(docs.select(F.lit("=en").alias("_lang"), F.concat(F.lit("="), "source").alias("_source"), "text"))).collect()}
+    assert limits["=a"]["dup_lines"]["high"] < 300 < limits["=b"]["dup_lines"]["high"] <= 480
+
+
 def test_sketches_merge_to_the_same(spark):
     docs = table(spark, [prose(k, 60 + k) for k in range(40)])
     whole = rules.sketch(rules.measure(docs), "lang")
