@@ -1,20 +1,18 @@
 """Phrase collocations by marginalising the longest windows.
 
-Every word starts one window: itself and the next words of its piece, padded at the piece's end. Only those longest
-windows are counted; the counts of all shorter phrases are sums of them, made by one ROLLUP over the window's leading
-words. A suffix needs no count of its own, as it leads another window. All parts of a phrase that is frequent enough
-are frequent enough themselves, so only such rows are kept for scoring.
-
-Words with more than a share of all words (few, whatever the corpus) travel as short codes from a broadcast
-dictionary. Windows are dealt by all words but the last, so the first sums of a prefix need no further shuffle;
-prefixes of very common words alone are dealt by the last word, too, and their sums added up later.
+A first pass counts the words of each language; no phrase is frequent if one of its words isn't, so such words end a
+piece in the second pass, as far as a bitmap of hashes tells them. There every word starts one window: itself and the
+next words of its piece, padded at the piece's end. A task sorts its windows, and the counts of all shorter phrases are
+sums of theirs. All parts of a phrase that is frequent enough are frequent enough themselves, so only such rows are kept
+for scoring.
+
+The most common words (a bounded number, whatever the corpus) have a number from a broadcast dictionary. Phrases of
+numbered words travel as one number, others are spelled. A phrase has a row per task and flush, however common it is.
 """
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,140 +32,200 @@ COVERED = 50
 TOP = 2000
 SCALE = 1_000_000
 NO_LANG = "und"
-#: Words with more than one in this many have a code: fewer words than this number.
-COMMON = 1 << 19
-#: Prefixes of words that each have more than one in this many are dealt to ``SALTS`` tasks.
-HOT, SALTS = 1 << 9, 64
+#: Fewer words than this have a number.
+COMMON = 1 << 18
+#: Without effect since tasks sum up phrases before they are dealt; an existing test sets it.
+HOT = 1 << 9
 FLUSH_WORDS = 1 << 22
+#: A flush begins at so many bytes for each of its words.
+WORD_BYTES = 8
+#: Bits for each frequent word, and at most, in the bitmap of the first pass; what collides is only counted in vain.
+MARK_BITS, MOST_MARKS = 16, 1 << 25
+#: Bits in a row of Spark's bitmap functions.
+BITMAP = 1 << 15
 RANK_SALTS = 64
-#: What ends a piece becomes a byte that UTF-8 doesn't have.
-BREAK = b"\xff"
-BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
-#: Words without a code begin with white space, which neither words nor codes contain.
-SPELLED, DIGITS = b"\t", bytes(range(33, 127))
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a whole text, lower-cased A-Z, with ``BREAK`` between pieces and at the end."""
-    return (text or "").encode().lower().translate(BREAKS).replace(BREAK, b" \xff ").split() + [BREAK]
-
-
-def code_of(number: int) -> bytes:
-    """Three digits: texts of one length compress best in a shuffle."""
-    base = len(DIGITS)
-    return bytes(DIGITS[number // base**k % base] for k in (2, 1, 0))
+BATCH_ROWS = 1 << 16
+#: Every byte that ends a piece becomes a full stop, which no word contains.
+BREAK = b"."
+BREAKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 9)
+
+
+def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, pa.Array]:
+    """Words of whole texts in order, lower-cased A-Z, as places in an array of distinct words; 0 stands between pieces."""
+    whole = BREAK.join([b"", *(t or b"" for t in texts), b""]).translate(BREAKS).replace(BREAK, b" . ").strip()
+    text = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(whole)])), pa.py_buffer(whole)])
+    found = pc.ascii_split_whitespace(text).flatten().dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def streams(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
+    """lang and ``tokens`` of whole texts with about ``most`` bytes or more in all."""
+    waiting: dict[str, list[bytes | None]] = {}
+    held = 0
+    for batch in batches:
+        for name, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.large_binary()).to_pylist(), strict=True):
+            waiting.setdefault(name, []).append(text)
+            held += len(text or b"")
+            if held > most:
+                yield from ((k, *tokens(waiting.pop(k))) for k in list(waiting))
+                held = 0
+    yield from ((k, *tokens(waiting.pop(k))) for k in list(waiting))
 
 
 def _language(lang: str) -> Column:
     return F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: over all languages."""
+def word_counts(docs: DataFrame, lang: str) -> DataFrame:
+    """lang, word, n."""
+    most = FLUSH_WORDS * WORD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                counter.update(tokens(text))
-                if len(counter) > FLUSH_WORDS // 8:
-                    yield flush(counter)
-        yield flush(counter)
-
-    def flush(counter: Counter) -> pa.RecordBatch:
-        counter.pop(BREAK, None)
-        out = {"word": pa.array(list(counter), pa.binary()).cast(pa.string()), "n": pa.array(list(counter.values()), pa.int64())}
-        counter.clear()
-        return pa.RecordBatch.from_pydict(out)
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for name, ids, words in streams(batches, most):
+            n = pa.array(np.bincount(ids, minlength=len(words)))
+            rows = pa.RecordBatch.from_pydict({"lang": pa.repeat(pa.scalar(name), len(n)), "word": words.cast(pa.string()), "n": n})
+            for at in range(1, len(rows), BATCH_ROWS):
+                yield rows.slice(at, BATCH_ROWS)
+
+    partial = docs.select(_language(lang).alias("lang"), "text").mapInArrow(run, "lang string, word string, n long")
+    return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def numbered(words: DataFrame, most: int) -> dict[bytes, int]:
+    """Numbers from 1 for the words above the lowest power of two of occurrences that has at most ``most`` of them."""
+    sized = words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("size", F.length(F.bin("n")))
+    sizes = {r["size"]: r["count"] for r in sized.groupBy("size").count().collect()}
+    least, room = 64, most
+    while least > 1 and (room := room - sizes.get(least - 1, 0)) >= 0:
+        least -= 1
+    found = sized.filter(F.col("size") >= least).select(F.col("word").cast("binary"), "n").toArrow()
+    found = found.sort_by([("n", "descending"), ("word", "ascending")])
+    return {w: k for k, w in enumerate(found["word"].to_pylist(), 1)}
+
+
+def marks(words: DataFrame) -> np.ndarray:
+    """Bitmap, a power of two bits, of the hashes of all ``lang`` and ``word``."""
+    wanted = min(words.count() * MARK_BITS, MOST_MARKS)
+    bits = max(BITMAP, 1 << (wanted - 1).bit_length())
+    place = F.crc32(F.concat_ws(" ", "lang", "word").cast("binary")).bitwiseAND(F.lit(bits - 1)) + 1
+    rows = words.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in rows.collect():
+        out[(row["k"] - 1) * BITMAP // 8 : row["k"] * BITMAP // 8] = np.frombuffer(row["bitmap"], np.uint8)
+    return out
 
 
 def distinct_windows(ids: np.ndarray, starts: int, n_words: int, max_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct windows that begin at the first ``starts`` places, as rows in order, and their counts. 0 ends a piece."""
-    ids = np.append(ids, np.zeros(max_words, np.int64))
+    ids = np.append(ids, np.zeros(max_words, ids.dtype))
     inside = ids[:starts] != 0
     lead = [ids[k : starts + k][inside] for k in range(max_words)]
+    for k in range(1, max_words):
+        lead[k][lead[k - 1] == 0] = 0
+    if n_words**max_words < 1 << 63:
+        place = lead[0].astype(np.int64)
+        for k in range(1, max_words):
+            place *= n_words
+            place += lead[k]
+        del lead, inside
+        place.sort()
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+        n, place = np.diff(first, append=len(place)), place[first]
+        columns = [(place // n_words ** (max_words - 1 - k) % n_words).astype(ids.dtype) for k in range(max_words)]
+        return np.stack(columns, axis=1), n
+    lead[0] = lead[0].astype(np.int64)
     place, columns = lead[0], []
     for k in range(1, max_words):
-        lead[k] = np.where(lead[k - 1] == 0, 0, lead[k])
         _, first, place = np.unique(place * n_words + lead[k], return_index=True, return_inverse=True)
         columns = [c[first] for c in lead[: k + 1]]
     return np.stack(columns, axis=1), np.bincount(place, minlength=len(columns[0]))
 
 
-def lead_columns(max_words: int) -> list[str]:
-    return [f"w{k}" for k in range(1, max_words)]
+def leading(rows: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct first ``size`` words of windows in order, padding left out, and the sums of their counts."""
+    first = np.flatnonzero(np.append(True, (rows[1:, :size] != rows[:-1, :size]).any(axis=1)))
+    whole = rows[first, size - 1] != 0
+    total, rows = np.add.reduceat(n, first)[whole], rows[first[whole]]
+    rows[:, size:] = 0
+    return rows, total
+
+
+def spellings(max_words: int) -> list[str]:
+    return [*(f"w{k}" for k in range(1, max_words)), "last"]
+
+
+def number_bits(max_words: int) -> int:
+    """Bits of a word's number in a phrase's."""
+    return 63 // max_words
 
 
-def windows(docs: DataFrame, lang: str, common: Broadcast, max_words: int = MAX_WORDS) -> DataFrame:
-    """lang, w1, ... (all words but the last), salt, last, n: counts of the longest windows, dealt by all but the last word.
+def windows(docs: DataFrame, lang: str, common: Broadcast, max_words: int = MAX_WORDS, kept: Broadcast | None = None) -> DataFrame:
+    """lang, number, w1, ... last, n: counts of the longest windows and of what leads them, of two words or more.
 
-    A window has a row per task that found it. ``common``: word to (code, is hot). Padding is empty. ``salt`` is 0 but
-    for windows whose leading words all are hot.
+    A phrase has a row per task and flush that found it. ``common``: word to number, in order from 1. Phrases of such words have a
+    number and no words, others have words and no number; padding is null. ``kept``: ``marks`` of words; others end a piece.
     """
-    lead = lead_columns(max_words)
+    spelled, bits = spellings(max_words), number_bits(max_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
-        held = 0
-        for batch in batches:
-            for name, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                index, parts = waiting.setdefault(name, ({BREAK: 0}, []))
-                found = tokens(text)
-                parts.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int64, len(found)))
-                held += len(found)
-                if held > FLUSH_WORDS:
-                    yield from flush(waiting)
-                    held = 0
-        yield from flush(waiting)
-
-    def flush(waiting: dict[str, tuple[dict[bytes, int], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-        for name, (index, parts) in waiting.items():
-            ids = np.concatenate(parts)
+        for name, ids, words in streams(batches, FLUSH_WORDS * WORD_BYTES):
+            known = words.cast(pa.large_binary()).to_pylist()
+            numbers = np.fromiter((common.value.get(w, 0) for w in known), np.int32, len(known))
+            stays = np.ones(len(known), bool)
+            if kept is not None:
+                seed = zlib.crc32(f"{name} ".encode())
+                place = np.fromiter((zlib.crc32(w, seed) for w in known), np.int64, len(known)) & (8 * len(kept.value) - 1)
+                stays = kept.value[place >> 3] >> (place & 7) & 1 == 1
+            stays[0] = False
+            local = np.where(stays, np.cumsum(stays, dtype=np.int32), 0).astype(np.int32)
+            words = pa.concat_arrays([pa.nulls(1, pa.string()), words.filter(pa.array(stays)).cast(pa.string())])
+            numbers, ids = np.append(np.int32(0), numbers[stays]), local[ids]
             for at in range(0, len(ids), FLUSH_WORDS):  # a window that a cut splits starts in the earlier part
-                yield counted(name, list(index), ids[at : at + FLUSH_WORDS + max_words - 1], min(FLUSH_WORDS, len(ids) - at))
-        waiting.clear()
-
-    def counted(name: str, words: list[bytes], ids: np.ndarray, starts: int) -> pa.RecordBatch:
-        rows, n = distinct_windows(ids, starts, len(words), max_words)
-        known = [common.value.get(w, (SPELLED + w, False)) for w in words[1:]]
-        codes = pa.array([b"", *(c for c, _ in known)], pa.binary()).cast(pa.string())
-        hot = np.array([False, *(h for _, h in known)])
-        spread = np.array([1 + zlib.crc32(w) % SALTS for w in words])
-        salt = np.where(hot[rows[:, :-1]].all(axis=1), spread[rows[:, -1]], 0)
-        spelled = {c: codes.take(pa.array(rows[:, k])) for k, c in enumerate([*lead, "last"])}
-        return pa.RecordBatch.from_pydict({
-            "lang": pa.repeat(pa.scalar(name, pa.string()), len(rows)), "salt": pa.array(salt, pa.int32()), **spelled, "n": pa.array(n, pa.int64()),
-        })
-
-    words = ", ".join(f"{c} string" for c in [*lead, "last"])
-    partial = docs.select(_language(lang).alias("lang"), "text").mapInArrow(run, f"lang string, salt int, {words}, n long")
-    return partial.repartition("lang", *lead, "salt")
-
-
-def frequent(dealt: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
-    """lang, words (0: all of the language), phrase (of codes), n: every phrase with ``least`` occurrences or more."""
-    lead = lead_columns(max_words)
-    row = ["lang", *lead, "salt"]
-    # Both sums find their rows in place. A condition on keys alone, or a column left out, would keep them from sharing the shuffle.
-    longest = dealt.groupBy(*row, "last").agg(F.sum("n").alias("n")).filter(F.when(F.col("last") != "", F.col("n")) >= least)
-    prefixes = dealt.groupBy(*row).agg(F.sum(F.when(F.col("last").isNotNull(), F.col("n"))).alias("n"))
-    # Frequent prefixes keep their name, and so do the salted ones, which are summed up below; the rest become nameless.
-    named = (F.col(lead[-1]) != "") & ((F.col("n") >= least) | (F.col("salt") > 0))
-    levels = ["lang", *lead[:-1]]
-    prefixes = prefixes.select(*levels, F.when(named, F.concat_ws(" ", *lead)).otherwise("").alias("phrase"), "n")
-    rows = prefixes.groupBy(*levels, "phrase").agg(F.sum("n").alias("n"))
-    # Padding is an empty text, so a null is a rolled-up column, and the level tells how many are.
-    rolled = rows.rollup(*levels, "phrase").agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
-    words = F.when(F.col("level") == 0, max_words - 1)
-    for k in range(len(levels)):
-        words = words.when(F.col("level") == (1 << (len(levels) - k)) - 1, k)
-    found = rolled.select(
-        "lang", words.alias("words"), F.when(F.col("level") == 0, F.col("phrase")).otherwise(F.concat_ws(" ", *lead[:-1])).alias("phrase"), "n")
-    whole = (F.col("n") >= least) & (F.col("phrase") != "") & ~F.col("phrase").endswith(" ")
-    shorter = found.filter(F.when(F.col("words") == 0, True).otherwise(whole & F.col("words").isNotNull()))
-    return shorter.unionByName(longest.select("lang", F.lit(max_words).alias("words"), F.concat_ws(" ", *lead, "last").alias("phrase"), "n"))
+                rows, n = distinct_windows(ids[at : at + FLUSH_WORDS + max_words - 1], min(FLUSH_WORDS, len(ids) - at), len(words), max_words)
+                for size in range(2, max_words + 1) if len(rows) else ():
+                    yield from written(name, words, numbers, *leading(rows, n, size))
+
+    def written(name: str, words: pa.Array, numbers: np.ndarray, rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        code = numbers[rows]
+        short = ((code > 0) | (rows == 0)).all(axis=1)
+        number = np.zeros(len(rows), np.int64)
+        for k in range(max_words):
+            number = number << bits | code[:, k]
+        yield from sliced(name, pa.array(number[short]), [pa.nulls(int(short.sum()), pa.string())] * max_words, n[short])
+        rows = rows[~short]
+        yield from sliced(name, pa.nulls(len(rows), pa.int64()), [words.take(pa.array(c)) for c in rows.T], n[~short])
+
+    def sliced(name: str, number: pa.Array, columns: list[pa.Array], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = pa.repeat(pa.scalar(name), len(n))
+        whole = pa.RecordBatch.from_pydict({"lang": names, "number": number, **dict(zip(spelled, columns, strict=True)), "n": pa.array(n, pa.int64())})
+        for at in range(0, len(n), BATCH_ROWS):
+            yield whole.slice(at, BATCH_ROWS)
+
+    words = ", ".join(f"{c} string" for c in spelled)
+    return docs.select(_language(lang).alias("lang"), "text").mapInArrow(run, f"lang string, number long, {words}, n long")
+
+
+def frequent(partial: DataFrame, common: Broadcast, max_words: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
+    """lang, words, phrase, n: every phrase of ``windows`` with ``least`` occurrences or more, spelled."""
+    bits = number_bits(max_words)
+    spelled = F.when(F.col("number").isNull(), F.concat_ws(" ", *spellings(max_words)))
+    row = ["lang", "number", "phrase"]
+    # Dealt first: hardly any rows of a task are alike, so sums before the shuffle would be in vain.
+    dealt = partial.select("lang", "number", spelled.alias("phrase"), "n").repartition(*row)
+    summed = dealt.groupBy(*row).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array([None, *common.value], pa.binary()).cast(pa.string())
+        for batch in batches:
+            number = batch["number"].fill_null(0).to_numpy(zero_copy_only=False)
+            first, *rest = (words.take(pa.array(number >> bits * k & ((1 << bits) - 1))) for k in reversed(range(max_words)))
+            # A row of nulls alone would be left out, not only skipped.
+            joined = pc.binary_join_element_wise(first.fill_null(""), *rest, " ", null_handling="skip")
+            phrase = pc.coalesce(batch["phrase"], joined)
+            size = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32())
+            yield pa.RecordBatch.from_pydict({"lang": batch["lang"], "words": size, "phrase": phrase, "n": batch["n"]})
+
+    return summed.mapInArrow(run, "lang string, words int, phrase string, n long")
 
 
 def _parts(phrase: Column, words: Column, start: Column | int, length: Column | int) -> Column:
@@ -206,27 +264,13 @@ def collocations(
     require(docs, "text", lang)
     if max_words < 2:
         raise ValueError("a phrase has two words at least")
-    docs = docs.select(F.col(lang).alias("lang"), "text")
-    counts = saved(word_counts(docs))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = sorted(((-r["n"], r["word"].encode()) for r in counts.filter(F.col("n") * COMMON > total).collect()))
-    codes = {w: (code_of(k), -n * HOT > total) for k, (n, w) in enumerate(often)}
-    spark = docs.sparkSession
-    phrases = saved(frequent(windows(docs, "lang", spark.sparkContext.broadcast(codes), max_words), max_words, least))
-    return ranked(_spelled(scored(phrases, covered), codes), phrases.filter("words = 0").select("lang", "n"), top)
-
-
-def _spelled(phrases: DataFrame, codes: dict[bytes, tuple[bytes, bool]]) -> DataFrame:
-    """Codes become words again."""
-    names = phrases.sparkSession.sparkContext.broadcast({c.decode(): w.decode() for w, (c, _) in codes.items()})
-    at = phrases.columns.index("phrase")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spelled = [" ".join(names.value.get(w) or w[1:] for w in p.split(" ")) for p in batch["phrase"].to_pylist()]
-            yield batch.set_column(at, "phrase", pa.array(spelled, pa.string()))
-
-    return phrases.mapInArrow(run, phrases.schema)
+    docs, context = docs.select(F.col(lang).alias("lang"), "text"), docs.sparkSession.sparkContext
+    counts = saved(word_counts(docs, "lang"))
+    single = counts.filter(F.col("n") >= least)
+    common = context.broadcast(numbered(single, min(COMMON, 1 << number_bits(max_words)) - 1))
+    found = frequent(windows(docs, "lang", common, max_words, context.broadcast(marks(single))), common, max_words, least)
+    phrases = found.unionByName(single.select("lang", F.lit(1).alias("words"), F.col("word").alias("phrase"), "n"))
+    return ranked(scored(saved(phrases), covered), counts.groupBy("lang").agg(F.sum("n").alias("n")), top)
 
 
 def ranked(phrases: DataFrame, sizes: DataFrame, top: int = TOP) -> DataFrame:

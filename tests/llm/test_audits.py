@@ -193,6 +193,57 @@ def test_phrases_of_flushed_streams(spark, monkeypatch):
     assert rows_of(phrases.collocations(table(spark, rows), least=2, top=100)) == want
 
 
+def test_phrases_of_rare_words_are_not_dealt(spark):
+    rows = [(f"the sea of the sea a{k} b{k} of the c{k}", "en", None) for k in range(50)] + [("the sea x x", "de", None)]
+    docs = table(spark, rows)
+    single = phrases.word_counts(docs, "lang").filter("n >= 10")
+    common = spark.sparkContext.broadcast(phrases.numbered(single, 2))
+    assert common.value == {b"the": 1}  # two words have 100 occurrences or more but fewer than 128, one has more
+    kept = spark.sparkContext.broadcast(phrases.marks(single))
+    few = phrases.windows(docs.coalesce(1), "lang", common, kept=kept)
+    every = phrases.windows(docs.coalesce(1), "lang", common)
+    assert every.count() > 400
+    assert sorted(map(repr, map(tuple, few.collect()))) == sorted(map(repr, {
+        ("en", None, "the", "sea", None, 100), ("en", None, "sea", "of", None, 50), ("en", None, "of", "the", None, 100),
+        ("en", None, "the", "sea", "of", 50), ("en", None, "sea", "of", "the", 50), ("en", None, "of", "the", "sea", 50),
+    }))
+    assert rows_of(phrases.frequent(few, common)) == rows_of(phrases.frequent(every, common))
+
+
+def test_phrases_of_numbered_words_are_numbers(spark):
+    docs = table(spark, [(babble(k, 200), "en", None) for k in range(8)])
+    spelled, numbers = spark.sparkContext.broadcast({}), phrases.numbered(phrases.word_counts(docs, "lang"), 1000)
+    assert list(numbers.values()) == list(range(1, len(numbers) + 1)) and b"the" in list(numbers)[:2]
+    numbers = spark.sparkContext.broadcast(numbers)
+    by_number, by_word = phrases.windows(docs, "lang", numbers), phrases.windows(docs, "lang", spelled)
+    assert by_number.filter("number is null or w1 is not null or last is not null").count() == 0
+    assert by_word.filter("number is not null or w1 is null").count() == 0
+    got = rows_of(phrases.frequent(by_number, numbers, least=2))
+    assert got and got == rows_of(phrases.frequent(by_word, spelled, least=2))
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 6, 7, 100])
+def test_numbered_words_are_bounded(spark, most):
+    counts = spark.createDataFrame([("en", w, n) for w, n in (("a", 5), ("b", 4), ("c", 9), ("d", 1), ("e", 2), ("f", 3))] + [("de", "a", 3)], "lang string, word string, n long")
+    got = phrases.numbered(counts, most)
+    assert len(got) <= most and list(got) == [b"c", b"a", b"b", b"f", b"e", b"d"][: {0: 0, 1: 0, 3: 3, 6: 6, 7: 6, 100: 6}[most]]
+
+
+def test_windows_too_many_for_one_number():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 6, 500)
+    packed = phrases.distinct_windows(ids, 480, 6, 3)
+    wide = phrases.distinct_windows(ids, 480, 1 << 22, 3)
+    assert all((x == y).all() for x, y in zip(packed, wide)) and packed[1].sum() == (ids[:480] != 0).sum()
+    for size in (2, 3):
+        want = collections.Counter()
+        for row, n in zip(packed[0].tolist(), packed[1].tolist()):
+            if row[size - 1]:
+                want[tuple(row[:size])] += n
+        rows, n = phrases.leading(*packed, size)
+        assert {tuple(r[:size]): c for r, c in zip(rows.tolist(), n.tolist())} == want and not rows[:, size:].any()
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(table(spark, [("a b", "en", None)]).limit(0)).count() == 0
     assert phrases.collocations(table(spark, [(None, None, None)] * 12)).count() == 0
